@@ -13,7 +13,7 @@ from airlake.llm.common import Scratch, connected_components
 from airlake.llm.shingles import similarity
 
 #: Rows of one side of a block when members of a crowded bucket are compared.
-BLOCK = 512
+BLOCK = 256
 
 
 def check_pairs(pairs: DataFrame, content: DataFrame, threshold: float) -> DataFrame:
@@ -34,11 +34,15 @@ def check_pairs(pairs: DataFrame, content: DataFrame, threshold: float) -> DataF
     )
 
 
-def _crowded(cells: DataFrame, registers: int, least: float) -> DataFrame:
-    """(a, b) that look alike by their signatures, between queries and members of every block.
+def _crowded(cells: DataFrame, registers: int, threshold: float) -> DataFrame:
+    """(a, b) of links between different components, from queries and members of every block.
 
-    ``cells`` holds (bucket, q, m, query, key, root, sig); a block has a bounded number of rows.
+    ``cells`` holds (bucket, q, m, query, key, root, sig, buckets, shingles); a block has a bounded number of rows.
+    A pair is looked at in the first bucket that it shares. Of the pairs whose signatures agree to within four
+    standard deviations of the threshold, those most alike are counted exactly first, and a pair whose
+    components are joined by then is passed over; so a block returns fewer links than it has rows.
     """
+    least = threshold - 4 * (threshold * (1 - threshold) / registers) ** 0.5
 
     def blocks(batches):
         rest = None
@@ -60,21 +64,40 @@ def _crowded(cells: DataFrame, registers: int, least: float) -> DataFrame:
             query = table.column("query").to_numpy(zero_copy_only=False)
             if query.all() or not query.any():
                 continue
-            keys, roots = table.column("key").to_pylist(), table.column("root").to_pylist()
+            keys, roots, sets = (table.column(c).to_pylist() for c in ("key", "root", "shingles"))
             sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(len(keys), registers)
+            bands = np.array(table.column("buckets").to_pylist())
+            band = int(np.flatnonzero(bands[0] == table.column("bucket")[0].as_py())[0])
             root = np.unique(np.array([r.hex() for r in roots]), return_inverse=True)[1]
             qs, ms = np.flatnonzero(query), np.flatnonzero(~query)
-            out_a, out_b = [], []
+            pairs = []
             for k in range(0, len(qs), 64):
                 part = qs[k : k + 64]
                 same = (sig[part][:, None, :] == sig[ms][None, :, :]).mean(2)
-                like = ((same - 1 / 256) / (1 - 1 / 256) >= least) & (root[part][:, None] != root[ms][None, :])
-                for i, j in zip(*np.nonzero(like), strict=True):
-                    a, b = keys[part[i]], keys[ms[j]]
-                    out_a.append(min(a, b))
-                    out_b.append(max(a, b))
-            if out_a:
-                yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.binary()), pa.array(out_b, pa.binary())], ["a", "b"])
+                alike = (same - 1 / 256) / (1 - 1 / 256)
+                fresh = (bands[part][:, None, :] == bands[ms][None, :, :]).argmax(2) == band
+                i, j = np.nonzero((alike >= least) & fresh & (root[part][:, None] != root[ms][None, :]))
+                pairs.append((alike[i, j], part[i], ms[j]))
+            alike, left, right = (np.concatenate(x) for x in zip(*pairs, strict=True))
+            joined = list(range(int(root.max()) + 1))
+
+            def find(x: int, joined=joined) -> int:
+                while joined[x] != x:
+                    joined[x] = joined[joined[x]]
+                    x = joined[x]
+                return x
+
+            out, done = [], set()
+            for k in np.argsort(-alike, kind="stable").tolist():
+                a, b = keys[left[k]], keys[right[k]]
+                x, y = find(int(root[left[k]])), find(int(root[right[k]]))
+                if x != y and (min(a, b), max(a, b)) not in done:
+                    done.add((min(a, b), max(a, b)))
+                    if similarity(sets[left[k]], sets[right[k]]) >= threshold:
+                        joined[x] = y
+                        out.append((a, b))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.binary()) for k in (0, 1)], ["a", "b"])
 
     return (
         cells.repartition("bucket", "q", "m").sortWithinPartitions("bucket", "q", "m")
@@ -93,9 +116,9 @@ def near_classes(
     1. In every bucket of several nodes, the node with most copies is the hub; the others are checked
        against it. This takes one pair for each member, however large the bucket is, and joins most of a
        group of near copies at once.
-    2. Buckets that still hold several components are gone through in blocks of bounded size: pairs that
-       lie in different components and whose signatures agree to within four standard deviations of the
-       threshold are checked, too. So a link that could join two components is not missed for its bucket's size.
+    2. Buckets that still hold several components are gone through in blocks of bounded size (``_crowded``): pairs
+       that lie in different components are checked, too, so a link that joins two components is not
+       missed for its bucket's size.
     """
     order = F.shiftleft(F.least("mult", F.lit(1 << 30)), 32) + F.pmod(F.xxhash64("key"), F.lit(1 << 32))
     rows = nodes.select("key", order.alias("ord"), F.explode("buckets").alias("bucket"))
@@ -122,19 +145,17 @@ def near_classes(
             F.ceil(F.col("n") / BLOCK).cast("int").alias("nm"),
         )
     )
-    open_rows = rooted.join(spread, "bucket").join(nodes.select("key", "sig"), "key")
+    open_rows = rooted.join(spread, "bucket").join(nodes.select("key", "sig", "buckets"), "key").join(content, "key")
     deal = F.xxhash64("key", F.lit(7))
     queries = open_rows.where("root <> giant").select(
         "bucket", F.pmod(deal, "nq").cast("int").alias("q"),
-        F.explode(F.sequence(F.lit(0), F.col("nm") - 1)).alias("m"), F.lit(True).alias("query"), "key", "root", "sig",
+        F.explode(F.sequence(F.lit(0), F.col("nm") - 1)).alias("m"), F.lit(True).alias("query"), "key", "root", "sig", "buckets", "shingles",
     )
     others = open_rows.select(
         "bucket", F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("q"),
-        F.pmod(deal, "nm").cast("int").alias("m"), F.lit(False).alias("query"), "key", "root", "sig",
+        F.pmod(deal, "nm").cast("int").alias("m"), F.lit(False).alias("query"), "key", "root", "sig", "buckets", "shingles",
     )
-    least = threshold - 4 * (threshold * (1 - threshold) / registers) ** 0.5
-    more = _crowded(queries.unionByName(others), registers, least).distinct()
-    more_links = scratch.keep(check_pairs(more, content, threshold))
+    more_links = scratch.keep(_crowded(queries.unionByName(others), registers, threshold))
     edges = first.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more_links)
     classes = scratch.keep(connected_components(edges, scratch))
     scratch.drop(members, content, links, first, more_links)

@@ -254,7 +254,7 @@ def test_toxicity(spark, make_docs):
     rows, labels = [], []
     for i in range(300):
         bad = i % 4 == 0
-        text = prose(i, 60) + (f" you idiot{'ic' * (i % 3)} " if bad else "") + (" idiot proof manual " if i % 4 == 1 else "") + prose(i + 999, 40)
+        text = prose(i, 60) + (f" you idiot{'ic' * (i % 3)} " if bad else "") + (" idiot proof manual " if i % 40 == 1 else "") + prose(i + 999, 40)
         rows.append((i, text))
         labels.append((i, int(bad)))
     rows += [(1000, "an 1d1ot here " + prose(1, 10)), (1001, "an іdіоt " + prose(2, 10)), (1002, "IDIOT PROOF " + prose(3, 9)), (1003, None), (1004, ""), (None, "x"), (0, rows[0][1])]
