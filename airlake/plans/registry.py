@@ -1,6 +1,5 @@
-"""All registered queries and their SQL, collected from the modules of this package."""
+"""All registered queries and their SQL."""
 
-from __future__ import annotations
+from airlake.plans.queries import ORACLE_SQL, QUERIES
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
