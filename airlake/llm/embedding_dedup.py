@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from airlake.llm.common import Scratch, connected_components
 
 #: Vectors on one side of a block.
-BLOCK = 2048
+BLOCK = 4096
 
 
 def _keys(vectors: DataFrame, single: bool) -> DataFrame:
@@ -55,7 +55,6 @@ def _link_block(table: pa.Table, dtype, least: float) -> pa.Table:
     left = np.arange(len(keys)) if same else np.flatnonzero(side == 0)
     right = left if same else np.flatnonzero(side == 1)
     count, root = np.zeros(len(keys), np.int64), np.arange(len(keys))
-    pairs = []
     for k in range(0, len(left), 512):
         part = left[k : k + 512]
         hit = rows[part] @ rows[right].T >= least
@@ -65,16 +64,14 @@ def _link_block(table: pa.Table, dtype, least: float) -> pa.Table:
         if not same:
             count[right] += mult[part] @ hit
         i, j = np.nonzero(hit)
-        pairs.append((part[i].astype(np.int32), right[j].astype(np.int32)))
-    i, j = (np.concatenate(x) if pairs else np.zeros(0, np.int32) for x in zip(*pairs, strict=True))
-    while len(i):
-        low = np.minimum(root[i], root[j])
-        before = root.copy()
-        np.minimum.at(root, i, low)
-        np.minimum.at(root, j, low)
-        root = root[root]
-        if (root == before).all():
-            break
+        i, j = part[i], right[j]
+        while len(i):
+            a, b = root[i], root[j]
+            apart = a != b
+            i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+            np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+            while (root[root] != root).any():
+                root = root[root]
     found = np.flatnonzero(count)
     return pa.table(
         {
@@ -85,7 +82,7 @@ def _link_block(table: pa.Table, dtype, least: float) -> pa.Table:
     )
 
 
-def embedding_links(vectors: DataFrame, least: float = 0.9, per_cell: int = 1500, max_pivots: int = 1024) -> DataFrame:
+def embedding_links(vectors: DataFrame, least: float = 0.9, per_cell: int = 8000, max_pivots: int = 1024) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept.
 
     Two vectors are linked when the cosine of their components, in double precision, is ``least`` or more.
