@@ -7,6 +7,7 @@ from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_a
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from airlake.functions import scalars as X
 from airlake.operators.dataset import pos_weight
@@ -24,7 +25,7 @@ def band_statistics():
 
 def embed(patches: DataFrame, pixels: int, make_model=band_statistics, batch: int = 256) -> DataFrame:
     """Column embedding of column x (arrays of ``pixels`` numbers); ``make_model`` returns a function of a batch."""
-    model = predict_batch_udf(make_model, return_type="array<float>", batch_size=batch, input_tensor_shapes=[[pixels]])
+    model = predict_batch_udf(make_model, return_type=ArrayType(FloatType()), batch_size=batch, input_tensor_shapes=[[pixels]])
     return patches.withColumn("embedding", model(F.transform("x", lambda v: v.cast("float"))))
 
 
