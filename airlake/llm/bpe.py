@@ -78,17 +78,21 @@ def merge_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class PieceIds(dict):
-    """Ids of a piece of text as little-endian 32-bit bytes; short ones are remembered, up to a bound."""
+    """Ids of a piece of text as little-endian 32-bit bytes; short ones are remembered, in two bounded generations."""
 
     limit, longest = 400_000, 48
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
+        self.old: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
-        ids = b"".join(i.to_bytes(4, "little") for i in merge_piece(piece.encode("utf-8"), self.ranks))
+        ids = self.old.get(piece)
+        if ids is None:
+            ids = b"".join(i.to_bytes(4, "little") for i in merge_piece(piece.encode("utf-8"), self.ranks))
         if len(piece) <= self.longest:
             if len(self) >= self.limit:
+                self.old = dict(self)
                 self.clear()
             self[piece] = ids
         return ids

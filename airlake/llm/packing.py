@@ -5,20 +5,26 @@ from __future__ import annotations
 import os
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from airlake.llm.common import empty_if_null
+from airlake.llm.shingles import bounded
 
 #: Runs of characters that are not Unicode white space.
 CHUNK = re.compile("[^\t-\r \x85\xa0  -     　]+")
 
 
 class ChunkIds(dict):
-    """Token ids, as little-endian 32-bit bytes, of texts without white space; bounded."""
+    """Token ids, as little-endian 32-bit bytes, of texts without white space.
 
-    limit, longest = 300_000, 64
+    New ones are encoded together, joined by blanks, and told apart by their offsets. Two generations
+    bound the memory: when the young one is full it becomes the old one, from which what is met again returns.
+    """
+
+    limit = 400_000
 
     def __init__(self, tokenizer: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -26,18 +32,25 @@ class ChunkIds(dict):
 
         self.tokenizer = Tokenizer.from_file(tokenizer)
         self.tokenizer.encode_special_tokens = True
-
-    def encode(self, chunk: str) -> bytes:
-        ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids
-        return b"".join(i.to_bytes(4, "little") for i in ids)
-
-    def __missing__(self, chunk: str) -> bytes:
-        ids = self.encode(chunk)
-        if len(chunk) <= self.longest:
-            if len(self) >= self.limit:
-                self.clear()
-            self[chunk] = ids
-        return ids
+        self.old: dict[str, bytes] = {}
+
+    def learn(self, rows: list[list[str]]) -> None:
+        """Make sure that every chunk of ``rows`` is known."""
+        if len(self) >= self.limit:
+            self.old = {k: v for k, v in self.items() if len(k) <= 64}
+            self.clear()
+        new = set().union(*rows) - self.keys()
+        known = new & self.old.keys()
+        self.update((k, self.old[k]) for k in known)
+        chunks = list(new - known)
+        if not chunks:
+            return
+        found = self.tokenizer.encode(" ".join(chunks), add_special_tokens=False)
+        ends = np.cumsum([len(c) + 1 for c in chunks])
+        at = np.array([start for start, _ in found.offsets], np.int64)
+        cuts = [0, *(4 * np.searchsorted(at, ends)).tolist()]
+        data = np.array(found.ids, "<u4").tobytes()
+        self.update((c, data[a:b]) for c, a, b in zip(chunks, cuts[:-1], cuts[1:], strict=True))
 
 
 def pieces(n: int, longest: int) -> list[tuple[int, int]]:
@@ -75,25 +88,24 @@ def pack_documents(docs: DataFrame, tokenizer: str, longest: int = 2048, end_id:
         get, tail = cache.__getitem__, end_id.to_bytes(4, "little")
         base = TaskContext.get().partitionId() << 34
         for batch in batches:
-            ids, texts = batch.column("doc_id"), batch.column("text")
-            rows: list[tuple] = []
-            size = 0
-            for i, text in enumerate(texts):
-                data = b"".join(map(get, CHUNK.findall(text.as_py()))) + tail
-                n = len(data) // 4
-                for start, length in pieces(n, longest):
-                    bucket = length.bit_length() - 1
-                    rows.append((i, start, length, data[4 * start : 4 * (start + length)], n, bucket, (bucket << 58) + base + seen, 0))
-                    seen += 1
-                size += n
-                if size > 2_000_000 or i == len(texts) - 1:
-                    at, *rest = zip(*rows, strict=True)
-                    types = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
-                    yield pa.RecordBatch.from_arrays(
-                        [ids.take(pa.array(at)), *(pa.array(c, t) for c, t in zip(rest, types, strict=True))],
-                        ["doc_id", "start", "length", "ids", "doc_tokens", "bucket", "sequence_id", "offset"],
-                    )
-                    rows, size = [], 0
+            ids, texts = batch.column("doc_id"), batch.column("text").to_pylist()
+            for first, end in bounded(texts):
+                chunks = [CHUNK.findall(text) for text in texts[first:end]]
+                cache.learn(chunks)
+                rows: list[tuple] = []
+                for i, row in enumerate(chunks, first):
+                    data = b"".join(map(get, row)) + tail
+                    n = len(data) // 4
+                    for start, length in pieces(n, longest):
+                        bucket = length.bit_length() - 1
+                        rows.append((i, start, length, data[4 * start : 4 * (start + length)], n, bucket, (bucket << 58) + base + seen, 0))
+                        seen += 1
+                at, *rest = zip(*rows, strict=True)
+                types = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [ids.take(pa.array(at)), *(pa.array(c, t) for c, t in zip(rest, types, strict=True))],
+                    ["doc_id", "start", "length", "ids", "doc_tokens", "bucket", "sequence_id", "offset"],
+                )
 
     return docs.select("doc_id", empty_if_null("text").alias("text")).mapInArrow(
         run,
