@@ -24,7 +24,7 @@ class ChunkIds(dict):
     bound the memory: when the young one is full it becomes the old one, from which what is met again returns.
     """
 
-    limit = 400_000
+    limit, together = 200_000, 20_000
 
     def __init__(self, tokenizer: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -43,14 +43,14 @@ class ChunkIds(dict):
         known = new & self.old.keys()
         self.update((k, self.old[k]) for k in known)
         chunks = list(new - known)
-        if not chunks:
-            return
-        found = self.tokenizer.encode(" ".join(chunks), add_special_tokens=False)
-        ends = np.cumsum([len(c) + 1 for c in chunks])
-        at = np.array([start for start, _ in found.offsets], np.int64)
-        cuts = [0, *(4 * np.searchsorted(at, ends)).tolist()]
-        data = np.array(found.ids, "<u4").tobytes()
-        self.update((c, data[a:b]) for c, a, b in zip(chunks, cuts[:-1], cuts[1:], strict=True))
+        for k in range(0, len(chunks), self.together):
+            part = chunks[k : k + self.together]
+            found = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            ends = np.cumsum([len(c) + 1 for c in part])
+            at = np.fromiter((start for start, _ in found.offsets), np.int64)
+            cuts = [0, *(4 * np.searchsorted(at, ends)).tolist()]
+            data = np.array(found.ids, "<u4").tobytes()
+            self.update((c, data[a:b]) for c, a, b in zip(part, cuts[:-1], cuts[1:], strict=True))
 
 
 def pieces(n: int, longest: int) -> list[tuple[int, int]]:
@@ -89,7 +89,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, longest: int = 2048, end_id:
         base = TaskContext.get().partitionId() << 34
         for batch in batches:
             ids, texts = batch.column("doc_id"), batch.column("text").to_pylist()
-            for first, end in bounded(texts):
+            for first, end in bounded(texts, 600_000):
                 chunks = [CHUNK.findall(text) for text in texts[first:end]]
                 cache.learn(chunks)
                 rows: list[tuple] = []
