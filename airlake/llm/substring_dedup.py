@@ -180,7 +180,8 @@ def repeated_passages(
     )
 
     windows = table.select("doc_id", F.explode("windows").alias("w")).select("doc_id", "w.*")
-    shared = (
+    # Written, so that the join reads two shuffles and the partition of a very common window can be split.
+    shared = scratch.keep(
         windows.groupBy("key", "check").agg(F.min("doc_id").alias("keep_id"), F.max("doc_id").alias("last")).where("keep_id < last")
     )
     hits = windows.join(shared, ["key", "check"]).select(
