@@ -52,8 +52,8 @@ def held_out(doc_id: str = "doc_id") -> Column:
 def connected_components(edges: DataFrame, scratch: Scratch, max_rounds: int = 100) -> DataFrame:
     """(node, root) for every node of ``edges(a, b)``, root being the least node it reaches.
 
-    Alternating large-star and small-star rounds (Kiveris et al., 2014). Each round is two grouped
-    minima and two joins whose large partitions can be split; labels never leave the executors.
+    Alternating large-star and small-star rounds (Kiveris et al., 2014). Each round is two grouped minima,
+    written so that the partitions of the two joins with them can be split; labels never leave the executors.
     A null end makes no edge. An empty input gives an empty table.
     """
 
@@ -71,12 +71,12 @@ def connected_components(edges: DataFrame, scratch: Scratch, max_rounds: int = 1
         if not seen[0]:
             break
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = (
+        low = scratch.keep(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = scratch.keep(
             both.where("v > u").join(low, "u").where("v <> m")
             .select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         )
-        floor = large.groupBy("u").agg(F.min("v").alias("m"))
+        floor = scratch.keep(large.groupBy("u").agg(F.min("v").alias("m")))
         joined = large.join(floor, "u")
         small = (
             joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -85,7 +85,7 @@ def connected_components(edges: DataFrame, scratch: Scratch, max_rounds: int = 1
         )
         after = scratch.keep(small)
         now = key_sum(after)
-        scratch.drop(current)
+        scratch.drop(current, low, large, floor)
         current = after
         if now == seen:
             break

@@ -122,10 +122,12 @@ def near_classes(
     """
     order = F.shiftleft(F.least("mult", F.lit(1 << 30)), 32) + F.pmod(F.xxhash64("key"), F.lit(1 << 32))
     rows = nodes.select("key", order.alias("ord"), F.explode("buckets").alias("bucket"))
-    heads = (
+    # Grouped tables are written before a join on their group: its partitions can then be split where one bucket is large.
+    heads = scratch.keep(
         rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.max_by("key", "ord").alias("hub")).where("n > 1")
     )
     members = scratch.keep(rows.join(heads, "bucket").select("bucket", "key", "hub", "n"))
+    scratch.drop(heads)
     content = scratch.keep(fetch(members.select("key").distinct()))
     star = members.where("key <> hub").select(F.col("hub").alias("a"), F.col("key").alias("b")).distinct()
     links = scratch.keep(check_pairs(star, content, threshold))
@@ -135,7 +137,7 @@ def near_classes(
         "bucket", "key", F.coalesce("root", "key").alias("root")
     )
     parts = rooted.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("k"))
-    spread = (
+    spread = scratch.keep(
         parts.groupBy("bucket")
         .agg(F.count(F.lit(1)).alias("roots"), F.sum("k").alias("n"), F.max("k").alias("most"), F.max_by("root", "k").alias("giant"))
         .where("roots > 1")
@@ -158,5 +160,5 @@ def near_classes(
     more_links = scratch.keep(_crowded(queries.unionByName(others), registers, threshold))
     edges = first.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more_links)
     classes = scratch.keep(connected_components(edges, scratch))
-    scratch.drop(members, content, links, first, more_links)
+    scratch.drop(members, content, links, first, spread, more_links)
     return classes.withColumnRenamed("node", "key")
