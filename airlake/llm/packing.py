@@ -13,8 +13,20 @@ from pyspark.sql import functions as F
 from airlake.llm.common import empty_if_null
 from airlake.llm.shingles import bounded
 
-#: Runs of characters that are not Unicode white space.
-CHUNK = re.compile("[^\t-\r \x85\xa0  -     　]+")
+_BLANK = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Runs of characters that are not Unicode white space; a word of ASCII letters is parted from the mark that follows it.
+CHUNK = re.compile(rf'[a-z]++(?=[{_BLANK}.,;:!?)"]|\Z)|[^{_BLANK}]+')
+#: Marks that can compose with an ASCII letter.
+_MARK = re.compile("[\u0300-\u036f]")
+
+
+def chunks_of(text: str) -> list[str]:
+    """The parts of a text whose ids, joined, are the ids of the whole text under a lower-casing tokenizer.
+
+    ASCII letters are lowered before, so that "Word" and "word" are one chunk, unless the text has combining
+    marks: some compose with a small letter only.
+    """
+    return CHUNK.findall(text if _MARK.search(text) else text.encode().lower().decode())
 
 
 class ChunkIds(dict):
@@ -39,7 +51,7 @@ class ChunkIds(dict):
         if len(self) >= self.limit:
             self.old = {k: v for k, v in self.items() if len(k) <= 64}
             self.clear()
-        new = set().union(*rows) - self.keys()
+        new = {chunk for chunk in set().union(*rows) if chunk not in self}
         known = new & self.old.keys()
         self.update((k, self.old[k]) for k in known)
         chunks = list(new - known)
@@ -74,8 +86,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, longest: int = 2048, end_id:
     ordered by bucket; offset is 0. Rows are packed one by one, so null or repeated doc_ids are documents of
     their own. An empty table gives an empty result; further columns are not read.
 
-    ``tokenizer`` is the path of a tokenizers file that every executor can read. Its pre-tokenizer must not
-    join characters across white space: chunks between white space are encoded once and remembered.
+    ``tokenizer`` is the path of a tokenizers file that every executor can read. It must lower letters, drop white
+    space and part letters from punctuation, as the word tokenizer does: chunks are encoded once and remembered.
     """
     if longest & (longest - 1):
         raise ValueError("longest must be a power of two")
@@ -90,7 +102,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, longest: int = 2048, end_id:
         for batch in batches:
             ids, texts = batch.column("doc_id"), batch.column("text").to_pylist()
             for first, end in bounded(texts, 600_000):
-                chunks = [CHUNK.findall(text) for text in texts[first:end]]
+                chunks = [chunks_of(text) for text in texts[first:end]]
                 cache.learn(chunks)
                 rows: list[tuple] = []
                 for i, row in enumerate(chunks, first):
