@@ -226,11 +226,13 @@ def cut_repeats(docs: DataFrame, spans: DataFrame) -> DataFrame:
         spans.where("removed").groupBy(F.col("doc_id").alias("_id"))
         .agg(F.collect_list(F.struct(F.col("start_word").alias("s"), F.col("end_word").alias("e"))).alias("_spans"))
     )
+    # Columns are named through their tables: those of docs may have any name.
     joined = docs.join(ranges, docs["doc_id"] == ranges["_id"], "left")
-    whole = joined.where("_spans IS NULL").select(*[docs[c] for c in docs.columns])
-    kept = joined.where("_spans IS NOT NULL").withColumn("_text", cut(empty_if_null(docs["text"]), F.col("_spans"))).where("_text IS NOT NULL")
-    columns = {"text": F.col("_text"), "n_chars": F.char_length("_text").cast("long")}
-    return whole.unionByName(kept.select(*[columns.get(c, docs[c]).alias(c) for c in docs.columns]))
+    whole = joined.where(ranges["_spans"].isNull()).select(*[docs[c] for c in docs.columns])
+    row = F.struct(*[docs[c] for c in docs.columns]).alias("row")
+    kept = joined.where(ranges["_spans"].isNotNull()).select(row, cut(empty_if_null(docs["text"]), ranges["_spans"]).alias("text")).where("text IS NOT NULL")
+    columns = {"text": F.col("text"), "n_chars": F.char_length("text").cast("long")}
+    return whole.unionByName(kept.select(*[columns.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns]))
 
 
 def drop_repeats(docs: DataFrame, threshold: float = 0.8, min_words: int = 25) -> DataFrame:

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -68,7 +70,13 @@ def evidence(text: str, machine) -> float:
     hits, excused = [], []
     for end, (length, weight, excuse) in machine.iter(folded):
         (excused if excuse else hits).append((end - length + 1, end, weight))
-    total = sum(w for s, e, w in hits if not any(a <= s and e <= b for a, b, _ in excused))
+    excused.sort()
+    starts, reach = [a for a, _, _ in excused], list(accumulate((b for _, b, _ in excused), max))
+    total = 0.0
+    for s, e, w in hits:
+        before = bisect_right(starts, s)
+        if not before or reach[before - 1] < e:
+            total += w
     return total / math.log2(2 + folded.count(" "))
 
 

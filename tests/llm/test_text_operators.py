@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import random
 import re
 import struct
@@ -159,6 +160,9 @@ def test_repeated_passages(make_docs):
     assert line not in after[3] and after[3].strip() == prose(7, 60)
     assert prose(5, 33) in after[2] and prose(6, 50) in after[2] and len(after[2].split()) < 33 + 50 + 60
     assert after[None] == passage
+    clash = docs.selectExpr("*", "1 AS _spans", "2 AS _text", "3 AS _id", "4 AS row")
+    again = substring_dedup.drop_repeats(clash)
+    assert again.columns == clash.columns and {r["doc_id"]: r["text"] for r in again.collect()} == after
     assert substring_dedup.repeated_passages(make_docs([])).count() == 0
 
 
@@ -261,6 +265,21 @@ def test_fold():
     assert toxicity.fold("costs 100 $ in 2020") == " costs in "
 
 
+def test_evidence_matches_brute_force():
+    rng = random.Random(5)
+    lexicon = toxicity.Lexicon({"bad": 1.0, "worse": 2.5, "ba": 0.5}, ("bad luck", "no worse", "so bad luck it"))
+    for n in (0, 1, 5, 400):
+        words = [rng.choice(["bad", "luck", "worse", "no", "so", "it", "badly", "ok"]) for _ in range(n)]
+        text, total = f" {' '.join(words)} ", 0.0
+        spans = [(m.start(), m.end()) for p in lexicon.exceptions for m in re.finditer(f"(?= {p} )", text) for m in [re.compile(f" {p} ").match(text, m.start())]]
+        for stem, weight in lexicon.weights.items():
+            for m in re.finditer(f" {stem}", text):
+                if not any(a <= m.start() and m.end() <= b for a, b in spans):
+                    total += weight
+        blanks = toxicity.fold(text).count(" ")
+        assert toxicity.evidence(text, toxicity.automaton(lexicon)) == pytest.approx(total / math.log2(2 + blanks))
+
+
 def test_toxicity(spark, make_docs):
     rows, labels = [], []
     for i in range(300):
