@@ -92,7 +92,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, mis
 
     classes = near_classes(nodes, fetch, threshold, bands * ROWS, scratch)
     member = nodes.join(classes, "key", "left").select("key", "mult", "rep", F.coalesce("root", "key").alias("root"))
-    named = member.groupBy("root").agg(F.min("rep").alias("class_id"), F.sum("mult").alias("class_size"))
+    # Written before the join, whose partition of a very large class can then be split.
+    named = scratch.keep(member.groupBy("root").agg(F.min("rep").alias("class_id"), F.sum("mult").alias("class_size")))
     lookup = scratch.keep(member.join(named, "root").select("key", "class_id", "class_size"))
     result = table.select("doc_id", "key").join(lookup, "key").select(
         "doc_id", "class_id", "class_size", (F.col("doc_id") == F.col("class_id")).alias("kept")
