@@ -12,13 +12,14 @@ from airlake.llm.common import Scratch, empty_if_null, tune_bands
 from airlake.llm.near import near_classes
 
 ROWS = 3
-#: Words of a passage window, and of the span from which one window start is chosen: any run of
-#: PASSAGE + CHOICE words or more that two documents share has a common window.
-PASSAGE, CHOICE = 24, 26
+#: Words of the shortest shared run that is reported; words of a seed, and starts from which one seed is chosen.
+#: PASSAGE words hold CHOICE starts of seeds, so any shared run of PASSAGE words has a common seed.
+PASSAGE, SEED = 24, 12
+CHOICE = PASSAGE - SEED + 1
 
 _SKETCH = (
     "doc_id {kind}, paragraphs array<struct<start:int,words:int,key:binary,buckets:array<bigint>,sig:binary>>, "
-    "windows array<struct<key:bigint,check:int,pos:int>>"
+    "seeds array<struct<key:bigint,check:int,pos:int>>"
 )
 
 
@@ -33,36 +34,66 @@ def _word_rows(texts: list[str], cache: S.WordHashes):
         ]
 
 
-def _windows(words: np.ndarray) -> list[dict]:
-    """Content-defined windows: in every span of CHOICE starts the one with the least hash is chosen."""
-    n = len(words) - PASSAGE + 1
-    if n <= 0:
-        return []
+def _hashes(words: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes, of 64 and 31 bits, of every run of ``size`` words."""
+    n = max(0, len(words) - size + 1)
     value, check = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
-    for k in range(PASSAGE):
+    for k in range(size if n else 0):
         value = value * np.uint64(0x9E3779B97F4A7C15) + words[k : k + n]
         check = check * np.uint64(0xD1342543DE82EF95) + words[k : k + n]
-    value = S.mix(value)
-    width = min(CHOICE, n)
-    views = np.lib.stride_tricks.sliding_window_view(value, width)
-    at = np.unique(views.argmin(1) + np.arange(n - width + 1))
-    keys, checks = value[at].view(np.int64), (S.mix(check[at]) >> np.uint64(33)).astype(np.int64)
+    return S.mix(value), S.mix(check) >> np.uint64(33)
+
+
+def _seeds(words: np.ndarray) -> list[dict]:
+    """Content-defined seeds: of every CHOICE starts in a row the one with the least hash is chosen."""
+    value, check = _hashes(words, SEED)
+    n = len(value)
+    if len(words) < PASSAGE:
+        return []
+    views = np.lib.stride_tricks.sliding_window_view(value, CHOICE)
+    at = np.unique(views.argmin(1) + np.arange(n - CHOICE + 1))
+    keys, checks = value[at].view(np.int64), check[at].astype(np.int64)
     return [{"key": k, "check": c, "pos": p} for k, c, p in zip(keys.tolist(), checks.tolist(), at.tolist(), strict=True)]
 
 
+def _windows(rows: DataFrame, kind: str) -> DataFrame:
+    """(doc_id, key, check, pos) of all windows of PASSAGE words that hold a seed of rows (doc_id, text, seeds array<int>)."""
+
+    def run(batches):
+        cache = S.WordHashes()
+        for batch in batches:
+            ids, texts, seeds = batch.column("doc_id"), batch.column("text").to_pylist(), batch.column("seeds").to_pylist()
+            for doc, text in enumerate(texts):
+                lines = next(_word_rows([text], cache))
+                value, check = _hashes(np.concatenate(lines) if lines else np.zeros(0, np.uint64), PASSAGE)
+                at = np.unique(np.array(seeds[doc], np.int64)[:, None] - np.arange(CHOICE)[None, :])
+                at = at[(at >= 0) & (at < len(value))]
+                for k in range(0, len(at), 50_000):
+                    some = at[k : k + 50_000]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            ids.take(pa.array(np.full(len(some), doc))), pa.array(value[some].view(np.int64)),
+                            pa.array(check[some].astype(np.int32)), pa.array(some.astype(np.int32)),
+                        ],
+                        ["doc_id", "key", "check", "pos"],
+                    )
+
+    return rows.select("doc_id", "text", "seeds").mapInArrow(run, f"doc_id {kind}, key bigint, check int, pos int")
+
+
 def sketches(docs: DataFrame, bands: int, min_words: int, width: int = 5) -> DataFrame:
-    """One row per document: its paragraphs of ``min_words`` or more with MinHash bands, and its windows."""
+    """One row per document: its paragraphs of ``min_words`` or more with MinHash bands, and its seeds."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = _SKETCH.format(kind=kind)
 
     def run(batches):
         cache = S.WordHashes()
         para = pa.struct([("start", pa.int32()), ("words", pa.int32()), ("key", pa.binary()), ("buckets", pa.list_(pa.int64())), ("sig", pa.binary())])
-        window = pa.struct([("key", pa.int64()), ("check", pa.int32()), ("pos", pa.int32())])
+        seed = pa.struct([("key", pa.int64()), ("check", pa.int32()), ("pos", pa.int32())])
         for batch in batches:
             ids, texts = batch.column("doc_id"), batch.column("text").to_pylist()
             for i, j in S.bounded(texts, 1_500_000):
-                parts, spans, windows = [], [], []
+                parts, spans, seeds = [], [], []
                 for doc, lines in enumerate(_word_rows(texts[i:j], cache)):
                     at = 0
                     for line in lines:
@@ -70,7 +101,7 @@ def sketches(docs: DataFrame, bands: int, min_words: int, width: int = 5) -> Dat
                             parts.append(line)
                             spans.append((doc, at, len(line)))
                         at += len(line)
-                    windows.append(_windows(np.concatenate(lines)) if lines else [])
+                    seeds.append(_seeds(np.concatenate(lines)) if lines else [])
                 n = len(parts)
                 owner, value, count = _sets(parts, width)
                 sig = S.min_hash(owner, value, n, bands * ROWS)
@@ -80,8 +111,8 @@ def sketches(docs: DataFrame, bands: int, min_words: int, width: int = 5) -> Dat
                 for k, (doc, at, words) in enumerate(spans):
                     out[doc].append({"start": at, "words": words, "key": keys[k], "buckets": buckets[k], "sig": sig[k].astype(np.uint8).tobytes()})
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(i, j - i), pa.array(out, pa.list_(para)), pa.array(windows, pa.list_(window))],
-                    ["doc_id", "paragraphs", "windows"],
+                    [ids.slice(i, j - i), pa.array(out, pa.list_(para)), pa.array(seeds, pa.list_(seed))],
+                    ["doc_id", "paragraphs", "seeds"],
                 )
 
     return docs.select("doc_id", empty_if_null("text").alias("text")).mapInArrow(run, schema)
@@ -140,11 +171,12 @@ def repeated_passages(
     compared by their exact Jaccard similarity, and the components of the links are the classes. The
     occurrence with the smallest doc_id, then position, stays.
 
-    ``passage``: runs of words inside lines or across them, which paragraph bounds would hide. Windows of
-    24 words start where a hash of the window is least among 26 neighbours, so the windows
-    of a shared run do not depend on what stands around it; any run of 50 words that two documents share
-    has a common one. Windows with an equal 95-bit hash are the same; adjacent windows join to a span. The
-    document with the smallest doc_id keeps its occurrences.
+    ``passage``: runs of words inside lines or across them, which paragraph bounds would hide. Seeds of
+    12 words start where a hash of the seed is least among 13 neighbours, so the seeds of a shared run do not
+    depend on what stands around it, and any 24 words that two documents share have a common one. Around the
+    seeds that repeat, every window of 24 words is compared, so a span holds the whole of each
+    shared run of 24 words or more. Windows with an equal 95-bit hash are the same; adjacent windows join to a span.
+    The document with the smallest doc_id keeps its occurrences.
 
     A null text has no words; a null doc_id has no spans; rows that repeat a doc_id are read as one document.
     An empty table gives an empty result; further columns are not read.
@@ -179,12 +211,17 @@ def repeated_passages(
         (F.struct("doc_id", "start") != F.struct("best.doc_id", "best.start")).alias("removed"),
     )
 
-    windows = table.select("doc_id", F.explode("windows").alias("w")).select("doc_id", "w.*")
-    # Written, so that the join reads two shuffles and the partition of a very common window can be split.
-    shared = scratch.keep(
-        windows.groupBy("key", "check").agg(F.min("doc_id").alias("keep_id"), F.max("doc_id").alias("last")).where("keep_id < last")
-    )
-    hits = windows.join(shared, ["key", "check"]).select(
+    def shared(rows: DataFrame) -> DataFrame:
+        # Written, so that the join reads two shuffles and the partition of a very common window can be split.
+        return scratch.keep(
+            rows.groupBy("key", "check").agg(F.min("doc_id").alias("keep_id"), F.max("doc_id").alias("last")).where("keep_id < last")
+        )
+
+    seeds = table.select("doc_id", F.explode("seeds").alias("w")).select("doc_id", "w.*")
+    wanted = seeds.join(shared(seeds), ["key", "check"]).groupBy("doc_id").agg(F.collect_set("pos").alias("seeds"))
+    # Written, so that the texts are read and their windows hashed once.
+    windows = scratch.keep(_windows(docs.join(wanted, "doc_id").select("doc_id", empty_if_null("text").alias("text"), "seeds"), docs.schema["doc_id"].dataType.simpleString()))
+    hits = windows.join(shared(windows), ["key", "check"]).select(
         "doc_id", "pos", "keep_id", (F.col("doc_id") > F.col("keep_id")).alias("removed")
     )
     here = Window.partitionBy("doc_id", "removed").orderBy("pos")

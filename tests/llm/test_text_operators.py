@@ -383,3 +383,18 @@ def test_bands():
     for rows in (3, 5):
         bands = tune_bands(0.8, rows, 1e-4)
         assert (1 - 0.8**rows) ** bands <= 1e-4 < (1 - 0.8**rows) ** (bands - 1)
+
+
+def test_shared_runs_are_whole(make_docs):
+    """Every word of a shared run of 24 words or more is reported and cut, wherever the run stands."""
+    runs = [prose(500 + k, 24 + 7 * k) for k in range(14)]
+    first = [prose(600 + k, 60) + " qa " + r + " qb " + prose(700 + k, 60) for k, r in enumerate(runs)]
+    again = [prose(800 + k, 11 + k) + " qc " + r + " qd " + prose(900 + k, 70) for k, r in enumerate(runs)]
+    docs = make_docs(list(enumerate(first + again)))
+    spans = {(r["doc_id"], r["start_word"], r["end_word"], r["removed"]) for r in substring_dedup.repeated_passages(docs).collect()}
+    for k, run in enumerate(runs):
+        size = len(run.split())
+        assert (k, 61, 61 + size, False) in spans and (14 + k, 12 + k, 12 + k + size, True) in spans
+    cut = {r["doc_id"]: r["text"].split() for r in substring_dedup.drop_repeats(docs).collect()}
+    for k in range(14):
+        assert cut[k] == first[k].split() and cut[14 + k] == (prose(800 + k, 11 + k) + " qc qd " + prose(900 + k, 70)).split()
