@@ -16,6 +16,8 @@ ROWS = 3
 #: PASSAGE words hold CHOICE starts of seeds, so any shared run of PASSAGE words has a common seed.
 PASSAGE, SEED = 24, 12
 CHOICE = PASSAGE - SEED + 1
+#: Paragraphs of fewer words are reported, but not removed.
+FLOOR = 25
 
 _SKETCH = (
     "doc_id {kind}, paragraphs array<struct<start:int,words:int,key:binary,buckets:array<bigint>,sig:binary>>, "
@@ -158,8 +160,129 @@ def _contents(rows: DataFrame, width: int) -> DataFrame:
     return rows.select("text", "wanted").mapInArrow(run, "key binary, shingles binary")
 
 
+def _contexts(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """``asked`` (doc_id, at, right, reach) with up to ``reach`` word hashes after ``at`` (right) or before it, nearest first."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches):
+        cache = S.WordHashes()
+        for batch in batches:
+            ids, texts, wanted = batch.column("doc_id"), batch.column("text").to_pylist(), batch.column("wanted").to_pylist()
+            for doc, text in enumerate(texts):
+                lines = next(_word_rows([text], cache))
+                words = (np.concatenate(lines) if lines else np.zeros(0, np.uint64)).astype(np.uint32)
+                for k in range(0, len(wanted[doc]), 1000):
+                    some = wanted[doc][k : k + 1000]
+                    near = [words[w["at"] : w["at"] + w["reach"]] if w["right"] else words[max(0, w["at"] - w["reach"]) : w["at"]][::-1] for w in some]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            ids.take(pa.array([doc] * len(some))), pa.array([w["at"] for w in some], pa.int32()), pa.array([w["right"] for w in some]),
+                            pa.array([w["reach"] for w in some], pa.int32()), pa.array([x.tobytes() for x in near], pa.binary()),
+                        ],
+                        ["doc_id", "at", "right", "reach", "context"],
+                    )
+
+    wanted = asked.distinct().groupBy("doc_id").agg(F.collect_list(F.struct("at", "right", "reach")).alias("wanted"))
+    return docs.join(wanted, "doc_id").select("doc_id", empty_if_null("text").alias("text"), "wanted").mapInArrow(
+        run, f"doc_id {kind}, at int, right boolean, reach int, context binary"
+    )
+
+
+def _flank(a: np.ndarray, b: np.ndarray, gap: int, width: int) -> list[dict]:
+    """Where equal runs of ``width`` words or more end beyond an equal run: words of a, of b, and equal shingles so far."""
+    x, y = _hashes(a.astype(np.uint64), width)[0], _hashes(b.astype(np.uint64), width)[0]
+    places: dict[int, list[int]] = {}
+    if not len(x) or not np.isin(x, y).any():
+        return []
+    for j, g in enumerate(y.tolist()):
+        places.setdefault(g, []).append(j)
+    grams, out, i, j, same = x.tolist(), [], 0, 0, 0
+    while True:
+        found = None
+        for p in range(i, min(i + gap + 1, len(grams))):
+            q = next((q for q in places.get(grams[p], ()) if j <= q <= j + gap), None)
+            if q is not None:
+                found = (p, q)
+                break
+        if found is None:
+            return out
+        p, q = found
+        while p < len(grams) and q < len(y) and grams[p] == y[q]:
+            p, q, same = p + 1, q + 1, same + 1
+        i, j = p + width - 1, q + width - 1
+        out.append({"i": i, "j": j, "same": same})
+
+
+def _near_spans(docs: DataFrame, cores: DataFrame, threshold: float, width: int, scratch: Scratch) -> DataFrame:
+    """(doc_id, start_word, end_word, keep_id, removed): ``cores`` grown over edited text on both sides.
+
+    The words around a removed run are aligned with those around the run that it repeats; the span is the longest that ends with equal
+    words and whose shingles have a Jaccard similarity of ``threshold`` or more. Between runs of fewer than PASSAGE equal words, more than a
+    fifth of the shingles differ, so 1.2 times the run is as far as one run can carry at 0.8.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    size = F.col("end_word") - F.col("start_word")
+    # Powers of two, so that the many copies of a run ask for the same words of the kept one.
+    sides = cores.withColumn("reach", F.pow(F.lit(2.0), F.ceil(F.log2(size * 1.2))).cast("int")).select(
+        "doc_id", "start_word", "end_word", "lead", "tail", "reach",
+        F.explode(F.array(
+            F.struct(F.lit(False).alias("right"), F.col("start_word").alias("at"), F.col("lead.doc_id").alias("other"), F.col("lead.pos").alias("there")),
+            F.struct(F.lit(True).alias("right"), F.col("end_word").alias("at"), F.col("tail.doc_id").alias("other"), (F.col("tail.pos") + PASSAGE).alias("there")),
+        )).alias("s"),
+    ).select("doc_id", "start_word", "end_word", "lead", "tail", "reach", "s.*")
+    asked = sides.select("doc_id", "at", "right", "reach").unionByName(sides.select(F.col("other").alias("doc_id"), F.col("there").alias("at"), "right", "reach"))
+    found = scratch.keep(_contexts(docs, asked))
+    pairs = sides.join(found, ["doc_id", "at", "right", "reach"]).withColumnRenamed("context", "a").join(
+        found.select(F.col("doc_id").alias("other"), F.col("at").alias("there"), "right", "reach", F.col("context").alias("b")), ["other", "there", "right", "reach"]
+    )
+
+    def points(batches):
+        kinds = pa.list_(pa.struct([("i", pa.int32()), ("j", pa.int32()), ("same", pa.int32())]))
+        for batch in batches:
+            a, b, size = batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("size").to_pylist()
+            out = [_flank(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32), n // 2 + 8, width) for x, y, n in zip(a, b, size, strict=True)]
+            mask = pa.array([bool(x) for x in out], pa.bool_())
+            kept = batch.select(["doc_id", "start_word", "end_word", "lead", "tail", "right"]).filter(mask)
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array([x for x in out if x], kinds)], [*kept.schema.names, "points"])
+
+    place = f"struct<doc_id:{kind},pos:int>"
+    flanks = pairs.select("doc_id", "start_word", "end_word", "lead", "tail", "right", size.alias("size"), "a", "b").mapInArrow(
+        points, f"doc_id {kind}, start_word int, end_word int, lead {place}, tail {place}, right boolean, points array<struct<i:int,j:int,same:int>>"
+    ).groupBy("doc_id", "start_word", "end_word", "lead", "tail").agg(F.collect_list(F.struct("right", "points")).alias("sides"))
+
+    def choose(batches):
+        none = {"i": 0, "j": 0, "same": 0}
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                doc, start, end, lead, tail = r["doc_id"], r["start_word"], r["end_word"], r["lead"], r["tail"]
+                core, best = end - start - width + 1, None
+                both = [[none] + [p for s in r["sides"] if s["right"] == right for p in s["points"]] for right in (False, True)]
+                for x in both[0]:
+                    for y in both[1]:
+                        same, i, j = core + x["same"] + y["same"], x["i"] + y["i"], x["j"] + y["j"]
+                        if not i or (best and i <= best[0]) or same < threshold * (2 * core + i + j - same):
+                            continue
+                        # A document's own earlier run stays whole.
+                        edge = max([p["pos"] for p in (lead, tail) if p["doc_id"] == doc], default=None)
+                        if edge is None or start - x["i"] >= edge + PASSAGE + y["j"]:
+                            best = (i, x, y)
+                if best:
+                    _, x, y = best
+                    out.append((doc, start - x["i"], end + y["i"], min(lead["doc_id"], tail["doc_id"]), True))
+                    out.append((lead["doc_id"], lead["pos"] - x["j"], lead["pos"] + PASSAGE, lead["doc_id"], False))
+                    out.append((tail["doc_id"], tail["pos"], tail["pos"] + PASSAGE + y["j"], tail["doc_id"], False))
+            ids = batch.schema.field("doc_id").type
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([x[k] for x in out], t) for k, t in enumerate((ids, pa.int32(), pa.int32(), ids, pa.bool_()))],
+                ["doc_id", "start_word", "end_word", "keep_id", "removed"],
+            )
+
+    return flanks.mapInArrow(choose, f"doc_id {kind}, start_word int, end_word int, keep_id {kind}, removed boolean").distinct()
+
+
 def repeated_passages(
-    docs: DataFrame, threshold: float = 0.8, min_words: int = 25, width: int = 5, miss: float = 1e-3
+    docs: DataFrame, threshold: float = 0.8, min_words: int = 5, width: int = 5, miss: float = 1e-3, floor: int = FLOOR
 ) -> DataFrame:
     """Spans of text that occur more than once: doc_id, start_word, end_word, kind, keep_id, removed.
 
@@ -169,14 +292,15 @@ def repeated_passages(
     ``paragraph``: lines of ``min_words`` or more. Their sets of word ``width``-shingles are banded by MinHash (bands
     of 3 registers, as many as lose at most ``miss`` of the pairs at the threshold), colliding paragraphs are
     compared by their exact Jaccard similarity, and the components of the links are the classes. The
-    occurrence with the smallest doc_id, then position, stays.
+    occurrence with the smallest doc_id, then position, stays; of the others, lines of ``floor`` words or more are removed.
 
     ``passage``: runs of words inside lines or across them, which paragraph bounds would hide. Seeds of
     12 words start where a hash of the seed is least among 13 neighbours, so the seeds of a shared run do not
     depend on what stands around it, and any 24 words that two documents share have a common one. Around the
     seeds that repeat, every window of 24 words is compared, so a span holds the whole of each
     shared run of 24 words or more. Windows with an equal 95-bit hash are the same; adjacent windows join to a span.
-    The document with the smallest doc_id keeps its occurrences.
+    The occurrence with the smallest doc_id, then position, stays, in one document, too. From each exact run the
+    span grows over edited text while its Jaccard similarity to the text around the kept run reaches the threshold (``_near_spans``).
 
     A null text has no words; a null doc_id has no spans; rows that repeat a doc_id are read as one document.
     An empty table gives an empty result; further columns are not read.
@@ -208,27 +332,39 @@ def repeated_passages(
     lines = paragraphs.select("doc_id", "start", "words", "key").join(lookup, "key").select(
         "doc_id", F.col("start").alias("start_word"), (F.col("start") + F.col("words")).alias("end_word"),
         F.lit("paragraph").alias("kind"), F.col("best.doc_id").alias("keep_id"),
-        (F.struct("doc_id", "start") != F.struct("best.doc_id", "best.start")).alias("removed"),
+        ((F.struct("doc_id", "start") != F.struct("best.doc_id", "best.start")) & (F.col("words") >= floor)).alias("removed"),
     )
 
     def shared(rows: DataFrame) -> DataFrame:
         # Written, so that the join reads two shuffles and the partition of a very common window can be split.
         return scratch.keep(
-            rows.groupBy("key", "check").agg(F.min("doc_id").alias("keep_id"), F.max("doc_id").alias("last")).where("keep_id < last")
+            rows.groupBy("key", "check").agg(F.min(F.struct("doc_id", "pos")).alias("kept"), F.max(F.struct("doc_id", "pos")).alias("last"))
+            .where("kept < last").drop("last")
         )
 
     seeds = table.select("doc_id", F.explode("seeds").alias("w")).select("doc_id", "w.*")
     wanted = seeds.join(shared(seeds), ["key", "check"]).groupBy("doc_id").agg(F.collect_set("pos").alias("seeds"))
     # Written, so that the texts are read and their windows hashed once.
     windows = scratch.keep(_windows(docs.join(wanted, "doc_id").select("doc_id", empty_if_null("text").alias("text"), "seeds"), docs.schema["doc_id"].dataType.simpleString()))
+    # A window that overlaps its kept occurrence in one document stays with it.
     hits = windows.join(shared(windows), ["key", "check"]).select(
-        "doc_id", "pos", "keep_id", (F.col("doc_id") > F.col("keep_id")).alias("removed")
+        "doc_id", "pos", "kept", ((F.col("doc_id") > F.col("kept.doc_id")) | (F.col("pos") >= F.col("kept.pos") + PASSAGE)).alias("removed")
     )
     here = Window.partitionBy("doc_id", "removed").orderBy("pos")
     islands = hits.withColumn("new", (F.col("pos") > F.lag("pos", 1, -PASSAGE - 1).over(here) + PASSAGE).cast("int"))
     islands = islands.withColumn("island", F.sum("new").over(here))
-    passages = islands.groupBy("doc_id", "removed", "island").agg(
-        F.min("pos").alias("start_word"), (F.max("pos") + PASSAGE).alias("end_word"), F.min("keep_id").alias("keep_id")
+    runs = scratch.keep(islands.groupBy("doc_id", "removed", "island").agg(
+        F.min("pos").alias("start_word"), (F.max("pos") + PASSAGE).alias("end_word"), F.min("kept.doc_id").alias("keep_id"),
+        F.min_by("kept", "pos").alias("lead"), F.max_by("kept", "pos").alias("tail"),
+    ))
+    spans = runs.select("doc_id", "start_word", "end_word", "keep_id", "removed").unionByName(
+        _near_spans(docs, runs.where("removed"), threshold, width, scratch)
+    )
+    here = Window.partitionBy("doc_id", "removed").orderBy("start_word", "end_word")
+    before = F.max("end_word").over(here.rowsBetween(Window.unboundedPreceding, -1))
+    spans = spans.withColumn("new", F.coalesce((F.col("start_word") > before).cast("int"), F.lit(1)))
+    passages = spans.withColumn("island", F.sum("new").over(here.rowsBetween(Window.unboundedPreceding, 0))).groupBy("doc_id", "removed", "island").agg(
+        F.min("start_word").alias("start_word"), F.max("end_word").alias("end_word"), F.min("keep_id").alias("keep_id")
     ).select("doc_id", "start_word", "end_word", F.lit("passage").alias("kind"), "keep_id", "removed")
     return lines.unionByName(passages)
 
@@ -273,6 +409,6 @@ def cut_repeats(docs: DataFrame, spans: DataFrame) -> DataFrame:
 
 
 def drop_repeats(docs: DataFrame, threshold: float = 0.8, min_words: int = 25) -> DataFrame:
-    """``docs`` with every repeated passage left only where ``repeated_passages`` keeps it."""
+    """``docs`` with every repeated passage, of lines those of ``min_words`` or more, left only where ``repeated_passages`` keeps it."""
     scratch = Scratch(docs.sparkSession)
-    return cut_repeats(docs, scratch.keep(repeated_passages(docs, threshold, min_words)))
+    return cut_repeats(docs, scratch.keep(repeated_passages(docs, threshold, floor=min_words)))

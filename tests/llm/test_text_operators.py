@@ -398,3 +398,25 @@ def test_shared_runs_are_whole(make_docs):
     cut = {r["doc_id"]: r["text"].split() for r in substring_dedup.drop_repeats(docs).collect()}
     for k in range(14):
         assert cut[k] == first[k].split() and cut[14 + k] == (prose(800 + k, 11 + k) + " qc qd " + prose(900 + k, 70)).split()
+
+
+def test_short_lines_near_copies_and_own_repeats(make_docs):
+    line, passage, own = prose(40, 9), prose(41, 60).split(), prose(42, 50)
+    changed = [*passage[:42], "qz", *passage[43:]]
+    texts = [
+        line + "\n" + prose(43, 70),
+        line + "\n" + prose(44, 70),
+        prose(45, 33) + " qa " + " ".join(passage) + " qb " + prose(46, 44),
+        prose(47, 12) + " qc " + " ".join(changed) + " qd " + prose(48, 51),
+        own + " qe " + prose(49, 30) + " qf " + own + " qg",
+    ]
+    docs = make_docs(list(enumerate(texts)))
+    spans = {(r["doc_id"], r["start_word"], r["end_word"], r["kind"], r["keep_id"], r["removed"]) for r in substring_dedup.repeated_passages(docs).collect()}
+    assert spans == {
+        (0, 0, 9, "paragraph", 0, False), (1, 0, 9, "paragraph", 0, False),
+        (2, 34, 94, "passage", 2, False), (3, 13, 73, "passage", 2, True),
+        (4, 0, 50, "passage", 4, False), (4, 82, 132, "passage", 4, True),
+    }
+    cut = {r["doc_id"]: r["text"].split() for r in substring_dedup.drop_repeats(docs).collect()}
+    assert cut[1] == texts[1].split() and cut[3] == (prose(47, 12) + " qc qd " + prose(48, 51)).split()
+    assert cut[4] == (own + " qe " + prose(49, 30) + " qf qg").split()
