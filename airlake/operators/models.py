@@ -48,23 +48,47 @@ def fit_rf(train: DataFrame, trees: int = 300, seed: int = 0):
     return RandomForestRegressor(featuresCol="features", labelCol="pm25", numTrees=trees, seed=seed).fit(train)
 
 
-def fit_predict(table: DataFrame, model: str = "rf", size: int = 100, seed: int = 0) -> DataFrame:
-    """Fit on the rows of split train, predict those of test; ``size`` counts trees or rounds."""
+def fit_predict(table: DataFrame, model: str = "rf", size: int = 100, seed: int = 0, fold=None) -> DataFrame:
+    """Fit on the rows of split train, predict those of test; ``size`` counts trees or rounds.
+
+    With a column fold, each fold is fitted and predicted on its own rows: on tables that hold a row once for every
+    fold, other folds train on the rows that this one predicts. ``fold`` names one of them, else all are run.
+    """
+    if "fold" in table.columns and fold is None:
+        out = None
+        for key in _keys(table, "fold"):
+            part = fit_predict(table, model, size, seed, key)
+            out = part if out is None else out.unionByName(part)
+        if out is not None:
+            return out
     ready = with_vector(table.where("pm25 IS NOT NULL"))
+    ready = ready if fold is None else ready.where(F.col("fold") == F.lit(fold))
     train = ready.where("split = 'train'")
     fitted = fit_rf(train, size, seed) if model == "rf" else fit_gbt(train, rounds=size, seed=seed)
-    keys = [c for c in ("station_id", "week_start", "fold") if c in table.columns]
+    keys = [c for c in ("station_id", "week_start", "split_name", "fold") if c in table.columns]
     return fitted.transform(ready.where("split = 'test'")).select(*keys, F.col("pm25").alias("y_true"), F.col("prediction").alias("y_pred"))
 
 
+def _keys(table: DataFrame, column: str) -> list:
+    """The column's values that have test rows, in order; few, as each takes a fit."""
+    rows = table.where((F.col("split") == "test") & F.col(column).isNotNull()).select(column).distinct().collect()
+    return sorted(r[0] for r in rows)
+
+
 def run_grid(tables: dict[str, DataFrame], models: dict[str, int], seeds: list[int]) -> DataFrame:
-    """Predictions of every feature set x model x seed, with the run's keys as columns."""
+    """Predictions of every feature set x model x split x seed x fold, with the run's keys as columns.
+
+    The split is the column split_name, where a table has one.
+    """
     out = None
     for kind, table in tables.items():
-        for model, size in models.items():
-            for seed in seeds:
-                part = fit_predict(table, model, size, seed).withColumns({"feature_set": F.lit(kind), "model": F.lit(model), "seed": F.lit(seed)})
-                out = part if out is None else out.unionByName(part)
+        named = "split_name" in table.columns
+        for name in _keys(table, "split_name") if named else [None]:
+            one = table.where(F.col("split_name") == name) if named else table
+            for model, size in models.items():
+                for seed in seeds:
+                    part = fit_predict(one, model, size, seed).withColumns({"feature_set": F.lit(kind), "model": F.lit(model), "seed": F.lit(seed)})
+                    out = part if out is None else out.unionByName(part)
     return out
 
 

@@ -149,3 +149,20 @@ def test_patch_statistics(spark):
     assert raster.patch_stats(frame, "scene").first()["scene_date"] == "2024-01-02"
     assert raster.zero_fraction(frame).first()["zero_frac"] == 0.25
     assert raster.fill_invalid(frame).first()["b4"] == [5.0, 2.5, 0.0, 2.5]
+
+
+def test_grid_fits_every_split_and_fold_apart(spark):
+    rng = np.random.default_rng(2)
+    rows = [(f"s{s:02}", date(2023, 1, 1), float(e + rng.normal(0, 1)), [float(s)], "ab"[s % 2]) for s, e in enumerate(rng.normal(15, 6, 20)) for _ in range(10)]
+    table = spark.createDataFrame(rows, "station_id string, week_start date, pm25 double, features array<double>, region string")
+    folds = dataset.explode_folds(dataset.spatial_folds(table, 3), 3).withColumn("split_name", F.lit("spatial"))
+    regions = dataset.region_split(table).withColumn("split_name", F.lit("region"))
+    both = folds.withColumn("fold", F.col("fold").cast("string")).unionByName(regions)
+    got = models.run_grid({"x": both}, {"rf": 5}, [0])
+    runs = {(r.split_name, r.fold): r for r in metrics.regression_metrics(got, ["split_name", "fold"]).collect()}
+    assert set(runs) == {("spatial", "0"), ("spatial", "1"), ("spatial", "2"), ("region", "a"), ("region", "b")}
+    assert sum(r.n for k, r in runs.items() if k[0] == "spatial") == 200 and runs["region", "a"].n == 100
+    # A station's number tells nothing about stations that the fold did not train on.
+    score = metrics.regression_metrics(got.where("split_name = 'spatial'")).first()["r2"]
+    alone = models.fit_predict(folds.where("fold = 1"), "rf", 5)
+    assert score < 0.3 and alone.count() == runs["spatial", "1"].n
