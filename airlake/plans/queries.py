@@ -415,9 +415,21 @@ def _split_table(v: Views, kind: str) -> DataFrame:
     return A.features(A.station_holdout(_model(v)), kind)
 
 
-q("n02_gbt")(lambda v: N.fit_predict(_split_table(v, "spacetime"), "gbt", 10))
-q("n03_forest")(lambda v: N.fit_predict(_split_table(v, "spacetime"), "rf", 20))
-q("n04_fit_predict")(lambda v: N.fit_predict(_split_table(v, "fused"), "rf", 5))
-q("n05_run_grid")(lambda v: N.run_grid({k: _split_table(v, k) for k in ("image", "spacetime")}, {"rf": 5}, [0]))
+def _grid_table(v: Views, kind: str) -> DataFrame:
+    """The splits of the grid one below the other, under split_name and fold."""
+    table = A.features(_model(v), kind)
+    splits = {
+        "random": A.random_split(table, ["station_id", "week_start"]),
+        "spatial": A.explode_folds(A.spatial_folds(table, 5), 5),
+        "temporal": A.temporal_split(table, 1996),
+    }
+    return reduce(DataFrame.unionByName, [t.withColumn("split_name", F.lit(k)) for k, t in splits.items()])
+
+
+# The sizes of the surveyed work: 2,000 rounds at most, 300 trees, three seeds.
+q("n02_gbt")(lambda v: N.fit_predict(_split_table(v, "spacetime"), "gbt", 2000))
+q("n03_forest")(lambda v: N.fit_predict(_split_table(v, "spacetime"), "rf", 300))
+q("n04_fit_predict")(lambda v: N.fit_predict(_split_table(v, "fused"), "rf", 300))
+q("n05_run_grid")(lambda v: N.run_grid({k: _grid_table(v, k) for k in ("image", "spacetime", "fused")}, {"rf": 300, "gbt": 2000}, [0, 1, 2]))
 q("n06_classifier")(lambda v: N.fit_classifier(_split_table(v, "spacetime")))
-q("n07_log_target")(lambda v: N.fit_log_target(_split_table(v, "spacetime"), 5))
+q("n07_log_target")(lambda v: N.fit_log_target(_split_table(v, "spacetime"), 300))

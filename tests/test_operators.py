@@ -166,3 +166,19 @@ def test_grid_fits_every_split_and_fold_apart(spark):
     score = metrics.regression_metrics(got.where("split_name = 'spatial'")).first()["r2"]
     alone = models.fit_predict(folds.where("fold = 1"), "rf", 5)
     assert score < 0.3 and alone.count() == runs["spatial", "1"].n
+
+
+def test_boosting_stops_early_and_models_learn(spark, monkeypatch):
+    assert models.best_rounds([3.0, 2.0, 2.5, 2.4, 1.0], 2) == (2, True) and models.best_rounds([3.0, 2.0, 1.0], 2) == (3, False)
+    rng = np.random.default_rng(3)
+    rows = [(f"s{s:02}", date(2023, 1, 1), 30.0 * (x > 0.5) + 5 + float(rng.normal(0, 1)), [x], "r") for s in range(12) for x in rng.random(12).tolist()]
+    table = dataset.station_holdout(spark.createDataFrame(rows, "station_id string, week_start date, pm25 double, features array<double>, region string")).persist()
+    calls = []
+    real = models.fit_gbt
+    monkeypatch.setattr(models, "fit_gbt", lambda train, validation, *a: calls.append((train, validation)) or real(train, validation, *a, stale=2))
+    boosted = models.fit_predict(table, "gbt", 6)
+    train, validation = ({r[0] for r in t.select("station_id").distinct().collect()} for t in calls[0])
+    assert len(train) == 9 and len(validation) == 1 and not train & validation
+    r2 = lambda t: metrics.regression_metrics(t).first()["r2"]
+    assert boosted.count() == 24 and r2(boosted) > 0.1 and r2(models.fit_log_target(table, 10)) > 0.8
+    assert metrics.classification_metrics(models.fit_classifier(table).withColumnRenamed("score", "y_pred"), 20.0).first()["auc"] > 0.9
