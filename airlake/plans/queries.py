@@ -212,14 +212,18 @@ q("u05_difference", "SELECT station_id, week_start FROM weekly EXCEPT SELECT sta
 _JOB = "w.station_id, w.week_start, round(lat, 6) AS lat, round(lon, 6) AS lon, CAST(32600 + floor((lon + 180) / 6) + 1 AS INTEGER) AS epsg"
 q("m01_plan_jobs", f"SELECT {_JOB} FROM weekly w JOIN stations s USING (station_id) WHERE station_id IN ({_SPREAD.format(n=7)}) AND week_start IN ({_SPREAD_W.format(n=10)})", "weekly", "stations")(
     lambda v: M.plan_jobs(v.weekly, v.stations, 7, 10))
+
+
+def _week_manifest(v: Views) -> DataFrame:
+    """The manifest merged from two parts, its rows under every labelled week of the same number."""
+    merged = M.merge_manifest(v.manifest.where("ingest_seq % 2 = 0"), v.manifest.where("ingest_seq % 2 = 1")).withColumn("_n", F.weekofyear("week_start")).drop("week_start")
+    return v.weekly.select("station_id", "week_start", F.weekofyear("week_start").alias("_n")).join(merged, ["station_id", "_n"])
+
+
 q("m03_pending_jobs", """SELECT w.station_id, w.week_start FROM weekly w WHERE NOT EXISTS (SELECT 1 FROM merged m WHERE m.station_id = w.station_id
  AND weekofyear(m.week_start) = weekofyear(w.week_start) AND product = 'l1c' AND mode = 'single' AND bands = 'rgb' AND status IN ('ok', 'too_cloudy', 'no_images'))
  AND NOT EXISTS (SELECT 1 FROM image_table e WHERE e.station_id = w.station_id AND e.week_start = w.week_start)""", "weekly", "merged", "image_table")(
-    lambda v: M.pending_jobs(
-        v.weekly.select("station_id", F.col("week_start").alias("w"), F.weekofyear("week_start").alias("week_start")),
-        M.merge_manifest(v.manifest, v.manifest.limit(0)).withColumn("week_start", F.weekofyear("week_start")),
-        v.embeddings.limit(0).withColumn("week_start", F.weekofyear("week_start")), "l1c", "single")
-    .select("station_id", F.col("w").alias("week_start")).join(v.embeddings, ["station_id", "week_start"], "left_anti"))
+    lambda v: M.pending_jobs(v.weekly.select("station_id", "week_start"), _week_manifest(v), v.embeddings, "l1c", "single").select("station_id", "week_start"))
 q("m04_patch_status", """SELECT scene_id, CASE WHEN n = 0 THEN 'no_images' WHEN f < 0.5 THEN 'too_cloudy' ELSE 'ok' END AS status
  FROM (SELECT scene_id, max(cnt) AS n, avg(cnt) AS f FROM px GROUP BY scene_id)""", "px")(lambda v: M.patch_status(R.patch_stats(v.patches), 0.5).select("scene_id", "status"))
 q("m05_status_counts", "SELECT status, count(*) AS n FROM manifest WHERE product = 'l1c' GROUP BY status", "manifest")(lambda v: M.status_counts(v.manifest, "l1c"))

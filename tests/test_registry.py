@@ -46,3 +46,12 @@ def test_query_equals_sql(spark, duck, name):
 def test_entry(spark):
     assert entry.entry(spark).count() == 602
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_pending_jobs_gets_real_patches(spark, monkeypatch):
+    from airlake.plans import queries
+
+    seen, real = [], queries.M.pending_jobs
+    monkeypatch.setattr(queries.M, "pending_jobs", lambda *a: seen.append(a[2].count()) or real(*a))
+    QUERIES["m03_pending_jobs"](spark, SF)
+    assert seen[0] > 0
