@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from airlake.llm import shingles as S
-from airlake.llm.common import Scratch, empty_if_null, tune_bands
+from airlake.llm.common import Scratch, empty_if_null, slices, tune_bands
 from airlake.llm.near import near_classes
 
 ROWS = 5
@@ -17,22 +17,25 @@ ROWS = 5
 def signatures(docs: DataFrame, bands: int, rows: int = ROWS, width: int = 5) -> DataFrame:
     """(doc_id, key, buckets, sig) of every document, see ``shingles.bag_minhash``."""
 
+    registers = bands * rows
+    # A text takes about 8 points for each register, however short it is: a million points at once.
+    most = max(1, 125_000 // registers)
+
     def run(batches):
         cache = S.WordHashes()
         for batch in batches:
-            ids, texts = batch.column("doc_id"), batch.column("text").to_pylist()
-            for i, j in S.bounded(texts):
-                n = j - i
-                owner, value, count = S.shingle_sets(texts[i:j], cache, width)
-                sig = S.bag_minhash(owner, value, count, n, bands * rows)
-                buckets = S.band_hashes(sig, bands, rows)
-                filled = np.isin(np.arange(n), owner)
+            for part in slices(batch, 2_000_000, most):
+                n = part.num_rows
+                owner, value, count = S.shingle_sets(part.column("text").to_pylist(), cache, width)
+                sig = S.bag_minhash(owner, value, count, n, registers)
+                at = np.cumsum(np.concatenate([[0], np.where(np.isin(np.arange(n), owner), bands, 0)]))
+                buckets = S.band_hashes(sig, bands, rows)[np.diff(at) > 0]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        ids.slice(i, n),
+                        part.column("doc_id"),
                         pa.array(S.content_keys(owner, value, count, n), pa.binary()),
-                        pa.array([b if f else [] for b, f in zip(buckets.tolist(), filled, strict=True)], pa.list_(pa.int64())),
-                        pa.array([x.tobytes() for x in sig.astype(np.uint8)], pa.binary()),
+                        pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(buckets.reshape(-1))),
+                        S.fixed_cells(sig.astype(np.uint8)),
                     ],
                     ["doc_id", "key", "buckets", "sig"],
                 )
@@ -49,11 +52,11 @@ def contents(rows: DataFrame, width: int = 5) -> DataFrame:
     def run(batches):
         cache = S.WordHashes()
         for batch in batches:
-            keys, texts = batch.column("key").to_pylist(), batch.column("text").to_pylist()
-            for i, j in S.bounded(texts):
-                sets = S.shingle_sets(texts[i:j], cache, width)
-                found = S.content_keys(*sets, j - i)
-                out = [(k, p) for k, f, p in zip(keys[i:j], found, S.pack(*sets, j - i), strict=True) if k == f]
+            for part in slices(batch):
+                keys, n = part.column("key").to_pylist(), part.num_rows
+                sets = S.shingle_sets(part.column("text").to_pylist(), cache, width)
+                found = S.content_keys(*sets, n)
+                out = [(k, p) for k, f, p in zip(keys, found, S.pack(*sets, n), strict=True) if k == f]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.binary())],
                     ["key", "shingles"],

@@ -4,18 +4,24 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from airlake.llm.common import empty_if_null
-from airlake.llm.shingles import bounded
+from airlake.llm.common import empty_if_null, slices
 
 _BLANK = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: Runs of characters that are not Unicode white space; a word of ASCII letters is parted from the mark that follows it.
-CHUNK = re.compile(rf'[a-z]++(?=[{_BLANK}.,;:!?)"]|\Z)|[^{_BLANK}]+')
+#: Small letters that no normal form changes.
+_SMALL = "a-z\u00df-\u00f6\u00f8-\u00ff\u0430-\u045f"
+#: Runs of characters that are not Unicode white space; a word of small letters is parted from the mark, but an apostrophe, that follows it.
+CHUNK = re.compile(rf"[{_SMALL}]++(?=[{_BLANK}!-&(-/:-@\[-`{{-~]|\Z)|[^{_BLANK}]+")
+_WORD = re.compile(rf"[{_SMALL}]+")
+#: The characters that stand for bytes in byte-level vocabularies: printable Latin-1 for itself, the rest from 256 on.
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTES = dict(zip([b for b in range(256) if b not in _SHOWN], range(256, 512), strict=False))
 #: Marks that can compose with an ASCII letter.
 _MARK = re.compile("[\u0300-\u036f]")
 
@@ -32,53 +38,70 @@ def chunks_of(text: str) -> list[str]:
 class ChunkIds(dict):
     """Token ids, as little-endian 32-bit bytes, of texts without white space.
 
-    New ones are encoded together, joined by blanks, and told apart by their offsets. Two generations
-    bound the memory: when the young one is full it becomes the old one, from which what is met again returns.
+    Two generations bound the memory: when the young one is full it becomes the old one, from which what is met
+    again returns.
     """
 
-    limit, together = 200_000, 20_000
+    limit, longest = 200_000, 64
 
     def __init__(self, tokenizer: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer)
-        self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
+        #: Texts of the tokenizer's own tokens, which it finds before anything else.
+        self.added = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or r"(?!)")
         self.old: dict[str, bytes] = {}
 
-    def learn(self, rows: list[list[str]]) -> None:
-        """Make sure that every chunk of ``rows`` is known."""
-        if len(self) >= self.limit:
-            self.old = {k: v for k, v in self.items() if len(k) <= 64}
-            self.clear()
-        new = {chunk for chunk in set().union(*rows) if chunk not in self}
-        known = new & self.old.keys()
-        self.update((k, self.old[k]) for k in known)
-        chunks = list(new - known)
-        for k in range(0, len(chunks), self.together):
-            part = chunks[k : k + self.together]
-            found = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            ends = np.cumsum([len(c) + 1 for c in part])
-            at = np.fromiter((start for start, _ in found.offsets), np.int64)
-            cuts = [0, *(4 * np.searchsorted(at, ends)).tolist()]
-            data = np.array(found.ids, "<u4").tobytes()
-            self.update((c, data[a:b]) for c, a, b in zip(part, cuts[:-1], cuts[1:], strict=True))
-
-
-def pieces(n: int, longest: int) -> list[tuple[int, int]]:
-    """(start, length) of ``n`` ids cut into powers of two, the largest first, none above ``longest``."""
-    out, at = [], 0
-    while at < n:
-        length = min(longest, 1 << ((n - at).bit_length() - 1))
-        out.append((at, length))
-        at += length
-    return out
+    def __missing__(self, chunk: str) -> bytes:
+        data = self.old.get(chunk)
+        if data is None:
+            # A word of small letters is one word of the model, without normal forms and splits.
+            if _WORD.fullmatch(chunk):
+                shown = chunk if chunk.isascii() else chunk.encode().decode("latin-1").translate(_BYTES)
+                ids = [t.id for t in self.model.tokenize(shown)]
+            else:
+                ids = self.whole(chunk)
+            data = struct.pack(f"<{len(ids)}I", *ids)
+        if len(chunk) <= self.longest:
+            if len(self) >= self.limit:
+                self.old = dict(self)
+                self.clear()
+            self[chunk] = data
+        return data
+
+    def whole(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def of(self, text: str) -> bytes:
+        """Ids of a whole text."""
+        if self.added.search(text):
+            return np.array(self.whole(text), "<u4").tobytes()
+        return b"".join(map(self.__getitem__, chunks_of(text)))
+
+
+def pieces(sizes: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, start, length) of ``sizes`` ids each cut into powers of two, the largest first, none above ``longest``."""
+    whole, rest = sizes // longest, sizes % longest
+    rows = [np.repeat(np.arange(len(sizes)), whole)]
+    starts = [(np.arange(len(rows[0])) - np.repeat(np.cumsum(whole) - whole, whole)) * longest]
+    lengths = [np.full(len(rows[0]), longest)]
+    for bit in range(longest.bit_length() - 1):
+        at = np.flatnonzero(rest >> bit & 1)
+        rows.append(at)
+        starts.append(sizes[at] - rest[at] % (2 << bit))
+        lengths.append(np.full(len(at), 1 << bit))
+    row, start, length = (np.concatenate(x) for x in (rows, starts, lengths))
+    order = np.lexsort((start, row))
+    return row[order], start[order], length[order]
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, longest: int = 2048, end_id: int = 1) -> DataFrame:
     """One row per sequence: doc_id, start, length, ids, doc_tokens, bucket, sequence_id, offset.
 
-    Every document (null text: empty) is tokenized whole, without special tokens; ``end_id`` follows. Its ids
+    Every document (null text: empty) is tokenized whole, as ``encode(text, add_special_tokens=False)`` does: strings of
+    the tokenizer's own tokens in a text are these tokens. ``end_id`` follows. Its ids
     are cut into pieces of 2^k <= ``longest`` ids, the binary digits of their number after as many pieces of
     ``longest`` as fit. A piece is a sequence of its own: no sequence holds two documents, none is
     padded, and ``bucket`` = k names the ones of equal length that a batch can take together
@@ -97,25 +120,23 @@ def pack_documents(docs: DataFrame, tokenizer: str, longest: int = 2048, end_id:
         from pyspark import TaskContext
 
         cache, seen = ChunkIds(tokenizer), 0
-        get, tail = cache.__getitem__, end_id.to_bytes(4, "little")
+        tail = end_id.to_bytes(4, "little")
         base = TaskContext.get().partitionId() << 34
         for batch in batches:
-            ids, texts = batch.column("doc_id"), batch.column("text").to_pylist()
-            for first, end in bounded(texts, 600_000):
-                chunks = [chunks_of(text) for text in texts[first:end]]
-                cache.learn(chunks)
-                rows: list[tuple] = []
-                for i, row in enumerate(chunks, first):
-                    data = b"".join(map(get, row)) + tail
-                    n = len(data) // 4
-                    for start, length in pieces(n, longest):
-                        bucket = length.bit_length() - 1
-                        rows.append((i, start, length, data[4 * start : 4 * (start + length)], n, bucket, (bucket << 58) + base + seen, 0))
-                        seen += 1
-                at, *rest = zip(*rows, strict=True)
-                types = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
+            for part in slices(batch, 1_500_000):
+                coded = [cache.of(text) + tail for text in part.column("text").to_pylist()]
+                sizes = np.array([len(data) // 4 for data in coded])
+                row, start, length = pieces(sizes, longest)
+                bucket = np.log2(length).astype(np.int64)
+                ends = pa.array(np.concatenate([[0], np.cumsum(4 * length)]).astype(np.int32))
+                ids = pa.Array.from_buffers(pa.binary(), len(row), [None, ends.buffers()[1], pa.py_buffer(b"".join(coded))])
+                number = (bucket << 58) + base + seen + np.arange(len(row))
+                seen += len(row)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array(at)), *(pa.array(c, t) for c, t in zip(rest, types, strict=True))],
+                    [
+                        part.column("doc_id").take(pa.array(row)), pa.array(start.astype(np.int64)), pa.array(length.astype(np.int64)), ids,
+                        pa.array(sizes[row].astype(np.int64)), pa.array(bucket.astype(np.int32)), pa.array(number), pa.array(np.zeros(len(row), np.int64)),
+                    ],
                     ["doc_id", "start", "length", "ids", "doc_tokens", "bucket", "sequence_id", "offset"],
                 )
 
@@ -126,7 +147,10 @@ def pack_documents(docs: DataFrame, tokenizer: str, longest: int = 2048, end_id:
 
 
 def write_buckets(packed: DataFrame, path: str) -> None:
-    """Write sequences as Parquet, one folder for each length, so that a loader batches equal lengths."""
+    """Write sequences as Parquet, one folder for each length, so that a loader batches equal lengths.
+
+    All rows and columns of ``pack_documents`` are written, null doc_ids too; an empty table writes no folder. A path that exists is an error.
+    """
     packed.write.partitionBy("bucket").parquet(path)
 
 

@@ -41,7 +41,8 @@ def op3_bpe(spark, sf_dir):
 
 
 def op4_substring_dedup(spark, sf_dir):
-    return substring_dedup.repeated_passages(_table(spark, sf_dir, "documents"))
+    # Lines below FLOOR words are never removed; reporting them is left to the operator's default.
+    return substring_dedup.repeated_passages(_table(spark, sf_dir, "documents"), min_words=substring_dedup.FLOOR)
 
 
 def op5_toxicity(spark, sf_dir):

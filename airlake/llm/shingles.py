@@ -6,6 +6,7 @@ import hashlib
 import re
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 WORD = re.compile(r"\w+")
@@ -64,16 +65,11 @@ def shingle_sets(texts: list[str], cache: WordHashes, width: int = 5):
     return owner[at], value[at], np.diff(np.append(at, len(owner)))
 
 
-def bounded(texts, limit: int = 3_000_000):
-    """Index ranges of consecutive texts that hold about ``limit`` characters each."""
-    start = size = 0
-    for i, text in enumerate(texts):
-        if size and size + len(text) > limit:
-            yield start, i
-            start, size = i, 0
-        size += len(text) + 64
-    if start < len(texts):
-        yield start, len(texts)
+def fixed_cells(rows: np.ndarray) -> pa.Array:
+    """The rows of a byte matrix as a binary column."""
+    n, width = rows.shape
+    ends = pa.array(np.arange(n + 1, dtype=np.int32) * width)
+    return pa.Array.from_buffers(pa.binary(), n, [None, ends.buffers()[1], pa.py_buffer(np.ascontiguousarray(rows))])
 
 
 def content_keys(owner, value, count, n: int) -> list[bytes]:

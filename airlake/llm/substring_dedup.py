@@ -2,140 +2,119 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from airlake.llm import shingles as S
-from airlake.llm.common import Scratch, empty_if_null, tune_bands
+from airlake.llm.common import Scratch, empty_if_null, slices, tune_bands
 from airlake.llm.near import near_classes
 
 ROWS = 3
-#: Words of the shortest shared run that is reported; words of a seed, and starts from which one seed is chosen.
-#: PASSAGE words hold CHOICE starts of seeds, so any shared run of PASSAGE words has a common seed.
-PASSAGE, SEED = 24, 12
-CHOICE = PASSAGE - SEED + 1
-#: Paragraphs of fewer words are reported, but not removed.
+#: Words of the shortest passage that is reported; words of a block and of the seed it starts with; seeds from which one is chosen.
+#: PASSAGE words hold a block, wherever they stand.
+PASSAGE, SIZE, SEED = 24, 16, 8
+CHOICE = PASSAGE - SIZE + 1
+#: Lines of fewer words are too common to be removed.
 FLOOR = 25
 
-_SKETCH = (
-    "doc_id {kind}, paragraphs array<struct<start:int,words:int,key:binary,buckets:array<bigint>,sig:binary>>, "
-    "seeds array<struct<key:bigint,check:int,pos:int>>"
-)
+_TOKEN = re.compile(r"\w+|\n")
+_LINE = np.uint64(xxhash.xxh3_64_intdigest("\n"))
+_GOLD, _SILVER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
 
 
-def _word_rows(texts: list[str], cache: S.WordHashes):
-    """Word hashes of each text, one array per line."""
-    get = cache.__getitem__
-    for text in texts:
-        yield [
-            np.fromiter(map(get, words), np.uint64, len(words))
-            for words in (S.WORD.findall(line) for line in text.split("\n"))
-            if words
-        ]
+def _words(texts: list[str], cache: S.WordHashes):
+    """Word hashes of all texts, the place where each text begins, and a number that changes with text or line."""
+    tokens, sizes = [], np.zeros(len(texts), np.int64)
+    for i, text in enumerate(texts):
+        found = _TOKEN.findall(text)
+        sizes[i] = len(found)
+        tokens += found
+    flat = np.fromiter(map(cache.__getitem__, tokens), np.uint64, len(tokens))
+    word = flat != _LINE
+    owner = np.repeat(np.arange(len(texts)), sizes)
+    starts = np.concatenate([[0], np.cumsum(np.bincount(owner[word], minlength=len(texts)))])
+    return flat[word], starts, (np.cumsum(~word) + owner)[word]
 
 
-def _hashes(words: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two hashes, of 64 and 31 bits, of every run of ``size`` words."""
-    n = max(0, len(words) - size + 1)
-    value, check = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
-    for k in range(size if n else 0):
-        value = value * np.uint64(0x9E3779B97F4A7C15) + words[k : k + n]
-        check = check * np.uint64(0xD1342543DE82EF95) + words[k : k + n]
-    return S.mix(value), S.mix(check) >> np.uint64(33)
+def _sets(words: np.ndarray, starts: np.ndarray, sizes: np.ndarray, width: int):
+    """(owner, shingle, 1) of the shingle sets of runs of words that hold ``width`` words at least."""
+    counts = sizes - width + 1
+    owner = np.repeat(np.arange(len(starts)), counts)
+    first = np.repeat(starts, counts) + np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+    value = np.zeros(len(owner), np.uint64)
+    for k in range(width):
+        value = S.mix(value * _GOLD + words[first + k])
+    if not len(owner):
+        return owner, value, np.zeros(0, np.int64)
+    order = np.lexsort((value, owner))
+    owner, value = owner[order], value[order]
+    new = np.concatenate([[True], (owner[1:] != owner[:-1]) | (value[1:] != value[:-1])])
+    return owner[new], value[new], np.ones(int(new.sum()), np.int64)
 
 
-def _seeds(words: np.ndarray) -> list[dict]:
-    """Content-defined seeds: of every CHOICE starts in a row the one with the least hash is chosen."""
-    value, check = _hashes(words, SEED)
-    n = len(value)
-    if len(words) < PASSAGE:
-        return []
+def _blocks(words: np.ndarray, starts: np.ndarray):
+    """(place, key, check, text) of content-defined blocks: of every CHOICE seeds in a row in a text the one with the least hash starts one."""
+    n = max(0, len(words) - SEED + 1)
+    value, check = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+    for k in range(SEED if n else 0):
+        value = value * _GOLD + words[k : k + n]
+        check = check * _SILVER + words[k : k + n]
+    value = S.mix(value)
+    if len(words) < SIZE:
+        return (np.zeros(0, np.int64),) * 4
+    ends = np.repeat(starts[1:], np.diff(starts))
+    here = np.flatnonzero(np.arange(len(words) - SIZE + 1) + SIZE <= ends[: len(words) - SIZE + 1])
     views = np.lib.stride_tricks.sliding_window_view(value, CHOICE)
-    at = np.unique(views.argmin(1) + np.arange(n - CHOICE + 1))
-    keys, checks = value[at].view(np.int64), check[at].astype(np.int64)
-    return [{"key": k, "check": c, "pos": p} for k, c, p in zip(keys.tolist(), checks.tolist(), at.tolist(), strict=True)]
-
-
-def _windows(rows: DataFrame, kind: str) -> DataFrame:
-    """(doc_id, key, check, pos) of all windows of PASSAGE words that hold a seed of rows (doc_id, text, seeds array<int>)."""
-
-    def run(batches):
-        cache = S.WordHashes()
-        for batch in batches:
-            ids, texts, seeds = batch.column("doc_id"), batch.column("text").to_pylist(), batch.column("seeds").to_pylist()
-            for doc, text in enumerate(texts):
-                lines = next(_word_rows([text], cache))
-                value, check = _hashes(np.concatenate(lines) if lines else np.zeros(0, np.uint64), PASSAGE)
-                at = np.unique(np.array(seeds[doc], np.int64)[:, None] - np.arange(CHOICE)[None, :])
-                at = at[(at >= 0) & (at < len(value))]
-                for k in range(0, len(at), 50_000):
-                    some = at[k : k + 50_000]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            ids.take(pa.array(np.full(len(some), doc))), pa.array(value[some].view(np.int64)),
-                            pa.array(check[some].astype(np.int32)), pa.array(some.astype(np.int32)),
-                        ],
-                        ["doc_id", "key", "check", "pos"],
-                    )
-
-    return rows.select("doc_id", "text", "seeds").mapInArrow(run, f"doc_id {kind}, key bigint, check int, pos int")
+    at = np.unique(np.concatenate([views[here[k : k + 200_000]].argmin(1) + here[k : k + 200_000] for k in range(0, len(here), 200_000)] or [here]))
+    at = at[at + SIZE <= ends[at]]
+    key = S.mix(value[at] * _GOLD + value[at + SEED])
+    return at, key.view(np.int64), (S.mix(check[at] * _SILVER + check[at + SEED]) >> np.uint64(33)).astype(np.int32), np.searchsorted(starts, at, "right") - 1
 
 
 def sketches(docs: DataFrame, bands: int, min_words: int, width: int = 5) -> DataFrame:
-    """One row per document: its paragraphs of ``min_words`` or more with MinHash bands, and its seeds."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = _SKETCH.format(kind=kind)
+    """(doc, paragraphs, blocks) of rows (doc, text): lines of ``min_words`` or more with MinHash bands, and content-defined blocks."""
+    kind = docs.schema["doc"].dataType.simpleString()
+
+    def lists(owner: np.ndarray, n: int, names: list[str], columns: list[pa.Array]) -> pa.Array:
+        ends = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=n))]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(columns, names))
 
     def run(batches):
         cache = S.WordHashes()
-        para = pa.struct([("start", pa.int32()), ("words", pa.int32()), ("key", pa.binary()), ("buckets", pa.list_(pa.int64())), ("sig", pa.binary())])
-        seed = pa.struct([("key", pa.int64()), ("check", pa.int32()), ("pos", pa.int32())])
         for batch in batches:
-            ids, texts = batch.column("doc_id"), batch.column("text").to_pylist()
-            for i, j in S.bounded(texts, 1_500_000):
-                parts, spans, seeds = [], [], []
-                for doc, lines in enumerate(_word_rows(texts[i:j], cache)):
-                    at = 0
-                    for line in lines:
-                        if len(line) >= max(min_words, width):
-                            parts.append(line)
-                            spans.append((doc, at, len(line)))
-                        at += len(line)
-                    seeds.append(_seeds(np.concatenate(lines)) if lines else [])
-                n = len(parts)
-                owner, value, count = _sets(parts, width)
+            for part in slices(batch, 1_500_000):
+                rows = part.num_rows
+                words, starts, line = _words(part.column("text").to_pylist(), cache)
+                cuts = np.flatnonzero(np.diff(line)) + 1
+                begin = np.concatenate([[0], cuts]).astype(np.int64)[: len(words)]
+                sizes = np.diff(np.append(begin, len(words)))
+                wide = sizes >= max(min_words, width)
+                begin, sizes = begin[wide], sizes[wide]
+                n = len(begin)
+                owner, value, count = _sets(words, begin, sizes, width)
                 sig = S.min_hash(owner, value, n, bands * ROWS)
-                buckets = S.band_hashes(sig, bands, ROWS).tolist()
-                keys = S.content_keys(owner, value, count, n)
-                out: list[list[dict]] = [[] for _ in range(j - i)]
-                for k, (doc, at, words) in enumerate(spans):
-                    out[doc].append({"start": at, "words": words, "key": keys[k], "buckets": buckets[k], "sig": sig[k].astype(np.uint8).tobytes()})
-                yield pa.RecordBatch.from_arrays(
-                    [ids.slice(i, j - i), pa.array(out, pa.list_(para)), pa.array(seeds, pa.list_(seed))],
-                    ["doc_id", "paragraphs", "seeds"],
-                )
-
-    return docs.select("doc_id", empty_if_null("text").alias("text")).mapInArrow(run, schema)
-
-
-def _sets(parts: list[np.ndarray], width: int):
-    """(owner, shingle, 1) of the shingle sets of word arrays that hold ``width`` words at least."""
-    if not parts:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    flat, sizes = np.concatenate(parts), np.array([len(p) for p in parts])
-    ends = np.cumsum(sizes)
-    counts = sizes - width + 1
-    owner = np.repeat(np.arange(len(parts)), counts)
-    first = np.repeat(ends - sizes, counts) + np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
-    value = np.zeros(len(owner), np.uint64)
-    for k in range(width):
-        value = S.mix(value * np.uint64(0x9E3779B97F4A7C15) + flat[first + k])
-    order = np.lexsort((value, owner))
-    owner, value = owner[order], value[order]
-    new = np.concatenate([[True], (owner[1:] != owner[:-1]) | (value[1:] != value[:-1])])
-    return owner[new], value[new], np.ones(int(new.sum()), np.int64)
+                buckets = S.band_hashes(sig, bands, ROWS)
+                text = np.searchsorted(starts, begin, "right") - 1
+                paragraphs = lists(text, rows, ["start", "words", "key", "buckets", "sig"], [
+                    pa.array((begin - starts[text]).astype(np.int32)), pa.array(sizes.astype(np.int32)),
+                    pa.array(S.content_keys(owner, value, count, n), pa.binary()),
+                    pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * bands), pa.array(buckets.reshape(-1))),
+                    S.fixed_cells(sig.astype(np.uint8)),
+                ])
+                at, key, check, text = _blocks(words, starts)
+                blocks = lists(text, rows, ["key", "check", "pos"], [pa.array(key.view(np.int64)), pa.array(check.astype(np.int32)), pa.array((at - starts[text]).astype(np.int32))])
+                yield pa.RecordBatch.from_arrays([part.column("doc"), paragraphs, blocks], ["doc", "paragraphs", "blocks"])
+
+    return docs.mapInArrow(
+        run,
+        f"doc {kind}, paragraphs array<struct<start:int,words:int,key:binary,buckets:array<bigint>,sig:binary>>, "
+        "blocks array<struct<key:bigint,check:int,pos:int>>",
+    )
 
 
 def _contents(rows: DataFrame, width: int) -> DataFrame:
@@ -144,53 +123,59 @@ def _contents(rows: DataFrame, width: int) -> DataFrame:
     def run(batches):
         cache = S.WordHashes()
         for batch in batches:
-            for text, wanted in zip(batch.column("text").to_pylist(), batch.column("wanted").to_pylist(), strict=True):
-                lines = next(_word_rows([text], cache))
-                words = np.concatenate(lines) if lines else np.zeros(0, np.uint64)
-                parts = [words[w["start"] : w["start"] + w["words"]] for w in wanted]
-                fit = [k for k, p in enumerate(parts) if len(p) == wanted[k]["words"]]
-                sets = _sets([parts[k] for k in fit], width)
-                found, packed = S.content_keys(*sets, len(fit)), S.pack(*sets, len(fit))
-                out = [(f, p) for k, f, p in zip(fit, found, packed, strict=True) if f == wanted[k]["key"]]
-                if out:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.binary())], ["key", "shingles"]
-                    )
+            for part in slices(batch, 1_000_000):
+                words, starts, _ = _words(part.column("text").to_pylist(), cache)
+                wanted = [(starts[i] + w["start"], w["words"], w["key"], starts[i + 1]) for i, ws in enumerate(part.column("wanted").to_pylist()) for w in ws]
+                wanted = [w for w in wanted if w[0] + w[1] <= w[3]]
+                sets = _sets(words, np.array([w[0] for w in wanted], np.int64), np.array([w[1] for w in wanted], np.int64), width)
+                found, packed = S.content_keys(*sets, len(wanted)), S.pack(*sets, len(wanted))
+                out = [(f, p) for w, f, p in zip(wanted, found, packed, strict=True) if f == w[2]]
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.binary())], ["key", "shingles"])
 
     return rows.select("text", "wanted").mapInArrow(run, "key binary, shingles binary")
 
 
 def _contexts(docs: DataFrame, asked: DataFrame) -> DataFrame:
-    """``asked`` (doc_id, at, right, reach) with up to ``reach`` word hashes after ``at`` (right) or before it, nearest first."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    """``asked`` (doc, start, end, reach) with the hashes of up to ``reach`` words before start, nearest first, and after end."""
+    kind = docs.schema["doc"].dataType.simpleString()
 
     def run(batches):
         cache = S.WordHashes()
         for batch in batches:
-            ids, texts, wanted = batch.column("doc_id"), batch.column("text").to_pylist(), batch.column("wanted").to_pylist()
-            for doc, text in enumerate(texts):
-                lines = next(_word_rows([text], cache))
-                words = (np.concatenate(lines) if lines else np.zeros(0, np.uint64)).astype(np.uint32)
-                for k in range(0, len(wanted[doc]), 1000):
-                    some = wanted[doc][k : k + 1000]
-                    near = [words[w["at"] : w["at"] + w["reach"]] if w["right"] else words[max(0, w["at"] - w["reach"]) : w["at"]][::-1] for w in some]
+            for row in range(batch.num_rows):
+                words = _words([batch.column("text")[row].as_py()], cache)[0].astype(np.uint32)
+                spots = batch.column("wanted")[row].values
+                starts, ends, reaches = (spots.field(c).to_numpy() for c in ("start", "end", "reach"))
+                most = max(1, 4_000_000 // max(1, min(len(words), int(reaches.max()))))
+                for k in range(0, len(starts), most):
+                    cut = slice(k, k + most)
+                    spans = list(zip(starts[cut].tolist(), ends[cut].tolist(), reaches[cut].tolist(), strict=True))
                     yield pa.RecordBatch.from_arrays(
                         [
-                            ids.take(pa.array([doc] * len(some))), pa.array([w["at"] for w in some], pa.int32()), pa.array([w["right"] for w in some]),
-                            pa.array([w["reach"] for w in some], pa.int32()), pa.array([x.tobytes() for x in near], pa.binary()),
+                            batch.column("doc").take(pa.array(np.full(len(spans), row))), *(pa.array(x[cut].astype(np.int32)) for x in (starts, ends, reaches)),
+                            pa.array([words[max(0, s - r) : s][::-1].tobytes() for s, _, r in spans], pa.binary()),
+                            pa.array([words[e : e + r].tobytes() for _, e, r in spans], pa.binary()),
                         ],
-                        ["doc_id", "at", "right", "reach", "context"],
+                        ["doc", "start", "end", "reach", "before", "after"],
                     )
 
-    wanted = asked.distinct().groupBy("doc_id").agg(F.collect_list(F.struct("at", "right", "reach")).alias("wanted"))
-    return docs.join(wanted, "doc_id").select("doc_id", empty_if_null("text").alias("text"), "wanted").mapInArrow(
-        run, f"doc_id {kind}, at int, right boolean, reach int, context binary"
+    wanted = asked.distinct().groupBy("doc").agg(F.collect_list(F.struct("start", "end", "reach")).alias("wanted"))
+    return docs.join(wanted, "doc").select("doc", "text", "wanted").mapInArrow(
+        run, f"doc {kind}, start int, end int, reach int, before binary, after binary"
     )
 
 
+def _grams(words: np.ndarray, width: int) -> np.ndarray:
+    n = max(0, len(words) - width + 1)
+    value = np.zeros(n, np.uint64)
+    for k in range(width if n else 0):
+        value = value * _GOLD + words[k : k + n].astype(np.uint64)
+    return S.mix(value)
+
+
 def _flank(a: np.ndarray, b: np.ndarray, gap: int, width: int) -> list[dict]:
     """Where equal runs of ``width`` words or more end beyond an equal run: words of a, of b, and equal shingles so far."""
-    x, y = _hashes(a.astype(np.uint64), width)[0], _hashes(b.astype(np.uint64), width)[0]
+    x, y = _grams(a, width), _grams(b, width)
     places: dict[int, list[int]] = {}
     if not len(x) or not np.isin(x, y).any():
         return []
@@ -213,167 +198,163 @@ def _flank(a: np.ndarray, b: np.ndarray, gap: int, width: int) -> list[dict]:
         out.append({"i": i, "j": j, "same": same})
 
 
-def _near_spans(docs: DataFrame, cores: DataFrame, threshold: float, width: int, scratch: Scratch) -> DataFrame:
-    """(doc_id, start_word, end_word, keep_id, removed): ``cores`` grown over edited text on both sides.
+def _extend(start: int, end: int, other: int, sides: list[tuple[np.ndarray, np.ndarray]], alone: bool, threshold: float, width: int):
+    """(start, end, other start, other end) of the longest span around an equal run, in the text and in the kept one.
 
-    The words around a removed run are aligned with those around the run that it repeats; the span is the longest that ends with equal
-    words and whose shingles have a Jaccard similarity of ``threshold`` or more. Between runs of fewer than PASSAGE equal words, more than a
-    fifth of the shingles differ, so 1.2 times the run is as far as one run can carry at 0.8.
+    ``sides`` are the words before, nearest first, and after the run in both texts. Equal words are taken on both sides, then edited
+    text that ends with equal words, as long as the Jaccard similarity of the spans' shingles is ``threshold`` or more.
+    ``alone``: both are in one text, whose earlier run stays whole.
+    """
+    size, exact, points = end - start, [], []
+    for a, b in sides:
+        n = min(len(a), len(b))
+        apart = np.flatnonzero(a[:n] != b[:n])
+        exact.append(int(apart[0]) if len(apart) else n)
+    if alone:
+        exact[0] = min(exact[0], max(0, start - other - size))
+    core = size + sum(exact)
+    for (a, b), e in zip(sides, exact, strict=True):
+        points.append([{"i": 0, "j": 0, "same": 0}, *_flank(a[e:], b[e:], core // 2 + 8, width)])
+    grams, best = core - width + 1, (0, points[0][0], points[1][0])
+    for x in points[0]:
+        for y in points[1]:
+            same, i, j = grams + x["same"] + y["same"], x["i"] + y["i"], x["j"] + y["j"]
+            if i <= best[0] or same < threshold * (2 * grams + i + j - same):
+                continue
+            if not alone or start - exact[0] - x["i"] >= other + size + exact[1] + y["j"]:
+                best = (i, x, y)
+    _, x, y = best
+    stop = other + size + exact[1] + y["j"]
+    left = start - exact[0] - x["i"]
+    return left, end + exact[1] + y["i"], other - exact[0] - x["j"], max(other + size, min(stop, left)) if alone else stop
+
+
+def _grown(docs: DataFrame, cores: DataFrame, threshold: float, width: int, scratch: Scratch) -> DataFrame:
+    """(doc, start, end, keep, other, stop): equal runs ``cores`` (doc, start, end, keep, other) as the spans of ``_extend``.
+
+    Between runs of fewer than PASSAGE equal words, more than a fifth of the shingles differ, so 1.2 times the run is as far as
+    one run can carry at 0.8. Reaches are powers of two, so that many copies of a run ask for the same words of the kept one.
     """
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    size = F.col("end_word") - F.col("start_word")
-    # Powers of two, so that the many copies of a run ask for the same words of the kept one.
-    sides = cores.withColumn("reach", F.pow(F.lit(2.0), F.ceil(F.log2(size * 1.2))).cast("int")).select(
-        "doc_id", "start_word", "end_word", "lead", "tail", "reach",
-        F.explode(F.array(
-            F.struct(F.lit(False).alias("right"), F.col("start_word").alias("at"), F.col("lead.doc_id").alias("other"), F.col("lead.pos").alias("there")),
-            F.struct(F.lit(True).alias("right"), F.col("end_word").alias("at"), F.col("tail.doc_id").alias("other"), (F.col("tail.pos") + PASSAGE).alias("there")),
-        )).alias("s"),
-    ).select("doc_id", "start_word", "end_word", "lead", "tail", "reach", "s.*")
-    asked = sides.select("doc_id", "at", "right", "reach").unionByName(sides.select(F.col("other").alias("doc_id"), F.col("there").alias("at"), "right", "reach"))
+    kind = docs.schema["doc"].dataType.simpleString()
+    size = F.col("end") - F.col("start")
+    cores = cores.withColumn("reach", F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(size * 1.2, F.lit(2 * PASSAGE))))).cast("int"))
+    told = F.col("other") + size
+    asked = cores.select("doc", "start", "end", "reach").unionByName(cores.select(F.col("keep").alias("doc"), F.col("other").alias("start"), told.alias("end"), "reach"))
     found = scratch.keep(_contexts(docs, asked))
-    pairs = sides.join(found, ["doc_id", "at", "right", "reach"]).withColumnRenamed("context", "a").join(
-        found.select(F.col("doc_id").alias("other"), F.col("at").alias("there"), "right", "reach", F.col("context").alias("b")), ["other", "there", "right", "reach"]
-    )
+    pairs = cores.withColumn("stop", told).join(found, ["doc", "start", "end", "reach"]).join(
+        found.select(F.col("doc").alias("keep"), F.col("start").alias("other"), F.col("end").alias("stop"), "reach", F.col("before").alias("before_2"), F.col("after").alias("after_2")),
+        ["keep", "other", "stop", "reach"],
+    ).select("doc", "start", "end", "keep", "other", (F.col("doc") == F.col("keep")).alias("alone"), "before", "before_2", "after", "after_2")
 
-    def points(batches):
-        kinds = pa.list_(pa.struct([("i", pa.int32()), ("j", pa.int32()), ("same", pa.int32())]))
-        for batch in batches:
-            a, b, size = batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("size").to_pylist()
-            out = [_flank(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32), n // 2 + 8, width) for x, y, n in zip(a, b, size, strict=True)]
-            mask = pa.array([bool(x) for x in out], pa.bool_())
-            kept = batch.select(["doc_id", "start_word", "end_word", "lead", "tail", "right"]).filter(mask)
-            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array([x for x in out if x], kinds)], [*kept.schema.names, "points"])
-
-    place = f"struct<doc_id:{kind},pos:int>"
-    flanks = pairs.select("doc_id", "start_word", "end_word", "lead", "tail", "right", size.alias("size"), "a", "b").mapInArrow(
-        points, f"doc_id {kind}, start_word int, end_word int, lead {place}, tail {place}, right boolean, points array<struct<i:int,j:int,same:int>>"
-    ).groupBy("doc_id", "start_word", "end_word", "lead", "tail").agg(F.collect_list(F.struct("right", "points")).alias("sides"))
-
-    def choose(batches):
-        none = {"i": 0, "j": 0, "same": 0}
+    def run(batches):
         for batch in batches:
+            numbers = [batch.column(c).to_pylist() for c in ("start", "end", "other", "alone")]
+            texts = [batch.column(c) for c in ("before", "before_2", "after", "after_2")]
             out = []
-            for r in batch.to_pylist():
-                doc, start, end, lead, tail = r["doc_id"], r["start_word"], r["end_word"], r["lead"], r["tail"]
-                core, best = end - start - width + 1, None
-                both = [[none] + [p for s in r["sides"] if s["right"] == right for p in s["points"]] for right in (False, True)]
-                for x in both[0]:
-                    for y in both[1]:
-                        same, i, j = core + x["same"] + y["same"], x["i"] + y["i"], x["j"] + y["j"]
-                        if not i or (best and i <= best[0]) or same < threshold * (2 * core + i + j - same):
-                            continue
-                        # A document's own earlier run stays whole.
-                        edge = max([p["pos"] for p in (lead, tail) if p["doc_id"] == doc], default=None)
-                        if edge is None or start - x["i"] >= edge + PASSAGE + y["j"]:
-                            best = (i, x, y)
-                if best:
-                    _, x, y = best
-                    out.append((doc, start - x["i"], end + y["i"], min(lead["doc_id"], tail["doc_id"]), True))
-                    out.append((lead["doc_id"], lead["pos"] - x["j"], lead["pos"] + PASSAGE, lead["doc_id"], False))
-                    out.append((tail["doc_id"], tail["pos"], tail["pos"] + PASSAGE + y["j"], tail["doc_id"], False))
-            ids = batch.schema.field("doc_id").type
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([x[k] for x in out], t) for k, t in enumerate((ids, pa.int32(), pa.int32(), ids, pa.bool_()))],
-                ["doc_id", "start_word", "end_word", "keep_id", "removed"],
-            )
-
-    return flanks.mapInArrow(choose, f"doc_id {kind}, start_word int, end_word int, keep_id {kind}, removed boolean").distinct()
+            for i, (start, end, other, alone) in enumerate(zip(*numbers, strict=True)):
+                a, b, c, d = (np.frombuffer(t[i].as_py(), np.uint32) for t in texts)
+                out.append(_extend(start, end, other, [(a, b), (c, d)], alone, threshold, width))
+            start, end, other, stop = (pa.array([x[k] for x in out], pa.int32()) for k in range(4))
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), start, end, batch.column("keep"), other, stop], ["doc", "start", "end", "keep", "other", "stop"])
+
+    return pairs.mapInArrow(run, f"doc {kind}, start int, end int, keep {kind}, other int, stop int")
 
 
 def repeated_passages(
     docs: DataFrame, threshold: float = 0.8, min_words: int = 5, width: int = 5, miss: float = 1e-3, floor: int = FLOOR
 ) -> DataFrame:
-    """Spans of text that occur more than once: doc_id, start_word, end_word, kind, keep_id, removed.
+    """Spans of text that occur more than once: doc_id, row_key, start_word, end_word, kind, keep_id, removed.
 
     Positions count words (lower-cased runs of letters, digits and underscores), the end is exclusive. One row
-    for each occurrence, also for the one that stays; documents without repeats have no row. Two kinds:
+    for each occurrence and each occurrence that it repeats, also for the ones that stay; documents without
+    repeats have no row. Two kinds:
 
     ``paragraph``: lines of ``min_words`` or more. Their sets of word ``width``-shingles are banded by MinHash (bands
     of 3 registers, as many as lose at most ``miss`` of the pairs at the threshold), colliding paragraphs are
     compared by their exact Jaccard similarity, and the components of the links are the classes. The
     occurrence with the smallest doc_id, then position, stays; of the others, lines of ``floor`` words or more are removed.
 
-    ``passage``: runs of words inside lines or across them, which paragraph bounds would hide. Seeds of
-    12 words start where a hash of the seed is least among 13 neighbours, so the seeds of a shared run do not
-    depend on what stands around it, and any 24 words that two documents share have a common one. Around the
-    seeds that repeat, every window of 24 words is compared, so a span holds the whole of each
-    shared run of 24 words or more. Windows with an equal 95-bit hash are the same; adjacent windows join to a span.
-    The occurrence with the smallest doc_id, then position, stays, in one document, too. From each exact run the
-    span grows over edited text while its Jaccard similarity to the text around the kept run reaches the threshold (``_near_spans``).
-
-    A null text has no words; a null doc_id has no spans; rows that repeat a doc_id are read as one document.
-    An empty table gives an empty result; further columns are not read.
+    ``passage``: runs of words inside lines or across them, which paragraph bounds would hide. Blocks of 16 words start
+    where a hash of their first 8 words is least among 9 neighbours, so the blocks of a shared run do not
+    depend on what stands around it, and every run of 24 words holds one. Blocks with an equal 95-bit hash are the same;
+    the one with the smallest doc_id, then position, stays, in one document, too. Blocks of one document that repeat the
+    same stretch of another one are a run, which is compared word by word with what it repeats to its maximal length,
+    then over edited text while the Jaccard similarity of both spans reaches the threshold (``_extend``); spans of 24 words
+    or more are reported. So each run of 24 words or more that a document shares with the first occurrence of one of its
+    blocks is reported whole. Where a third document has one of its blocks earlier, the span ends
+    where that one's text does, so up to 8 words at an end of the run, or a run of one block, can go unreported.
+
+    A null text has no words; a null doc_id has no spans. row_key is a hash of the text: rows that repeat a doc_id with different texts
+    are documents of their own; with the same text they are one document. An empty table gives an empty result; further
+    columns are not read.
     """
     scratch = Scratch(docs.sparkSession)
     bands = tune_bands(threshold, ROWS, miss)
-    docs = docs.select("doc_id", "text").where("doc_id IS NOT NULL")
+    text = empty_if_null("text")
+    docs = docs.where("doc_id IS NOT NULL").select(F.struct("doc_id", F.xxhash64(text).alias("row_key")).alias("doc"), text.alias("text"))
     table = scratch.keep(sketches(docs, bands, min_words, width))
 
-    paragraphs = table.select("doc_id", F.explode("paragraphs").alias("p")).select("doc_id", "p.*")
+    paragraphs = table.select("doc", F.explode("paragraphs").alias("p")).select("doc", "p.*")
     nodes = scratch.keep(
         paragraphs.groupBy("key").agg(
-            F.count(F.lit(1)).alias("mult"), F.min(F.struct("doc_id", "start", "words")).alias("rep"),
+            F.count(F.lit(1)).alias("mult"), F.min(F.struct("doc", "start", "words")).alias("rep"),
             F.first("buckets").alias("buckets"), F.first("sig").alias("sig"),
         )
     )
 
     def fetch(keys: DataFrame) -> DataFrame:
         wanted = (
-            nodes.join(keys, "key").select("rep.*", "key").groupBy("doc_id")
+            nodes.join(keys, "key").select("rep.*", "key").groupBy("doc")
             .agg(F.collect_list(F.struct("start", "words", "key")).alias("wanted"))
         )
-        return _contents(docs.join(wanted, "doc_id").select(empty_if_null("text").alias("text"), "wanted"), width).dropDuplicates(["key"])
+        return _contents(docs.join(wanted, "doc").select("text", "wanted"), width).dropDuplicates(["key"])
 
     classes = near_classes(nodes, fetch, threshold, bands * ROWS, scratch)
     member = nodes.join(classes, "key", "left").select("key", "mult", "rep", F.coalesce("root", "key").alias("root"))
-    named = member.groupBy("root").agg(F.min("rep").alias("best"), F.sum("mult").alias("size")).where("size > 1")
+    # Grouped tables are written before a join on their group: its partitions can then be split where one group is large.
+    named = scratch.keep(member.groupBy("root").agg(F.min("rep").alias("best"), F.sum("mult").alias("size")).where("size > 1"))
     lookup = scratch.keep(member.join(named, "root").select("key", "best"))
-    lines = paragraphs.select("doc_id", "start", "words", "key").join(lookup, "key").select(
-        "doc_id", F.col("start").alias("start_word"), (F.col("start") + F.col("words")).alias("end_word"),
-        F.lit("paragraph").alias("kind"), F.col("best.doc_id").alias("keep_id"),
-        ((F.struct("doc_id", "start") != F.struct("best.doc_id", "best.start")) & (F.col("words") >= floor)).alias("removed"),
+    lines = paragraphs.select("doc", "start", "words", "key").join(lookup, "key").select(
+        "doc", "start", (F.col("start") + F.col("words")).alias("end"), F.lit("paragraph").alias("kind"), F.col("best.doc").alias("keep"),
+        ((F.struct("doc", "start") != F.struct("best.doc", "best.start")) & (F.col("words") >= floor)).alias("removed"),
     )
 
-    def shared(rows: DataFrame) -> DataFrame:
-        # Written, so that the join reads two shuffles and the partition of a very common window can be split.
-        return scratch.keep(
-            rows.groupBy("key", "check").agg(F.min(F.struct("doc_id", "pos")).alias("kept"), F.max(F.struct("doc_id", "pos")).alias("last"))
-            .where("kept < last").drop("last")
-        )
-
-    seeds = table.select("doc_id", F.explode("seeds").alias("w")).select("doc_id", "w.*")
-    wanted = seeds.join(shared(seeds), ["key", "check"]).groupBy("doc_id").agg(F.collect_set("pos").alias("seeds"))
-    # Written, so that the texts are read and their windows hashed once.
-    windows = scratch.keep(_windows(docs.join(wanted, "doc_id").select("doc_id", empty_if_null("text").alias("text"), "seeds"), docs.schema["doc_id"].dataType.simpleString()))
-    # A window that overlaps its kept occurrence in one document stays with it.
-    hits = windows.join(shared(windows), ["key", "check"]).select(
-        "doc_id", "pos", "kept", ((F.col("doc_id") > F.col("kept.doc_id")) | (F.col("pos") >= F.col("kept.pos") + PASSAGE)).alias("removed")
+    blocks = table.select("doc", F.explode("blocks").alias("b")).select("doc", "b.*")
+    shared = scratch.keep(
+        blocks.groupBy("key", "check").agg(F.min(F.struct("doc", "pos")).alias("kept"), F.max(F.struct("doc", "pos")).alias("last"))
+        .where("kept < last").drop("last")
+    )
+    # A block that overlaps its kept occurrence in one document stays with it.
+    hits = blocks.join(shared, ["key", "check"]).select("doc", "pos", F.col("kept.doc").alias("keep"), F.col("kept.pos").alias("other")).where(
+        (F.col("doc") > F.col("keep")) | (F.col("pos") >= F.col("other") + SIZE)
+    )
+    along = Window.partitionBy("doc", "keep", "shift").orderBy("pos")
+    islands = hits.withColumn("shift", F.col("pos") - F.col("other")).withColumn("new", (F.col("pos") > F.lag("pos", 1, -SIZE - 1).over(along) + SIZE).cast("int"))
+    cores = scratch.keep(
+        islands.withColumn("island", F.sum("new").over(along)).groupBy("doc", "keep", "shift", "island")
+        .agg(F.min("pos").alias("start"), (F.max("pos") + SIZE).alias("end"), F.min("other").alias("other")).drop("shift", "island")
     )
-    here = Window.partitionBy("doc_id", "removed").orderBy("pos")
-    islands = hits.withColumn("new", (F.col("pos") > F.lag("pos", 1, -PASSAGE - 1).over(here) + PASSAGE).cast("int"))
-    islands = islands.withColumn("island", F.sum("new").over(here))
-    runs = scratch.keep(islands.groupBy("doc_id", "removed", "island").agg(
-        F.min("pos").alias("start_word"), (F.max("pos") + PASSAGE).alias("end_word"), F.min("kept.doc_id").alias("keep_id"),
-        F.min_by("kept", "pos").alias("lead"), F.max_by("kept", "pos").alias("tail"),
-    ))
-    spans = runs.select("doc_id", "start_word", "end_word", "keep_id", "removed").unionByName(
-        _near_spans(docs, runs.where("removed"), threshold, width, scratch)
+    grown = scratch.keep(_grown(docs, cores, threshold, width, scratch).where(F.col("end") - F.col("start") >= PASSAGE))
+    spans = grown.select("doc", "start", "end", "keep", F.lit(True).alias("removed")).unionByName(
+        grown.select(F.col("keep").alias("doc"), F.col("other").alias("start"), F.col("stop").alias("end"), "keep", F.lit(False).alias("removed")).distinct()
+    )
+    here = Window.partitionBy("doc", "keep", "removed").orderBy("start", "end")
+    before = F.max("end").over(here.rowsBetween(Window.unboundedPreceding, -1))
+    spans = spans.withColumn("new", F.coalesce((F.col("start") > before).cast("int"), F.lit(1)))
+    passages = spans.withColumn("island", F.sum("new").over(here.rowsBetween(Window.unboundedPreceding, 0))).groupBy("doc", "keep", "removed", "island").agg(
+        F.min("start").alias("start"), F.max("end").alias("end")
+    ).select("doc", "start", "end", F.lit("passage").alias("kind"), "keep", "removed")
+    return lines.unionByName(passages).select(
+        "doc.doc_id", "doc.row_key", F.col("start").alias("start_word"), F.col("end").alias("end_word"), "kind", F.col("keep.doc_id").alias("keep_id"), "removed"
     )
-    here = Window.partitionBy("doc_id", "removed").orderBy("start_word", "end_word")
-    before = F.max("end_word").over(here.rowsBetween(Window.unboundedPreceding, -1))
-    spans = spans.withColumn("new", F.coalesce((F.col("start_word") > before).cast("int"), F.lit(1)))
-    passages = spans.withColumn("island", F.sum("new").over(here.rowsBetween(Window.unboundedPreceding, 0))).groupBy("doc_id", "removed", "island").agg(
-        F.min("start_word").alias("start_word"), F.max("end_word").alias("end_word"), F.min("keep_id").alias("keep_id")
-    ).select("doc_id", "start_word", "end_word", F.lit("passage").alias("kind"), "keep_id", "removed")
-    return lines.unionByName(passages)
 
 
 def cut_repeats(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """``docs`` without the words of the removed ``spans``; a document left without words is dropped.
 
     Text between the words of a span goes with it; the rest stays as it is. n_chars, where present, is
-    counted anew for documents that were cut.
+    counted anew for documents that were cut. Rows are found by doc_id and a hash of the text, so rows that
+    repeat a doc_id with another text are left alone. A null or empty text that no span names stays, as does a null doc_id.
     """
     from pyspark.sql.pandas.functions import pandas_udf
 
@@ -396,11 +377,11 @@ def cut_repeats(docs: DataFrame, spans: DataFrame) -> DataFrame:
         return pd.Series(out, dtype=object)
 
     ranges = (
-        spans.where("removed").groupBy(F.col("doc_id").alias("_id"))
+        spans.where("removed").groupBy(F.col("doc_id").alias("_id"), F.col("row_key").alias("_key"))
         .agg(F.collect_list(F.struct(F.col("start_word").alias("s"), F.col("end_word").alias("e"))).alias("_spans"))
     )
     # Columns are named through their tables: those of docs may have any name.
-    joined = docs.join(ranges, docs["doc_id"] == ranges["_id"], "left")
+    joined = docs.join(ranges, (docs["doc_id"] == ranges["_id"]) & (F.xxhash64(empty_if_null(docs["text"])) == ranges["_key"]), "left")
     whole = joined.where(ranges["_spans"].isNull()).select(*[docs[c] for c in docs.columns])
     row = F.struct(*[docs[c] for c in docs.columns]).alias("row")
     kept = joined.where(ranges["_spans"].isNotNull()).select(row, cut(empty_if_null(docs["text"]), ranges["_spans"]).alias("text")).where("text IS NOT NULL")
@@ -408,7 +389,10 @@ def cut_repeats(docs: DataFrame, spans: DataFrame) -> DataFrame:
     return whole.unionByName(kept.select(*[columns.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns]))
 
 
-def drop_repeats(docs: DataFrame, threshold: float = 0.8, min_words: int = 25) -> DataFrame:
-    """``docs`` with every repeated passage, of lines those of ``min_words`` or more, left only where ``repeated_passages`` keeps it."""
+def drop_repeats(docs: DataFrame, threshold: float = 0.8, min_words: int = FLOOR) -> DataFrame:
+    """``docs`` with every passage and every line of ``min_words`` or more that ``repeated_passages`` marks as removed cut out.
+
+    All columns stay; nulls, empty texts and repeated rows fare as in ``cut_repeats``; an empty table gives an empty result.
+    """
     scratch = Scratch(docs.sparkSession)
-    return cut_repeats(docs, scratch.keep(repeated_passages(docs, threshold, floor=min_words)))
+    return cut_repeats(docs, scratch.keep(repeated_passages(docs, threshold, min_words, floor=min_words)))

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from airlake.llm.common import empty_if_null, held_out
+from airlake.llm.common import empty_if_null, held_out, slices
 
 #: Letters of other scripts that look like Latin ones.
 HOMOGLYPHS = {
@@ -94,6 +94,11 @@ def _training_rows(docs: DataFrame, labels: DataFrame, label: str, max_rows: int
     )
 
 
+def _counted(counts: Counter, name: str) -> pa.RecordBatch:
+    columns = [pa.array([k[0] for k in counts], pa.string()), pa.array([k[1] for k in counts], pa.int32()), pa.array(counts.values(), pa.int64())]
+    return pa.RecordBatch.from_arrays(columns, [name, "toxic", "n"])
+
+
 def learn_lexicon(
     docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = 20_000, size: int = 256, exceptions: tuple[str, ...] = ()
 ) -> Lexicon:
@@ -110,20 +115,16 @@ def learn_lexicon(
     """
 
     def candidates(batches):
-        for batch in batches:
+        for part in (p for batch in batches for p in slices(batch)):
             counts: Counter = Counter()
-            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist(), strict=True):
+            for text, toxic in zip(part.column("text").to_pylist(), part.column("label").to_pylist(), strict=True):
                 words = set(fold(text).split())
                 found = {w for w in words if 3 <= len(w) <= 24}
                 for n in (4, 5, 6, 7):
                     found.update(w[:n] for w in words if len(w) > n)
                 for w in found:
                     counts[w, toxic] += 1
-            if counts:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([k[0] for k in counts]), pa.array([k[1] for k in counts], pa.int32()), pa.array(counts.values(), pa.int64())],
-                    ["stem", "toxic", "n"],
-                )
+            yield _counted(counts, "stem")
 
     rows = _training_rows(docs, labels, label, max_rows).persist()
     try:
@@ -150,24 +151,21 @@ def learn_lexicon(
         stems = automaton(plain)
 
         def contexts(batches):
-            for batch in batches:
+            for part in (p for batch in batches for p in slices(batch)):
                 counts: Counter = Counter()
-                for text, toxic in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist(), strict=True):
+                for text, toxic in zip(part.column("text").to_pylist(), part.column("label").to_pylist(), strict=True):
                     folded = fold(text)
                     found = set()
                     for end, (length, _, excuse) in stems.iter(folded) if len(stems) else ():
                         if not excuse:
                             start = end - length + 1
                             words = folded[folded.rfind(" ", 0, start) + 1 : start].split()
-                            here, *after = folded[start : start + 80].split()[:2]
+                            # up to the end of the word after the match
+                            here, *after = folded[start : folded.find(" ", folded.find(" ", end + 1) + 1) + 1 or None].split()[:2]
                             found.update({" ".join([*words, here]), " ".join([here, *after])} if words else {" ".join([here, *after])})
                     for phrase in found:
                         counts[phrase, toxic] += 1
-                if counts:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([k[0] for k in counts]), pa.array([k[1] for k in counts], pa.int32()), pa.array(counts.values(), pa.int64())],
-                        ["phrase", "toxic", "n"],
-                    )
+                yield _counted(counts, "phrase")
 
         excuses = (
             rows.mapInArrow(contexts, "phrase string, toxic int, n bigint").groupBy("phrase")
@@ -206,19 +204,25 @@ def score_documents(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     def run(batches):
         machine = automaton(lexicon)
         for batch in batches:
-            scores = [lexicon.score(evidence(text.as_py(), machine)) for text in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64())], ["doc_id", "score"])
+            for part in slices(batch):
+                scores = [lexicon.score(evidence(text.as_py(), machine)) for text in part.column("text")]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(scores, pa.float64())], ["doc_id", "score"])
 
     return docs.select("doc_id", empty_if_null("text").alias("text")).mapInArrow(run, f"doc_id {kind}, score double")
 
 
 def drop_toxic(docs: DataFrame, lexicon: Lexicon, least: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` whose score is below ``least``, with all their columns."""
+    """The rows of ``docs`` whose score is below ``least``, with all their columns, whatever their doc_id.
+
+    A null or empty text has the score of no evidence. Rows are judged one by one, so repeated rows go or stay
+    together. An empty table gives an empty result.
+    """
 
     def run(batches):
         machine = automaton(lexicon)
         for batch in batches:
-            keep = [lexicon.score(evidence(text.as_py() or "", machine)) < least for text in batch.column("text")]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            for part in slices(batch):
+                keep = [lexicon.score(evidence(text.as_py() or "", machine)) < least for text in part.column("text")]
+                yield part.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
