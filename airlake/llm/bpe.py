@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from airlake.llm.common import empty_if_null, slices
+from airlake.llm.common import empty_if_null, lean, slices
 
 _NONE = 1 << 62
 
@@ -222,7 +222,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str) -> DataFram
                 cache.learn(rows)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), _column([b"".join(map(get, row)) for row in rows])], ["doc_id", "ids"])
 
-    return docs.select("doc_id", empty_if_null("text").alias("text")).mapInArrow(run, f"doc_id {kind}, ids binary")
+    return lean(docs).select("doc_id", empty_if_null("text").alias("text")).mapInArrow(run, f"doc_id {kind}, ids binary")
 
 
 def decode_documents(encoded: DataFrame, ranks_path: str) -> DataFrame:
@@ -253,4 +253,4 @@ def decode_documents(encoded: DataFrame, ranks_path: str) -> DataFrame:
                 decoded = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, cuts.buffers()[1], pa.py_buffer(data)])
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("ids"), decoded], ["doc_id", "ids", "decoded"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, ids binary, decoded binary")
+    return lean(encoded).select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, ids binary, decoded binary")

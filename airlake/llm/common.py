@@ -59,6 +59,20 @@ class Scratch:
         self.paths.clear()
 
 
+def lean(df: DataFrame) -> DataFrame:
+    """``df``, for a stage in Python: Arrow batches of its session are lowered to 8 MB and 4,000 rows, where they are larger.
+
+    A worker and the executor's direct memory hold a few batches at once; long texts fill the default of 64 MB.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.max"
+    size = df.sparkSession._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(conf.get(name + "BytesPerBatch"))
+    if not 0 < size <= 8 << 20:
+        conf.set(name + "BytesPerBatch", str(8 << 20))
+    if not 0 < int(conf.get(name + "RecordsPerBatch")) <= 4000:
+        conf.set(name + "RecordsPerBatch", "4000")
+    return df
+
+
 def slices(batch: pa.RecordBatch, limit: int = 2_000_000, rows: int = 10_000, column: str = "text"):
     """Parts of a batch, without a copy, whose texts hold about ``limit`` bytes: what a task has as Python objects at once."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 64)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from airlake.llm import shingles as S
-from airlake.llm.common import Scratch, empty_if_null, slices, tune_bands
+from airlake.llm.common import Scratch, empty_if_null, lean, slices, tune_bands
 from airlake.llm.near import near_classes
 
 ROWS = 5
@@ -81,7 +81,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, mis
     """
     scratch = Scratch(docs.sparkSession)
     bands = tune_bands(threshold, ROWS, miss)
-    docs = docs.select("doc_id", "text")
+    docs = lean(docs).select("doc_id", "text")
     table = scratch.keep(signatures(docs.where("doc_id IS NOT NULL"), bands, ROWS, width))
     nodes = scratch.keep(
         table.groupBy("key").agg(

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from airlake.llm.common import empty_if_null, slices
+from airlake.llm.common import empty_if_null, lean, slices
 
 _BLANK = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Small letters that no normal form changes.
@@ -140,7 +140,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, longest: int = 2048, end_id:
                     ["doc_id", "start", "length", "ids", "doc_tokens", "bucket", "sequence_id", "offset"],
                 )
 
-    return docs.select("doc_id", empty_if_null("text").alias("text")).mapInArrow(
+    return lean(docs).select("doc_id", empty_if_null("text").alias("text")).mapInArrow(
         run,
         f"doc_id {kind}, start bigint, length bigint, ids binary, doc_tokens bigint, bucket int, sequence_id bigint, offset bigint",
     )

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from airlake.llm import shingles as S
-from airlake.llm.common import Scratch, empty_if_null, held_out, slices
+from airlake.llm.common import Scratch, empty_if_null, held_out, lean, slices
 
 #: Measures of a text's shape, and the bins that follow them among the features: half for hashed words, half for word pairs.
 SHAPES = ("length", "word_length", "distinct", "symbols", "digits", "capitals", "bars", "stops", "lines")
@@ -145,7 +145,7 @@ def quality_scores(
     without any. An empty table gives an empty result; further columns are not read.
     """
     scratch = Scratch(docs.sparkSession)
-    base = docs.select("doc_id", empty_if_null("text").alias("text"), F.col(host).alias("_host"), F.col(path).alias("_path"))
+    base = lean(docs).select("doc_id", empty_if_null("text").alias("text"), F.col(host).alias("_host"), F.col(path).alias("_path"))
     known = (
         labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
         .groupBy("doc_id").agg(F.max(label).cast("double").alias("_y"))

@@ -24,7 +24,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """64-bit hash of a word in lower case, computed at first sight; emptied before it outgrows a task."""
 
-    limit = 400_000
+    limit = 150_000
 
     def __missing__(self, word: str) -> int:
         if len(self) >= self.limit:

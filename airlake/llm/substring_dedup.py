@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from airlake.llm import shingles as S
-from airlake.llm.common import Scratch, empty_if_null, slices, tune_bands
+from airlake.llm.common import Scratch, empty_if_null, lean, slices, tune_bands
 from airlake.llm.near import near_classes
 
 ROWS = 3
@@ -19,6 +20,8 @@ ROWS = 3
 #: PASSAGE words hold a block, wherever they stand.
 PASSAGE, SIZE, SEED = 24, 16, 8
 CHOICE = PASSAGE - SIZE + 1
+#: Words between blocks of one chain.
+GAP = 64
 #: Lines of fewer words are too common to be removed.
 FLOOR = 25
 
@@ -135,8 +138,8 @@ def _contents(rows: DataFrame, width: int) -> DataFrame:
     return rows.select("text", "wanted").mapInArrow(run, "key binary, shingles binary")
 
 
-def _contexts(docs: DataFrame, asked: DataFrame) -> DataFrame:
-    """``asked`` (doc, start, end, reach) with the hashes of up to ``reach`` words before start, nearest first, and after end."""
+def _regions(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """``asked`` (doc, start, end, reach) with the hashes of the words between, and of up to ``reach`` words on either side."""
     kind = docs.schema["doc"].dataType.simpleString()
 
     def run(batches):
@@ -146,26 +149,27 @@ def _contexts(docs: DataFrame, asked: DataFrame) -> DataFrame:
                 words = _words([batch.column("text")[row].as_py()], cache)[0].astype(np.uint32)
                 spots = batch.column("wanted")[row].values
                 starts, ends, reaches = (spots.field(c).to_numpy() for c in ("start", "end", "reach"))
-                most = max(1, 4_000_000 // max(1, min(len(words), int(reaches.max()))))
-                for k in range(0, len(starts), most):
-                    cut = slice(k, k + most)
-                    spans = list(zip(starts[cut].tolist(), ends[cut].tolist(), reaches[cut].tolist(), strict=True))
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            batch.column("doc").take(pa.array(np.full(len(spans), row))), *(pa.array(x[cut].astype(np.int32)) for x in (starts, ends, reaches)),
-                            pa.array([words[max(0, s - r) : s][::-1].tobytes() for s, _, r in spans], pa.binary()),
-                            pa.array([words[e : e + r].tobytes() for _, e, r in spans], pa.binary()),
-                        ],
-                        ["doc", "start", "end", "reach", "before", "after"],
-                    )
+                cells, size = [], 0
+                for k, (s, e, r) in enumerate(zip(starts.tolist(), ends.tolist(), reaches.tolist(), strict=True)):
+                    cells.append(words[max(0, s - r) : e + r].tobytes())
+                    size += len(cells[-1])
+                    if size > 4_000_000 or k + 1 == len(starts):
+                        some = slice(k + 1 - len(cells), k + 1)
+                        yield pa.RecordBatch.from_arrays(
+                            [
+                                batch.column("doc").take(pa.array(np.full(len(cells), row))),
+                                *(pa.array(x[some].astype(np.int32)) for x in (starts, ends, reaches)), pa.array(cells, pa.binary()),
+                            ],
+                            ["doc", "start", "end", "reach", "words"],
+                        )
+                        cells, size = [], 0
 
     wanted = asked.distinct().groupBy("doc").agg(F.collect_list(F.struct("start", "end", "reach")).alias("wanted"))
-    return docs.join(wanted, "doc").select("doc", "text", "wanted").mapInArrow(
-        run, f"doc {kind}, start int, end int, reach int, before binary, after binary"
-    )
+    return docs.join(wanted, "doc").select("doc", "text", "wanted").mapInArrow(run, f"doc {kind}, start int, end int, reach int, words binary")
 
 
 def _grams(words: np.ndarray, width: int) -> np.ndarray:
+    """A hash of every run of ``width`` words."""
     n = max(0, len(words) - width + 1)
     value = np.zeros(n, np.uint64)
     for k in range(width if n else 0):
@@ -173,89 +177,132 @@ def _grams(words: np.ndarray, width: int) -> np.ndarray:
     return S.mix(value)
 
 
-def _flank(a: np.ndarray, b: np.ndarray, gap: int, width: int) -> list[dict]:
-    """Where equal runs of ``width`` words or more end beyond an equal run: words of a, of b, and equal shingles so far."""
-    x, y = _grams(a, width), _grams(b, width)
-    places: dict[int, list[int]] = {}
-    if not len(x) or not np.isin(x, y).any():
+def _same(x: np.ndarray, y: np.ndarray) -> int:
+    """How many first words are equal."""
+    n, size = min(len(x), len(y)), 64
+    while True:
+        apart = np.flatnonzero(x[: min(n, size)] != y[: min(n, size)])
+        if len(apart):
+            return int(apart[0])
+        if size >= n:
+            return n
+        size *= 8
+
+
+def _flank(x: np.ndarray, y: np.ndarray, gap: int, width: int) -> list[tuple[int, int, int]]:
+    """Where equal runs of ``width`` words or more end beyond an equal run: words of one and of the other text, and equal shingles so far.
+
+    x and y are the hashes of runs of ``width`` words on that side of it, nearest first.
+    """
+    grams, others = x.tolist(), y.tolist()
+    if not grams or not others or set(others).isdisjoint(grams):
         return []
-    for j, g in enumerate(y.tolist()):
-        places.setdefault(g, []).append(j)
-    grams, out, i, j, same = x.tolist(), [], 0, 0, 0
+    places: dict[int, list[int]] = {}
+    for q, g in enumerate(others):
+        places.setdefault(g, []).append(q)
+    out, i, j, same = [], 0, 0, 0
     while True:
-        found = None
         for p in range(i, min(i + gap + 1, len(grams))):
-            q = next((q for q in places.get(grams[p], ()) if j <= q <= j + gap), None)
-            if q is not None:
-                found = (p, q)
+            where = places.get(grams[p])
+            k = bisect_left(where, j) if where else 0
+            if where and k < len(where) and where[k] <= j + gap:
+                q = where[k]
                 break
-        if found is None:
+        else:
             return out
-        p, q = found
-        while p < len(grams) and q < len(y) and grams[p] == y[q]:
+        while p < len(grams) and q < len(others) and grams[p] == others[q]:
             p, q, same = p + 1, q + 1, same + 1
         i, j = p + width - 1, q + width - 1
-        out.append({"i": i, "j": j, "same": same})
+        out.append((i, j, same))
 
 
-def _extend(start: int, end: int, other: int, sides: list[tuple[np.ndarray, np.ndarray]], alone: bool, threshold: float, width: int):
-    """(start, end, other start, other end) of the longest span around an equal run, in the text and in the kept one.
+def _extend(texts: list[np.ndarray], grams: list[np.ndarray], i: int, j: int, size: int, room: int | None, threshold: float, width: int):
+    """(start, end, other start, other end) of the longest span around ``size`` equal words at i of the text and j of the kept one.
 
-    ``sides`` are the words before, nearest first, and after the run in both texts. Equal words are taken on both sides, then edited
-    text that ends with equal words, as long as the Jaccard similarity of the spans' shingles is ``threshold`` or more.
-    ``alone``: both are in one text, whose earlier run stays whole.
+    Equal words are taken on both sides, then edited text that ends with equal words, as long as the Jaccard similarity of the
+    spans' shingles is ``threshold`` or more. ``room``, if both are in one document, is the number of words between them: the earlier
+    run stays whole.
     """
-    size, exact, points = end - start, [], []
-    for a, b in sides:
-        n = min(len(a), len(b))
-        apart = np.flatnonzero(a[:n] != b[:n])
-        exact.append(int(apart[0]) if len(apart) else n)
-    if alone:
-        exact[0] = min(exact[0], max(0, start - other - size))
-    core = size + sum(exact)
-    for (a, b), e in zip(sides, exact, strict=True):
-        points.append([{"i": 0, "j": 0, "same": 0}, *_flank(a[e:], b[e:], core // 2 + 8, width)])
-    grams, best = core - width + 1, (0, points[0][0], points[1][0])
-    for x in points[0]:
-        for y in points[1]:
-            same, i, j = grams + x["same"] + y["same"], x["i"] + y["i"], x["j"] + y["j"]
-            if i <= best[0] or same < threshold * (2 * grams + i + j - same):
-                continue
-            if not alone or start - exact[0] - x["i"] >= other + size + exact[1] + y["j"]:
-                best = (i, x, y)
-    _, x, y = best
-    stop = other + size + exact[1] + y["j"]
-    left = start - exact[0] - x["i"]
-    return left, end + exact[1] + y["i"], other - exact[0] - x["j"], max(other + size, min(stop, left)) if alone else stop
-
-
-def _grown(docs: DataFrame, cores: DataFrame, threshold: float, width: int, scratch: Scratch) -> DataFrame:
-    """(doc, start, end, keep, other, stop): equal runs ``cores`` (doc, start, end, keep, other) as the spans of ``_extend``.
-
-    Between runs of fewer than PASSAGE equal words, more than a fifth of the shingles differ, so 1.2 times the run is as far as
-    one run can carry at 0.8. Reaches are powers of two, so that many copies of a run ask for the same words of the kept one.
+    (a, b), (x, y) = texts, grams
+    before, after = _same(a[:i][::-1], b[:j][::-1]), _same(a[i + size :], b[j + size :])
+    if room is not None:
+        before = min(before, max(0, room))
+    core = size + before + after
+    # Between runs of fewer than PASSAGE equal words, more than a fifth of the shingles differ: a run carries 1.2 times its length at 0.8.
+    far, gap = 2 * PASSAGE + 6 * core // 5, core // 2 + 8
+    i, j, end, stop = i - before, j - before, i + size + after, j + size + after
+    back = [g[max(0, at - far) : max(0, at - width + 1)][::-1] for g, at in ((x, i), (y, j))]
+    ahead = [g[at : at + far - width + 1] for g, at in ((x, end), (y, stop))]
+    none, count = (0, 0, 0), core - width + 1
+    best = (0, none, none)
+    rights = [none, *_flank(*ahead, gap, width)]
+    for p in [none, *_flank(*back, gap, width)]:
+        for q in rights:
+            longer, same = p[0] + q[0], count + p[2] + q[2]
+            if longer > best[0] and same >= threshold * (2 * count + longer + p[1] + q[1] - same):
+                if room is None or room - before - p[0] >= after + q[1]:
+                    best = (longer, p, q)
+    _, p, q = best
+    return i - p[0], end + q[0], j - p[1], stop + q[1]
+
+
+def _spans(hits: list[dict], a: np.ndarray, first: int, b: np.ndarray, other: int, alone: bool, threshold: float, width: int):
+    """(start, end, other start, other end) of spans that hold all equal runs of a chain of blocks; a begins at word ``first``, b at ``other``."""
+    runs: list[list[int]] = []
+    for pos, there in sorted((h["pos"], h["other"]) for h in hits):
+        if runs and pos - there == runs[-1][0] - runs[-1][2] and pos <= runs[-1][1]:
+            runs[-1][1] = pos + SIZE
+        else:
+            runs.append([pos, pos + SIZE, there])
+    grams = [_grams(a, width), _grams(b, width)]
+    out: list[tuple[int, int, int, int]] = []
+    for start, end, there in sorted(runs, key=lambda r: r[0] - r[1]):
+        if any(s <= start and end <= e for s, e, _, _ in out):
+            continue
+        size = end - start
+        left, right, low, high = _extend([a, b], grams, start - first, there - other, size, start - there - size if alone else None, threshold, width)
+        if alone:
+            high = max(there + size - other, min(high, left + first - other))
+        out.append((left + first, right + first, low + other, high + other))
+    return [x for x in out if x[1] - x[0] >= PASSAGE]
+
+
+def _grown(docs: DataFrame, chains: DataFrame, threshold: float, width: int, scratch: Scratch) -> DataFrame:
+    """(doc, start, end, keep, other, stop): the spans of ``chains`` (doc, keep, hits array<struct<pos, other>>).
+
+    Reaches are powers of two beyond what ``_extend`` can use, so that many copies of a run ask for the same words of the kept one.
     """
     kind = docs.schema["doc"].dataType.simpleString()
-    size = F.col("end") - F.col("start")
-    cores = cores.withColumn("reach", F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(size * 1.2, F.lit(2 * PASSAGE))))).cast("int"))
-    told = F.col("other") + size
-    asked = cores.select("doc", "start", "end", "reach").unionByName(cores.select(F.col("keep").alias("doc"), F.col("other").alias("start"), told.alias("end"), "reach"))
-    found = scratch.keep(_contexts(docs, asked))
-    pairs = cores.withColumn("stop", told).join(found, ["doc", "start", "end", "reach"]).join(
-        found.select(F.col("doc").alias("keep"), F.col("start").alias("other"), F.col("end").alias("stop"), "reach", F.col("before").alias("before_2"), F.col("after").alias("after_2")),
+    ends = {f"{end}_{name}": getattr(F, f"array_{end}")(F.col(f"hits.{name}")) for name in ("pos", "other") for end in ("min", "max")}
+    chains = chains.withColumns(ends).select(
+        "doc", F.col("min_pos").alias("start"), (F.col("max_pos") + SIZE).alias("end"),
+        "keep", F.col("min_other").alias("other"), (F.col("max_other") + SIZE).alias("stop"), "hits",
+    )
+    size = F.greatest(F.col("end") - F.col("start"), F.col("stop") - F.col("other"), F.lit(2 * PASSAGE))
+    chains = scratch.keep(chains.withColumn("reach", F.pow(F.lit(2.0), F.ceil(F.log2(size * 1.2 + 2 * PASSAGE))).cast("int")))
+    asked = chains.select("doc", "start", "end", "reach").unionByName(
+        chains.select(F.col("keep").alias("doc"), F.col("other").alias("start"), F.col("stop").alias("end"), "reach")
+    )
+    found = scratch.keep(_regions(docs, asked))
+    pairs = chains.join(found, ["doc", "start", "end", "reach"]).join(
+        found.select(F.col("doc").alias("keep"), F.col("start").alias("other"), F.col("end").alias("stop"), "reach", F.col("words").alias("words_2")),
         ["keep", "other", "stop", "reach"],
-    ).select("doc", "start", "end", "keep", "other", (F.col("doc") == F.col("keep")).alias("alone"), "before", "before_2", "after", "after_2")
+    ).select("doc", "start", "keep", "other", "reach", "hits", (F.col("doc") == F.col("keep")).alias("alone"), "words", "words_2")
 
     def run(batches):
         for batch in batches:
-            numbers = [batch.column(c).to_pylist() for c in ("start", "end", "other", "alone")]
-            texts = [batch.column(c) for c in ("before", "before_2", "after", "after_2")]
-            out = []
-            for i, (start, end, other, alone) in enumerate(zip(*numbers, strict=True)):
-                a, b, c, d = (np.frombuffer(t[i].as_py(), np.uint32) for t in texts)
-                out.append(_extend(start, end, other, [(a, b), (c, d)], alone, threshold, width))
+            columns = [batch.column(c).to_pylist() for c in ("start", "other", "reach", "hits", "alone")]
+            rows, out = [], []
+            for i, (start, other, reach, hits, alone) in enumerate(zip(*columns, strict=True)):
+                a, b = (np.frombuffer(batch.column(c)[i].as_py(), np.uint32) for c in ("words", "words_2"))
+                found = _spans(hits, a, max(0, start - reach), b, max(0, other - reach), alone, threshold, width)
+                rows += [i] * len(found)
+                out += found
+            take = pa.array(rows, pa.int64())
             start, end, other, stop = (pa.array([x[k] for x in out], pa.int32()) for k in range(4))
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), start, end, batch.column("keep"), other, stop], ["doc", "start", "end", "keep", "other", "stop"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc").take(take), start, end, batch.column("keep").take(take), other, stop], ["doc", "start", "end", "keep", "other", "stop"]
+            )
 
     return pairs.mapInArrow(run, f"doc {kind}, start int, end int, keep {kind}, other int, stop int")
 
@@ -277,8 +324,8 @@ def repeated_passages(
     ``passage``: runs of words inside lines or across them, which paragraph bounds would hide. Blocks of 16 words start
     where a hash of their first 8 words is least among 9 neighbours, so the blocks of a shared run do not
     depend on what stands around it, and every run of 24 words holds one. Blocks with an equal 95-bit hash are the same;
-    the one with the smallest doc_id, then position, stays, in one document, too. Blocks of one document that repeat the
-    same stretch of another one are a run, which is compared word by word with what it repeats to its maximal length,
+    the one with the smallest doc_id, then position, stays, in one document, too. Blocks of one document that repeat
+    neighbouring blocks of another one are a chain, which is compared word by word with what it repeats to its maximal length,
     then over edited text while the Jaccard similarity of both spans reaches the threshold (``_extend``); spans of 24 words
     or more are reported. So each run of 24 words or more that a document shares with the first occurrence of one of its
     blocks is reported whole. Where a third document has one of its blocks earlier, the span ends
@@ -291,7 +338,7 @@ def repeated_passages(
     scratch = Scratch(docs.sparkSession)
     bands = tune_bands(threshold, ROWS, miss)
     text = empty_if_null("text")
-    docs = docs.where("doc_id IS NOT NULL").select(F.struct("doc_id", F.xxhash64(text).alias("row_key")).alias("doc"), text.alias("text"))
+    docs = lean(docs).where("doc_id IS NOT NULL").select(F.struct("doc_id", F.xxhash64(text).alias("row_key")).alias("doc"), text.alias("text"))
     table = scratch.keep(sketches(docs, bands, min_words, width))
 
     paragraphs = table.select("doc", F.explode("paragraphs").alias("p")).select("doc", "p.*")
@@ -328,13 +375,15 @@ def repeated_passages(
     hits = blocks.join(shared, ["key", "check"]).select("doc", "pos", F.col("kept.doc").alias("keep"), F.col("kept.pos").alias("other")).where(
         (F.col("doc") > F.col("keep")) | (F.col("pos") >= F.col("other") + SIZE)
     )
-    along = Window.partitionBy("doc", "keep", "shift").orderBy("pos")
-    islands = hits.withColumn("shift", F.col("pos") - F.col("other")).withColumn("new", (F.col("pos") > F.lag("pos", 1, -SIZE - 1).over(along) + SIZE).cast("int"))
-    cores = scratch.keep(
-        islands.withColumn("island", F.sum("new").over(along)).groupBy("doc", "keep", "shift", "island")
-        .agg(F.min("pos").alias("start"), (F.max("pos") + SIZE).alias("end"), F.min("other").alias("other")).drop("shift", "island")
+    # Blocks that follow each other in both texts are a chain; a document's blocks bound it.
+    along = Window.partitionBy("doc", "keep").orderBy("pos")
+    shift = F.col("pos") - F.col("other")
+    apart = (F.col("pos") > F.lag("pos").over(along) + SIZE + GAP) | (F.abs(shift - F.lag(shift).over(along)) > GAP)
+    chains = (
+        hits.withColumn("new", F.coalesce(apart.cast("int"), F.lit(1))).withColumn("chain", F.sum("new").over(along))
+        .groupBy("doc", "keep", "chain").agg(F.collect_list(F.struct("pos", "other")).alias("hits"))
     )
-    grown = scratch.keep(_grown(docs, cores, threshold, width, scratch).where(F.col("end") - F.col("start") >= PASSAGE))
+    grown = scratch.keep(_grown(docs, chains, threshold, width, scratch))
     spans = grown.select("doc", "start", "end", "keep", F.lit(True).alias("removed")).unionByName(
         grown.select(F.col("keep").alias("doc"), F.col("other").alias("start"), F.col("stop").alias("end"), "keep", F.lit(False).alias("removed")).distinct()
     )

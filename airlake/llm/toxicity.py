@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from airlake.llm.common import empty_if_null, held_out, slices
+from airlake.llm.common import empty_if_null, held_out, lean, slices
 
 #: Letters of other scripts that look like Latin ones.
 HOMOGLYPHS = {
@@ -126,7 +126,7 @@ def learn_lexicon(
                     counts[w, toxic] += 1
             yield _counted(counts, "stem")
 
-    rows = _training_rows(docs, labels, label, max_rows).persist()
+    rows = _training_rows(lean(docs), labels, label, max_rows).persist()
     try:
         sums = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
         toxic, clean = sums.get(1, 0), sums.get(0, 0)
@@ -208,7 +208,7 @@ def score_documents(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
                 scores = [lexicon.score(evidence(text.as_py(), machine)) for text in part.column("text")]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(scores, pa.float64())], ["doc_id", "score"])
 
-    return docs.select("doc_id", empty_if_null("text").alias("text")).mapInArrow(run, f"doc_id {kind}, score double")
+    return lean(docs).select("doc_id", empty_if_null("text").alias("text")).mapInArrow(run, f"doc_id {kind}, score double")
 
 
 def drop_toxic(docs: DataFrame, lexicon: Lexicon, least: float = 0.5) -> DataFrame:
@@ -225,4 +225,4 @@ def drop_toxic(docs: DataFrame, lexicon: Lexicon, least: float = 0.5) -> DataFra
                 keep = [lexicon.score(evidence(text.as_py() or "", machine)) < least for text in part.column("text")]
                 yield part.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return lean(docs).mapInArrow(run, docs.schema)
