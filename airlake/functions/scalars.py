@@ -7,8 +7,10 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Error texts of a remote service that are worth another attempt.
-RETRYABLE = ("timeout", "timed out", "quota", "too many", "rate", "429", "500", "503", "unavailable")
+#: Parts of error texts of a remote service, in lower case, that are worth another attempt.
+RETRYABLE = ("429", "quota", "rate", "unavailable", "deadline", "timeout", "internal", "500", "503")
+#: Error texts of a week without images.
+NO_IMAGES = ("has no bands", "Parameter 'image' is required")
 
 
 def _col(c: Column | str) -> Column:
@@ -82,11 +84,10 @@ def logistic(x: Column | str, centre: float, scale: float) -> Column:
 
 
 def error_status(message: Column | str) -> Column:
-    """retry, no_images or error, by the text of a failure."""
-    m = F.lower(_col(message))
-    return (
-        F.when(F.regexp_like(m, F.lit("|".join(RETRYABLE))), "retry").when(m.contains("empty collection") | m.contains("no bands"), "no_images").otherwise("error")
-    )
+    """no_images, retry or error, by the text of a failure; a missing text is an error."""
+    m = _col(message)
+    empty = m.contains(NO_IMAGES[0]) | m.contains(NO_IMAGES[1])
+    return F.when(empty, "no_images").when(F.regexp_like(F.lower(m), F.lit("|".join(RETRYABLE))), "retry").otherwise("error")
 
 
 def short_message(message: Column | str, length: int = 300) -> Column:

@@ -49,11 +49,13 @@ def scene_jobs(scenes: DataFrame) -> DataFrame:
 
 
 def plan_jobs(weekly: DataFrame, stations: DataFrame, max_stations: int | None = None, max_weeks: int | None = None, per_month: int | None = None) -> DataFrame:
+    """Weeks to fetch: of the chosen stations, then the first ones of each month, then those spread over the weeks that are left."""
     if max_stations:
         stations = spread_stations(stations, max_stations)
+    weekly = weekly.join(stations.select("station_id"), "station_id", "left_semi")
     if per_month:
         weekly = weeks_per_month(weekly, per_month)
-    elif max_weeks:
+    if max_weeks:
         weekly = spread_weeks(weekly, max_weeks)
     return weekly.join(stations.select("station_id", "lat", "lon"), "station_id").select("station_id", "week_start", "lat", "lon", X.utm_epsg("lon").alias("epsg"))
 
@@ -69,7 +71,13 @@ def merge_manifest(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def pending_jobs(jobs: DataFrame, manifest: DataFrame, patches: DataFrame, product: str, mode: str, bands: str = "rgb") -> DataFrame:
-    """Jobs without a terminal row and without a patch; failed ones are tried again."""
+    """Jobs without a terminal row and without a patch of this product, mode and set of bands; failed ones are tried again.
+
+    ``patches`` that do not say what they are of count for every product.
+    """
+    for name, value in (("product", product), ("mode", mode), ("bands", bands)):
+        if name in patches.columns:
+            patches = patches.where(F.col(name) == value)
     done = with_defaults(manifest).where(
         (F.col("product") == product) & (F.col("mode") == mode) & (F.col("bands") == bands) & F.col("status").isin(*TERMINAL)
     )
@@ -84,8 +92,9 @@ def status_counts(manifest: DataFrame, product: str) -> DataFrame:
     return manifest.where(F.col("product") == product).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
-def sample_errors(manifest: DataFrame, product: str, n: int = 3) -> DataFrame:
-    return manifest.where((F.col("product") == product) & (F.col("status") == "error")).orderBy("ingest_seq").limit(n)
+def sample_errors(manifest: DataFrame, n: int = 3) -> DataFrame:
+    """The first failures of all products."""
+    return manifest.where(F.col("status") == "error").orderBy("ingest_seq").limit(n)
 
 
 def purge_years(df: DataFrame, years: list[int], date: str = "week_start") -> DataFrame:
@@ -106,14 +115,17 @@ def extend_cache(cache: DataFrame, stations: DataFrame, compute) -> DataFrame:
 
 
 def scenes_in(catalog: DataFrame, jobs: DataFrame, days: int, cell: float = 0.1) -> DataFrame:
-    """Scenes whose footprint meets a job's box within [start, start + days); boxes meet on shared grid cells first."""
+    """Scenes whose footprint meets a job's box within [start, start + days); they meet on shared grid cells and periods of days first."""
+    period = lambda day: F.floor(F.unix_date(F.to_date(day)) / days)
+
     def cells(df: DataFrame, tag: str) -> DataFrame:
         span = lambda lo, hi: F.sequence(F.floor(F.col(lo) / cell), F.floor(F.col(hi) / cell))
         return df.withColumn("_x", F.explode(span(f"{tag}west", f"{tag}east"))).withColumn("_y", F.explode(span(f"{tag}south", f"{tag}north")))
 
     boxed = jobs.select("station_id", "week_start", *X.bbox("lat", "lon"))
     shots = catalog.select("scene_id", "scene_date", *[F.col(c).alias(f"s_{c}") for c in ("west", "south", "east", "north")])
-    joined = cells(boxed, "").join(cells(shots, "s_"), ["_x", "_y"])
+    boxed = boxed.withColumn("_t", F.explode(F.sequence(period("week_start"), period(F.date_add("week_start", days - 1)))))
+    joined = cells(boxed, "").join(cells(shots, "s_").withColumn("_t", period("scene_date")), ["_x", "_y", "_t"])
     return joined.where(
         "s_west <= east AND s_east >= west AND s_south <= north AND s_north >= south AND scene_date >= week_start "
         f"AND scene_date < date_add(week_start, {days})"

@@ -84,15 +84,16 @@ def zero_fraction(df: DataFrame, bands: list[str] = RGB) -> DataFrame:
 
 
 def fill_invalid(df: DataFrame, bands: list[str] = RGB) -> DataFrame:
-    """Invalid pixels (cnt 0) get the mean of the band's valid ones; a patch without valid or invalid ones stays."""
+    """Invalid pixels, without a value in any band, get the mean of the band's valid ones; a patch without valid or invalid ones stays."""
     def filled(b: str) -> Column:
-        good = F.filter(F.arrays_zip(F.col(b).alias("p"), F.col("cnt").alias("c")), lambda x: x["c"] > 0)
-        mean = F.aggregate(good, F.lit(0.0), lambda a, x: a + x["p"].cast("double")) / F.size(good)
-        return F.when(F.size(good).between(1, F.size(b) - 1), F.zip_with(b, "cnt", lambda p, c: F.when(c > 0, p.cast("double")).otherwise(mean))).otherwise(
+        good = F.filter(F.arrays_zip(F.col(b).alias("p"), F.col("_lit").alias("v")), lambda x: x["v"])
+        mean = F.aggregate(good, F.lit(0.0), lambda a, x: a + F.coalesce(x["p"], F.lit(0)).cast("double")) / F.size(good)
+        return F.when(F.size(good).between(1, F.size(b) - 1), F.zip_with(b, "_lit", lambda p, v: F.when(v, p.cast("double")).otherwise(mean))).otherwise(
             F.transform(b, lambda p: p.cast("double"))
         )
 
-    return df.withColumns({b: filled(b) for b in bands})
+    lit = F.transform(F.arrays_zip(*bands), lambda p: F.greatest(*[F.coalesce(p[b], F.lit(0)) for b in bands]) > 0)
+    return df.withColumn("_lit", lit).withColumns({b: filled(b) for b in bands}).drop("_lit")
 
 
 def to_display(df: DataFrame, gain: float = 3.0, bands: list[str] = RGB) -> DataFrame:

@@ -117,11 +117,13 @@ q("d09_log_target", f"SELECT seq, line, round(ln(1 + {_OK}), 6) AS y, round(exp(
     lambda v: v.readings_raw.select("seq", "line", X.log_target("arithmetic_mean").alias("y")).withColumn("back", F.expm1("y")))
 q("d10_exceeds", "SELECT station_id, date, CAST(pm25 > 35 AS INTEGER) AS over FROM daily", "daily")(lambda v: v.daily.select("station_id", "date", X.exceeds("pm25", 35).alias("over")))
 q("d11_logistic", "SELECT station_id, date, round(1 / (1 + exp(-(router - 20) / 3)), 6) AS p FROM predictions", "predictions")(lambda v: v.predictions.select("station_id", "date", X.logistic("router", 20, 3).alias("p")))
-_MSG = "event_type || ': ' || CASE event_id % 6 WHEN 0 THEN 'Request TIMEOUT' WHEN 1 THEN 'Quota exceeded' WHEN 2 THEN 'Empty collection' WHEN 3 THEN 'HTTP 503' WHEN 4 THEN 'bad band' ELSE '' END"
-q("d12_error_status", f"""SELECT event_id, CASE WHEN regexp_matches(m, 'timeout|timed out|quota|too many|rate|429|500|503|unavailable') THEN 'retry'
- WHEN contains(m, 'empty collection') OR contains(m, 'no bands') THEN 'no_images' ELSE 'error' END AS status, s AS short
- FROM (SELECT event_id, lower({_MSG}) AS m, substr({_MSG}, 1, 12) AS s FROM events)""")(
-    lambda v: v.table("events").select("event_id", F.expr(_MSG).alias("m")).select("event_id", X.error_status("m").alias("status"), X.short_message("m", 12).alias("short")))
+_MSG = """event_type || ': ' || CASE event_id % 10 WHEN 0 THEN 'Request TIMEOUT' WHEN 1 THEN 'Quota exceeded' WHEN 2 THEN 'Parameter "image" is required'
+ WHEN 3 THEN 'HTTP 503' WHEN 4 THEN 'the generated image has no bands' WHEN 5 THEN 'Deadline exceeded' WHEN 6 THEN 'Internal error' WHEN 7 THEN 'too many requests: Timed Out'
+ WHEN 8 THEN 'bad band' ELSE '' END"""
+q("d12_error_status", f"""SELECT event_id, CASE WHEN contains(m, 'has no bands') OR contains(m, 'Parameter ''image'' is required') THEN 'no_images'
+ WHEN regexp_matches(lower(m), '429|quota|rate|unavailable|deadline|timeout|internal|500|503') THEN 'retry' ELSE 'error' END AS status, substr(m, 1, 12) AS short
+ FROM (SELECT event_id, replace({_MSG}, chr(34), chr(39)) AS m FROM events)""")(
+    lambda v: v.table("events").select("event_id", F.expr(f"replace({_MSG}, chr(34), chr(39))").alias("m")).select("event_id", X.error_status("m").alias("status"), X.short_message("m", 12).alias("short")))
 
 # labels
 q("l01_build_stations", "SELECT station_id, round(lat, 6) AS lat, round(lon, 6) AS lon, n_days, region FROM stations", "stations")(lambda v: v.stations.drop("site_name"))
@@ -210,7 +212,7 @@ q("u05_difference", "SELECT station_id, week_start FROM weekly EXCEPT SELECT sta
 
 # manifest
 _JOB = "w.station_id, w.week_start, round(lat, 6) AS lat, round(lon, 6) AS lon, CAST(32600 + floor((lon + 180) / 6) + 1 AS INTEGER) AS epsg"
-q("m01_plan_jobs", f"SELECT {_JOB} FROM weekly w JOIN stations s USING (station_id) WHERE station_id IN ({_SPREAD.format(n=7)}) AND week_start IN ({_SPREAD_W.format(n=10)})", "weekly", "stations")(
+q("m01_plan_jobs", f"SELECT {_JOB} FROM weekly w JOIN stations s USING (station_id) WHERE station_id IN ({_SPREAD.format(n=7)}) AND week_start IN ({_SPREAD_W.format(n=10).replace('FROM weekly)', f'FROM weekly WHERE station_id IN ({_SPREAD.format(n=7)}))')})", "weekly", "stations")(
     lambda v: M.plan_jobs(v.weekly, v.stations, 7, 10))
 
 
@@ -227,7 +229,7 @@ q("m03_pending_jobs", """SELECT w.station_id, w.week_start FROM weekly w WHERE N
 q("m04_patch_status", """SELECT scene_id, CASE WHEN n = 0 THEN 'no_images' WHEN f < 0.5 THEN 'too_cloudy' ELSE 'ok' END AS status
  FROM (SELECT scene_id, max(cnt) AS n, avg(cnt) AS f FROM px GROUP BY scene_id)""", "px")(lambda v: M.patch_status(R.patch_stats(v.patches), 0.5).select("scene_id", "status"))
 q("m05_status_counts", "SELECT status, count(*) AS n FROM manifest WHERE product = 'l1c' GROUP BY status", "manifest")(lambda v: M.status_counts(v.manifest, "l1c"))
-q("m05_sample_errors", "SELECT station_id, ingest_seq FROM manifest WHERE product = 'l1c' AND status = 'error' ORDER BY ingest_seq LIMIT 3", "manifest")(lambda v: M.sample_errors(v.manifest, "l1c").select("station_id", "ingest_seq"))
+q("m05_sample_errors", "SELECT station_id, ingest_seq FROM manifest WHERE status = 'error' ORDER BY ingest_seq LIMIT 3", "manifest")(lambda v: M.sample_errors(v.manifest).select("station_id", "ingest_seq"))
 q("m06_purge_years", "SELECT station_id, week_start FROM weekly WHERE year(week_start) NOT IN (1995, 1996)", "weekly")(lambda v: M.purge_years(v.weekly, TRAIN_YEARS).select("station_id", "week_start"))
 q("m07_pending_runs", "SELECT DISTINCT region, fold FROM predictions EXCEPT SELECT DISTINCT region, fold FROM predictions WHERE fold < 2", "predictions")(
     lambda v: M.pending_runs(v.predictions.select("region", "fold").distinct(), v.predictions.where("fold < 2").select("region", "fold")))
@@ -259,7 +261,8 @@ q("r05_patch_stats", "SELECT scene_id, round(avg(cnt), 6) AS valid_fraction, max
 q("r05_scene_stats", "SELECT station_id, strftime(scene_date, '%Y-%m-%d') AS scene_date, 1 AS n_images FROM best", "best")(
     lambda v: R.patch_stats(R.scene_patch(v.patches, ["station_id"]), "scene").select("station_id", "scene_date", "n_images"))
 q("r06_zero_fraction", "SELECT scene_id, round(avg(CAST(b4 = 0 AND b3 = 0 AND b2 = 0 AS INTEGER)), 6) AS zero_frac FROM px GROUP BY scene_id", "px")(lambda v: R.zero_fraction(v.patches).select("scene_id", "zero_frac"))
-_FILL = ", ".join(f"CASE WHEN cnt > 0 OR sum(cnt) OVER w = 0 THEN {b} ELSE sum({b} * cnt) OVER w / sum(cnt) OVER w END AS {b}" for b in ("b4", "b3", "b2"))
+_LIT = "CAST(b4 > 0 OR b3 > 0 OR b2 > 0 AS INTEGER)"
+_FILL = ", ".join(f"CASE WHEN {_LIT} = 1 OR sum({_LIT}) OVER w = 0 THEN {b} ELSE sum({b}) OVER w / sum({_LIT}) OVER w END AS {b}" for b in ("b4", "b3", "b2"))
 _FILLED = f"(SELECT scene_id, i, {_FILL} FROM px WINDOW w AS (PARTITION BY scene_id))"
 q("r07_fill_invalid", f"SELECT scene_id, {_lists('{b}')} FROM {_FILLED} GROUP BY scene_id", "px")(lambda v: R.fill_invalid(v.patches).select("scene_id", *R.RGB))
 _SHOW = "least(1.0, greatest(0.0, {b} / 10000.0 * 3.0))"
@@ -267,7 +270,7 @@ q("r08_to_display", f"SELECT scene_id, {_lists(_SHOW)} FROM px GROUP BY scene_id
 
 
 def _normal(source: str) -> str:
-    parts = [f"list(round(({_SHOW.format(b=b)} - {m}) / {s}, 6) ORDER BY i)" for b, m, s in zip(("b4", "b3", "b2"), R.MEAN, R.STD, strict=True)]
+    parts = [f"list(round(({_SHOW.format(b=b)} - {m}) / {s}, 6) + 0.0 ORDER BY i)" for b, m, s in zip(("b4", "b3", "b2"), R.MEAN, R.STD, strict=True)]
     return f"SELECT scene_id, list_concat(list_concat({parts[0]}, {parts[1]}), {parts[2]}) AS x FROM {source} GROUP BY scene_id"
 
 

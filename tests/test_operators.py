@@ -148,7 +148,39 @@ def test_patch_statistics(spark):
     assert (row["valid_fraction"], row["n_images"]) == (0.5, 2)
     assert raster.patch_stats(frame, "scene").first()["scene_date"] == "2024-01-02"
     assert raster.zero_fraction(frame).first()["zero_frac"] == 0.25
-    assert raster.fill_invalid(frame).first()["b4"] == [5.0, 2.5, 0.0, 2.5]
+    # Only the second pixel lacks a value in every band; cnt has no part in it.
+    filled = raster.fill_invalid(frame).first()
+    assert filled["b4"] == [5.0, 2.0, 0.0, 1.0] and filled["b2"] == [0.0, 4 / 3, 1.0, 3.0]
+    assert raster.fill_invalid(frame.drop("cnt", "day")).columns == ["b4", "b3", "b2"]
+
+
+def test_error_classes(spark):
+    texts = {
+        "Parameter 'image' is required": "no_images", "the generated image has no bands": "no_images", "Deadline Exceeded": "retry",
+        "Internal error": "retry", "HTTP 429": "retry", "too many": "error", "timed out": "error", "": "error",
+    }
+    frame = spark.createDataFrame([(t,) for t in texts] + [(None,)], "m string")
+    got = {r["m"]: r["s"] for r in frame.select("m", X.error_status("m").alias("s")).collect()}
+    assert got == {**texts, None: "error"}
+
+
+def test_plan_and_pending_jobs(spark):
+    stations = spark.createDataFrame([("a", 10.0, -120.0), ("b", 20.0, -120.0)], "station_id string, lat double, lon double")
+    weeks = [("a", date(2024, 1, 1)), ("a", date(2024, 1, 8)), ("a", date(2024, 2, 5))] + [("b", date(2023, 1, 2 + d)) for d in range(20)]
+    weekly = spark.createDataFrame(weeks, "station_id string, week_start date")
+    plan = lambda *a: sorted((r["station_id"], r["week_start"]) for r in manifest.plan_jobs(weekly, stations, *a).collect())
+    # The weeks of other stations do not count when weeks are spread, and both limits hold.
+    assert plan(1, 3) == weeks[:3] and plan(1, 1, 1) == weeks[:1] and plan(1, None, 1) == [weeks[0], weeks[2]]
+    old = spark.createDataFrame([("a", date(2024, 1, 1), "l1c", "error", 1)], "station_id string, week_start date, product string, status string, ingest_seq long")
+    patches = spark.createDataFrame([("a", date(2024, 1, 8), "l1c", "median", "rgb"), ("a", date(2024, 2, 5), "l2a", "median", "rgb")], "station_id string, week_start date, product string, mode string, bands string")
+    jobs = weekly.where("station_id = 'a'")
+    left = {r["week_start"] for r in manifest.pending_jobs(jobs, old, patches, "l1c", "median").collect()}
+    assert left == {date(2024, 1, 1), date(2024, 2, 5)}
+    shots = spark.createDataFrame([(1, date(2024, 1, 7)), (2, date(2024, 1, 8)), (3, date(2023, 12, 31))], "scene_id long, scene_date date").selectExpr(
+        "*", "-121.0 AS west", "9.0 AS south", "-119.0 AS east", "11.0 AS north"
+    )
+    boxes = spark.createDataFrame([("a", date(2024, 1, 1), 10.0, -120.0)], "station_id string, week_start date, lat double, lon double")
+    assert [r["scene_id"] for r in manifest.scenes_in(shots, boxes, 7).collect()] == [1]
 
 
 def test_grid_fits_every_split_and_fold_apart(spark):
