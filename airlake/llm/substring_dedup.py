@@ -18,7 +18,7 @@ from airlake.llm.near import near_classes
 ROWS = 3
 #: Words of the shortest passage that is reported; words of a block and of the seed it starts with; seeds from which one is chosen.
 #: PASSAGE words hold a block, wherever they stand.
-PASSAGE, SIZE, SEED = 24, 16, 8
+PASSAGE, SIZE, SEED = 24, 12, 6
 CHOICE = PASSAGE - SIZE + 1
 #: Words between blocks of one chain.
 GAP = 64
@@ -68,10 +68,11 @@ def _blocks(words: np.ndarray, starts: np.ndarray):
         value = value * _GOLD + words[k : k + n]
         check = check * _SILVER + words[k : k + n]
     value = S.mix(value)
-    if len(words) < SIZE:
+    span = CHOICE + SEED - 1
+    if len(words) < span:
         return (np.zeros(0, np.int64),) * 4
     ends = np.repeat(starts[1:], np.diff(starts))
-    here = np.flatnonzero(np.arange(len(words) - SIZE + 1) + SIZE <= ends[: len(words) - SIZE + 1])
+    here = np.flatnonzero(np.arange(len(words) - span + 1) + span <= ends[: len(words) - span + 1])
     views = np.lib.stride_tricks.sliding_window_view(value, CHOICE)
     at = np.unique(np.concatenate([views[here[k : k + 200_000]].argmin(1) + here[k : k + 200_000] for k in range(0, len(here), 200_000)] or [here]))
     at = at[at + SIZE <= ends[at]]
@@ -321,15 +322,15 @@ def repeated_passages(
     compared by their exact Jaccard similarity, and the components of the links are the classes. The
     occurrence with the smallest doc_id, then position, stays; of the others, lines of ``floor`` words or more are removed.
 
-    ``passage``: runs of words inside lines or across them, which paragraph bounds would hide. Blocks of 16 words start
-    where a hash of their first 8 words is least among 9 neighbours, so the blocks of a shared run do not
+    ``passage``: runs of words inside lines or across them, which paragraph bounds would hide. Blocks of 12 words start
+    where a hash of their first 6 words is least among 13 neighbours, so the blocks of a shared run do not
     depend on what stands around it, and every run of 24 words holds one. Blocks with an equal 95-bit hash are the same;
     the one with the smallest doc_id, then position, stays, in one document, too. Blocks of one document that repeat
     neighbouring blocks of another one are a chain, which is compared word by word with what it repeats to its maximal length,
     then over edited text while the Jaccard similarity of both spans reaches the threshold (``_extend``); spans of 24 words
     or more are reported. So each run of 24 words or more that a document shares with the first occurrence of one of its
     blocks is reported whole. Where a third document has one of its blocks earlier, the span ends
-    where that one's text does, so up to 8 words at an end of the run, or a run of one block, can go unreported.
+    where that one's text does, so up to 12 words at an end of the run, or a run of one block, can go unreported.
 
     A null text has no words; a null doc_id has no spans. row_key is a hash of the text: rows that repeat a doc_id with different texts
     are documents of their own; with the same text they are one document. An empty table gives an empty result; further
