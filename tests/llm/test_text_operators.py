@@ -376,6 +376,37 @@ def test_license_scan(spark):
     assert licenses.license_scan(files.limit(0), templates).count() == 0
 
 
+def test_pipeline_against_plain_stages(spark, tmp_path):
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    base, passage = [prose(1000 + k, 60 + 9 * k) for k in range(12)], prose(77, 70)
+    texts = [*base, base[2].replace(" ", "  "), edited(base[5], 1, 0.02), edited(base[7], 2, 0.02), "", None, " \n"]
+    texts += [prose(1100, 40) + " qa " + passage + " qb " + prose(1101, 30), prose(1102, 25) + " qc " + passage + " qd " + prose(1103, 35)]
+    texts += ["grubix snarfo " + prose(1200 + k, 50) for k in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "'en' AS lang", "'s' AS source", "1L AS n_chars", "1 AS root")
+    known = [(i, 1, int("snarfo" in (t or ""))) for i, t in enumerate(texts)]
+    docs.coalesce(2).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(known, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    # Plain stages: the planted words go, then equal texts, near copies, and the passage of the later document.
+    left = {i: t or "" for i, t in enumerate(texts) if "snarfo" not in (t or "")}
+    groups = {}
+    for i, t in left.items():
+        groups.setdefault("".join(t.split()), []).append(i)
+    left = {i: left[i] for i in sorted(max(g, key=lambda i: (len(texts[i] or ""), -i)) for g in groups.values())}
+    ids = list(left)
+    root = roots(len(ids), [(a, b) for a in range(len(ids)) for b in range(a) if jaccard(left[ids[a]], left[ids[b]]) >= 0.8])
+    left = {i: left[i] for k, i in enumerate(ids) if root[k] == k}
+    left[19] = left[19].replace(passage + " ", "").strip()
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want = {i: [*tokenizer.encode(t, add_special_tokens=False).ids, 1] for i, t in left.items()}
+    got = {}
+    for r in corpus_pipeline.run(spark, str(tmp_path)).orderBy("doc_id", "start").collect():
+        got.setdefault(r["doc_id"], []).extend(struct.unpack(f"<{r['length']}I", r["ids"]))
+    assert got == want
+    assert 12 not in got or 2 not in got
+
+
 def test_bands():
     for rows in (3, 5):
         bands = tune_bands(0.8, rows, 1e-4)
