@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from airlake.llm.common import empty_if_null
 
-#: Notices by which licences are named in headers and files.
-TEMPLATES = [
+#: Short notices, by which licences are named in a line.
+NOTICES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted under the BSD 3-Clause License."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
@@ -17,12 +17,88 @@ TEMPLATES = [
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("LGPL-3.0", "This library is licensed under the GNU Lesser General Public License, version 3."),
     ("MIT", "Released under the MIT License."),
+    ("MIT", "The MIT License (MIT)"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("Proprietary", "All rights reserved."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
+_GRANT = (
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "
+    '"Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, '
+    "distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the "
+    "following conditions:"
+)
+_MIT_REST = (
+    "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\n\n"
+    'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF '
+    "MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY "
+    "CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE "
+    "OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+)
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n\n"
+    "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n\n"
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+    "documentation and/or other materials provided with the distribution.\n\n"
+)
+_BSD_NAMES = (
+    "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this "
+    "software without specific prior written permission.\n\n"
+)
+_BSD_REST = (
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, '
+    "THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR "
+    "CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, "
+    "PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF "
+    "LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, "
+    "EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+_GNU = (
+    "This {0} is free software: you can redistribute it and/or modify it under the terms of the GNU {1}General Public License as published by the Free "
+    "Software Foundation, either version 3 of the License, or (at your option) any later version.\n\n"
+    "This {0} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or "
+    "FITNESS FOR A PARTICULAR PURPOSE. See the GNU {1}General Public License for more details."
+)
+#: Standard headers of source files.
+HEADERS = [
+    (
+        "Apache-2.0",
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may '
+        "obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0\n\n"
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "
+        '"AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing '
+        "permissions and limitations under the License.",
+    ),
+    ("AGPL-3.0", _GNU.format("program", "Affero ")),
+    ("GPL-3.0", _GNU.format("program", "")),
+    ("LGPL-3.0", _GNU.format("library", "Lesser ")),
+    ("MIT", _GRANT),
+    (
+        "MPL-2.0",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, "
+        "You can obtain one at https://mozilla.org/MPL/2.0/.",
+    ),
+]
+#: Whole licence files.
+FILES = [
+    ("BSD-2-Clause", _BSD + _BSD_REST),
+    ("BSD-3-Clause", _BSD + _BSD_NAMES + _BSD_REST),
+    (
+        "ISC",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above "
+        "copyright notice and this permission notice appear in all copies.\n\n"
+        'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF '
+        "MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES "
+        "WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR "
+        "IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    ),
+    ("MIT", _GRANT + "\n\n" + _MIT_REST),
+]
+TEMPLATES = NOTICES + HEADERS + FILES
 #: A term: letters and digits, inner dots before digits as in version numbers.
 TERM = r"[\p{L}\p{N}]+(?:\.\p{N}+)*"
+#: Lines without letters and digits part paragraphs, also those of comment signs.
+PARTING = r"\n[^\p{L}\p{N}]*\n"
 
 
 def _terms(text):
@@ -32,25 +108,26 @@ def _terms(text):
 def license_scan(files: DataFrame, templates: DataFrame, least: float = 0.8) -> DataFrame:
     """One row per file: id, path, own_license, own_score, license, inherited_from.
 
-    ``files`` has id, path and text, ``templates`` has license and text (a short fixed list; its terms are sent to every
-    executor). Every line of a file is a candidate header. Its vector counts its terms, weighted by
-    ln((1 + lines) / (1 + lines with the term)) + 1 over all lines that have terms; a term in no
-    template weighs as one in no line. A line matches the template of the highest cosine (ties: the first by name)
-    from ``least`` on. own_license is the file's best line. A file all of whose lines with terms match is a licence
-    file of its directory, which has the license of the best of its licence files. license is own_license, else that of
+    ``files`` has id, path and text, ``templates`` has license and text (a short fixed list, several texts for a licence;
+    its terms are sent to every executor). Candidates are every line, every paragraph of several lines and the whole
+    file. A candidate's vector counts its terms, weighted by ln((1 + lines) / (1 + lines with the term)) + 1 over all lines that
+    have terms; a term in no template weighs as one in no line. A candidate matches the template of the highest cosine
+    (ties: the first by name) from ``least`` on. own_license is the file's best candidate. A file that matches as a whole is a
+    licence file of its directory, which has the license of the best of its licence files. license is own_license, else that of
     the nearest directory at or above the file's; inherited_from names that directory.
 
-    Lines are kept for the cosine only if they have one of a template's heaviest terms: without these the
+    Candidates are kept for the cosine only if they have one of a template's heaviest terms: without these the
     rest of the template is too light to reach ``least``, so none is missed. A null text has no lines, a null path is
     the root directory's; rows that repeat an id are read as one file with the path that sorts first, a null id is an id.
     An empty table gives an empty result; further columns are not read.
     """
     texts = files.select("id", F.coalesce("path", F.lit("")).alias("path"), empty_if_null("text").alias("text"))
-    lines = texts.select("id", F.posexplode(F.split("text", "\n")).alias("line", "value")).select(
-        "id", "line", F.xxhash64("value").alias("mark"), _terms(F.col("value")).alias("terms")
-    ).where(F.size("terms") > 0)
+    lines = texts.select(F.explode(F.split("text", "\n")).alias("value")).select(_terms(F.col("value")).alias("terms")).where(F.size("terms") > 0)
 
-    counts = templates.select("license", F.explode(_terms(F.col("text"))).alias("term")).groupBy("license", "term").agg(F.count(F.lit(1)).alias("tf"))
+    counts = (
+        templates.select("license", F.xxhash64("text").alias("template"), F.explode(_terms(F.col("text"))).alias("term"))
+        .groupBy("license", "template", "term").agg(F.count(F.lit(1)).alias("tf"))
+    )
     vocabulary = sorted(r["term"] for r in counts.select("term").distinct().collect())
     known = F.array(*[F.lit(t) for t in vocabulary])
     stats = lines.select(F.explode(F.concat(F.array_intersect("terms", known), F.array(F.lit("\n")))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
@@ -61,43 +138,53 @@ def license_scan(files: DataFrame, templates: DataFrame, least: float = 0.8) ->
         "term", (F.log((1.0 + total) / (1.0 + F.col("df"))) + 1).alias("idf")
     )
     rare = F.log(F.lit(1.0 + total)) + 1
-    weights = counts.join(F.broadcast(idf), "term").select("license", "term", (F.col("tf") * F.col("idf")).alias("w"))
-    norms = weights.groupBy("license").agg(F.sqrt(F.sum(F.col("w") ** 2)).alias("norm"))
-    weights = weights.join(F.broadcast(norms), "license").select("license", "term", (F.col("w") / F.col("norm")).alias("u"))
-    heaviest = Window.partitionBy("license").orderBy(F.desc("u"), "term")
+    weights = counts.join(F.broadcast(idf), "term").select("license", "template", "term", (F.col("tf") * F.col("idf")).alias("w"))
+    norms = weights.groupBy("license", "template").agg(F.sqrt(F.sum(F.col("w") ** 2)).alias("norm"))
+    weights = weights.join(F.broadcast(norms), ["license", "template"]).select("license", "template", "term", (F.col("w") / F.col("norm")).alias("u"))
+    heaviest = Window.partitionBy("license", "template").orderBy(F.desc("u"), "term")
     rest = weights.withColumn("before", F.coalesce(F.sum(F.col("u") ** 2).over(heaviest.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
     anchors = sorted({r["term"] for r in rest.where(1 - F.col("before") >= least * least - 1e-9).select("term").collect()})
     if not anchors:
         anchors = vocabulary or [""]
-    likely = lines.where(F.arrays_overlap("terms", F.array(*[F.lit(t) for t in anchors])))
 
-    tf = likely.select("id", "line", "mark", F.explode("terms").alias("term")).groupBy("id", "line", "mark", "term").agg(F.count(F.lit(1)).alias("tf"))
-    weighed = tf.join(F.broadcast(idf), "term", "left").select("id", "line", "mark", "term", (F.col("tf") * F.coalesce("idf", rare)).alias("w"))
-    sizes = weighed.groupBy("id", "line", "mark").agg(
-        F.sqrt(F.sum(F.col("w") ** 2)).alias("norm"), F.collect_list(F.struct("term", "w")).alias("vector")
+    # Most texts hold no heavy term at all; the others are taken apart.
+    heavy = r"(?<![\p{L}\p{N}])(?:" + "|".join(t.replace(".", r"\.") for t in anchors) + ")"
+    split = F.split("text", "\n")
+    paragraphs = F.filter(F.split("text", PARTING), lambda p: F.contains(p, F.lit("\n")))
+    parts = F.concat(F.array(F.col("text")), paragraphs, split)
+    units = (
+        texts.where(F.rlike(F.lower("text"), F.lit(heavy))).select("id", F.posexplode(parts).alias("unit", "value"))
+        .select("id", "unit", F.xxhash64("value").alias("mark"), _terms(F.col("value")).alias("terms"))
+    )
+    likely = units.where(F.arrays_overlap("terms", F.array(*[F.lit(t) for t in anchors])))
+
+    unit = ["id", "unit", "mark"]
+    tf = likely.select(*unit, F.explode("terms").alias("term")).groupBy(*unit, "term").agg(F.count(F.lit(1)).alias("tf"))
+    weighed = tf.join(F.broadcast(idf), "term", "left").select(*unit, "term", (F.col("tf") * F.coalesce("idf", rare)).alias("w"), F.col("idf").isNotNull().alias("known"))
+    # Only the terms of the templates, a bounded list, are gathered.
+    sizes = weighed.groupBy(*unit).agg(
+        F.sqrt(F.sum(F.col("w") ** 2)).alias("norm"), F.collect_list(F.when(F.col("known"), F.struct("term", "w"))).alias("vector")
     )
     matched = (
-        sizes.select("id", "line", "mark", "norm", F.explode("vector").alias("t")).join(F.broadcast(weights.withColumnRenamed("term", "t_term")), F.col("t.term") == F.col("t_term"))
-        .groupBy("id", "line", "mark", "license").agg((F.sum(F.col("t.w") * F.col("u")) / F.first("norm")).alias("cosine"))
+        sizes.select(*unit, "norm", F.explode("vector").alias("t")).join(F.broadcast(weights.withColumnRenamed("term", "t_term")), F.col("t.term") == F.col("t_term"))
+        .groupBy(*unit, "license", "template").agg((F.sum(F.col("t.w") * F.col("u")) / F.first("norm")).alias("cosine"))
         .where(F.round("cosine", 9) >= least)
-        .groupBy("id", "line", "mark").agg(F.min(F.struct((-F.round("cosine", 9)).alias("c"), "license")).alias("best"))
+        .groupBy(*unit).agg(F.min(F.struct((-F.round("cosine", 9)).alias("c"), "license")).alias("best"))
     )
-    own = matched.groupBy("id").agg(F.min("best").alias("best"), F.count(F.lit(1)).alias("hits"))
+    own = matched.groupBy("id").agg(F.min("best").alias("best"), F.min(F.when(F.col("unit") == 0, F.col("best"))).alias("whole"))
     found = texts.groupBy("id").agg(F.min("path").alias("path"))
     rows = found.alias("f").join(own.alias("o"), F.col("f.id").eqNullSafe(F.col("o.id")), "left").select(
         "f.id", "path", F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("dir"),
-        F.col("best.license").alias("own_license"), (-F.col("best.c")).alias("own_score"), "hits",
+        F.col("best.license").alias("own_license"), (-F.col("best.c")).alias("own_score"), "whole",
     )
-    line_counts = lines.groupBy("id").agg(F.count_distinct("line", "mark").alias("n"))
     licence_files = (
-        rows.where("hits > 0").alias("r").join(line_counts.alias("n"), F.col("r.id").eqNullSafe(F.col("n.id"))).where("hits = n")
-        .groupBy("dir").agg(F.min(F.struct((-F.col("own_score")).alias("c"), F.col("own_license").alias("license"))).alias("best"))
+        rows.where("whole IS NOT NULL").groupBy("dir").agg(F.min("whole").alias("best"))
         .select(F.col("dir").alias("above"), F.col("best.license").alias("given"))
     )
     dirs = rows.where("own_license IS NULL").select("dir").distinct()
-    parts = F.split("dir", "/")
+    steps = F.split("dir", "/")
     ups = dirs.select(
-        "dir", F.explode(F.concat(F.array(F.lit("")), F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.concat_ws("/", F.slice(parts, 1, k))))).alias("above")
+        "dir", F.explode(F.concat(F.array(F.lit("")), F.transform(F.sequence(F.lit(1), F.size(steps)), lambda k: F.concat_ws("/", F.slice(steps, 1, k))))).alias("above")
     ).distinct()
     nearest = ups.join(licence_files, "above").groupBy("dir").agg(F.max_by(F.struct("above", "given"), F.length("above")).alias("near"))
     return rows.join(nearest, "dir", "left").select(

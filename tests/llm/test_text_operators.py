@@ -6,6 +6,7 @@ import math
 import random
 import re
 import struct
+import textwrap
 import zlib
 from collections import Counter
 
@@ -365,10 +366,11 @@ def test_license_scan(spark):
         (8, "a/b/c/e", ""),
         (None, "a/n", prose(5, 9)),
         (9, "a/long", "the license of " * 20000),
+        (8, "a/b/c/e", ""),
     ]
     files = spark.createDataFrame(rows, "id long, path string, text string").selectExpr("*", "1 AS line", "2 AS dir", "3 AS hits")
     got = {r["id"]: r for r in licenses.license_scan(files, templates).collect()}
-    assert len(got) == len(rows)
+    assert len(got) == len(rows) - 1
     assert [(got[i]["license"], got[i]["inherited_from"]) for i in (1, 2, 3, 4, 5, 6, 7, 8)] == [
         ("MIT", None), ("MIT", "a"), ("Apache-2.0", None), ("Apache-2.0", "a/b/c"), ("GPL-3.0", None), (None, None), (None, None), ("Apache-2.0", "a/b/c"),
     ]
@@ -376,6 +378,31 @@ def test_license_scan(spark):
     assert licenses.license_scan(files.limit(0), templates).count() == 0
 
 
+def test_licence_files_and_headers(spark):
+    """Whole licence files and headers, wrapped, in comments, with other names; what looks alike but is none."""
+    text = dict(licenses.FILES)
+    wrap = lambda t, sign="": "\n".join(sign + line for p in t.split("\n") for line in (textwrap.wrap(p, 70) or [""]))
+    rows = [
+        (1, "m/LICENSE", "MIT License\n\nCopyright (c) 2020 Ann Other\n\n" + wrap(text["MIT"])),
+        (2, "m/src/a.py", prose(1, 80)),
+        (3, "b3/LICENSE.txt", "Copyright 2019, The Owners\n\n" + wrap(text["BSD-3-Clause"])),
+        (4, "b2/COPYING", wrap(text["BSD-2-Clause"])),
+        (5, "x/y.c", wrap(licenses.HEADERS[0][1], "# ") + "\n#\n\n" + prose(2, 200).replace(" ", "\n")),
+        (6, "x/z.c", prose(3, 200)),
+        (7, "g/main.c", "/*\n" + wrap(licenses.HEADERS[2][1], " * ") + "\n */\n\n" + prose(4, 100)),
+        (8, "w/essay.txt", "We read the license of the software and the copyright notice, " + prose(5, 60)),
+        (9, "w/blank", "\n" * 30_000),
+        (10, "i/LICENSE", wrap(text["ISC"])),
+    ]
+    files = spark.createDataFrame(rows, "id long, path string, text string")
+    templates = spark.createDataFrame(licenses.TEMPLATES, "license string, text string")
+    got = {r["id"]: (r["license"], r["inherited_from"]) for r in licenses.license_scan(files, templates).collect()}
+    assert got == {
+        1: ("MIT", None), 2: ("MIT", "m"), 3: ("BSD-3-Clause", None), 4: ("BSD-2-Clause", None), 5: ("Apache-2.0", None), 6: (None, None),
+        7: ("GPL-3.0", None), 8: (None, None), 9: (None, None), 10: ("ISC", None),
+    }
+
+
 def test_pipeline_against_plain_stages(spark, tmp_path):
     import corpus_pipeline
     from tokenizers import Tokenizer
