@@ -122,31 +122,31 @@ FROM c LEFT JOIN n USING (vec_id)
 WITH f AS (
   SELECT doc_id, concat_ws('/', source, lang, CAST(doc_id // 100 AS VARCHAR), CAST(doc_id AS VARCHAR)) AS path, coalesce(text, '') AS text FROM documents
 ), raw AS (
-  SELECT doc_id, 'line' AS kind, generate_subscripts(string_split(text, chr(10)), 1) AS at, unnest(string_split(text, chr(10))) AS value FROM f
+  SELECT doc_id, 'line' AS kind, generate_subscripts(string_split(text, chr(10)), 1) AS nth, unnest(string_split(text, chr(10))) AS value FROM f
   UNION ALL
   SELECT doc_id, 'paragraph', generate_subscripts(string_split_regex(text, '\n[^\p{{L}}\p{{N}}]*\n'), 1), unnest(string_split_regex(text, '\n[^\p{{L}}\p{{N}}]*\n')) FROM f
   UNION ALL
   SELECT doc_id, 'file', 0, text FROM f
 ), units AS (
-  SELECT doc_id, kind, at, terms FROM (
-    SELECT doc_id, kind, at, regexp_extract_all(lower(value), '[\p{{L}}\p{{N}}]+(?:\.\p{{N}}+)*') AS terms FROM raw
+  SELECT doc_id, kind, nth, terms FROM (
+    SELECT doc_id, kind, nth, regexp_extract_all(lower(value), '[\p{{L}}\p{{N}}]+(?:\.\p{{N}}+)*') AS terms FROM raw
     WHERE kind <> 'paragraph' OR contains(value, chr(10))) WHERE len(terms) > 0
 ), t(license, text) AS (VALUES {_TEMPLATE_ROWS}),
 tt AS (SELECT license, text, term, count(*) AS tf FROM (
   SELECT license, text, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+(?:\.\p{{N}}+)*')) AS term FROM t) GROUP BY ALL),
 total AS (SELECT count(*) AS n FROM units WHERE kind = 'line'),
-words AS (SELECT doc_id, kind, at, unnest(terms) AS term FROM units),
-df AS (SELECT term, count(DISTINCT (doc_id, at)) AS df FROM words WHERE kind = 'line' AND term IN (SELECT term FROM tt) GROUP BY term),
+words AS (SELECT doc_id, kind, nth, unnest(terms) AS term FROM units),
+df AS (SELECT term, count(DISTINCT (doc_id, nth)) AS df FROM words WHERE kind = 'line' AND term IN (SELECT term FROM tt) GROUP BY term),
 idf AS (SELECT term, ln((1.0 + n) / (1.0 + coalesce(df, 0))) + 1 AS idf FROM (SELECT DISTINCT term FROM tt) LEFT JOIN df USING (term), total),
 tw AS (SELECT license, text, term, tf * idf AS w FROM tt JOIN idf USING (term)),
 tn AS (SELECT license, text, sqrt(sum(w * w)) AS norm FROM tw GROUP BY ALL),
 lw AS (
-  SELECT doc_id, kind, at, term, tf * coalesce(idf, ln(1.0 + n) + 1) AS w
-  FROM (SELECT doc_id, kind, at, term, count(*) AS tf FROM words GROUP BY ALL) LEFT JOIN idf USING (term), total
-), ln AS (SELECT doc_id, kind, at, sqrt(sum(w * w)) AS norm FROM lw GROUP BY ALL),
+  SELECT doc_id, kind, nth, term, tf * coalesce(idf, ln(1.0 + n) + 1) AS w
+  FROM (SELECT doc_id, kind, nth, term, count(*) AS tf FROM words GROUP BY ALL) LEFT JOIN idf USING (term), total
+), ln AS (SELECT doc_id, kind, nth, sqrt(sum(w * w)) AS norm FROM lw GROUP BY ALL),
 m AS (
-  SELECT doc_id, kind, at, license, round(sum(lw.w * tw.w) / (any_value(ln.norm) * any_value(tn.norm)), 9) AS cosine
-  FROM lw JOIN tw USING (term) JOIN ln USING (doc_id, kind, at) JOIN tn USING (license, text) GROUP BY doc_id, kind, at, license, text
+  SELECT doc_id, kind, nth, license, round(sum(lw.w * tw.w) / (any_value(ln.norm) * any_value(tn.norm)), 9) AS cosine
+  FROM lw JOIN tw USING (term) JOIN ln USING (doc_id, kind, nth) JOIN tn USING (license, text) GROUP BY doc_id, kind, nth, license, text
 ), own AS (
   SELECT doc_id, first(license ORDER BY cosine DESC, license) AS own_license, max(cosine) AS own_score FROM m WHERE cosine >= 0.8 GROUP BY doc_id
 ), r AS (
