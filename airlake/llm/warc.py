@@ -72,7 +72,7 @@ def derive_records(responses: DataFrame) -> DataFrame:
     in ``RECORD``) are carried along. refers_to, refers_to_target_uri and refers_to_date name the response; source_headers
     are its HTTP headers as they were; source_payload_digest and source_block_digest are base32 SHA-1
     digests of its payload and of headers with payload. The metadata block lists status, title, language,
-    links and the sizes before and after; the conversion block is the plain text. Record ids are UUIDs of the response's id, so
+    links, the sizes before and after and every HTTP header of the source, so that files keep them; the conversion block is the plain text. Record ids are UUIDs of the response's id, so
     a repeated run gives the same. Nulls count as empty; an empty page has an empty conversion. Rows that repeat are
     derived twice. An empty table gives an empty result.
     """
@@ -93,6 +93,7 @@ def derive_records(responses: DataFrame) -> DataFrame:
                     "links": len(_LINK.findall(payload)), "source-bytes": len(data), "text-bytes": len(text.encode()),
                 }
                 facts = "".join(f"{k}: {v}\r\n" for k, v in fields.items())
+                facts += "".join(f"source-header: {line}\r\n" for line in headers.split("\r\n")[1:] if line)
                 source = (headers, digest(data), digest(headers.encode() + b"\r\n\r\n" + data))
                 for kind, content, block in (("metadata", "application/warc-fields", facts), ("conversion", "text/plain; charset=utf-8", text)):
                     body = block.encode()
@@ -108,15 +109,19 @@ def derive_records(responses: DataFrame) -> DataFrame:
 
 
 def record_texts(records: DataFrame) -> DataFrame:
-    """Each derivative as the text of a WARC 1.1 record, without the closing blank lines."""
-    header = lambda name, column: F.when(F.length(column) > 0, F.concat(F.lit(f"{name}: "), F.col(column), F.lit("\r\n"))).otherwise("")
+    """Each derivative as the text of a WARC 1.1 record, without the closing blank lines; line ends inside a header become blanks.
+
+    A header whose column is null or empty is left out, a null block counts as empty.
+    """
+    header = lambda name, column: F.when(F.length(column) > 0, F.concat(F.lit(f"{name}: "), F.regexp_replace(column, "[\r\n]+", " "), F.lit("\r\n"))).otherwise("")
     named = [
         ("WARC-Type", "record_type"), ("WARC-Record-ID", "record_id"), ("WARC-Date", "warc_date"), ("WARC-Target-URI", "target_uri"),
         ("WARC-Refers-To", "refers_to"), ("WARC-Refers-To-Target-URI", "refers_to_target_uri"), ("WARC-Refers-To-Date", "refers_to_date"),
-        ("WARC-Block-Digest", "block_digest"), ("WARC-Source-Payload-Digest", "source_payload_digest"), ("Content-Type", "content_type"),
+        ("WARC-Block-Digest", "block_digest"), ("WARC-Source-Payload-Digest", "source_payload_digest"),
+        ("WARC-Source-Block-Digest", "source_block_digest"), ("Content-Type", "content_type"),
     ]
-    length = F.concat(F.lit("Content-Length: "), F.octet_length("block").cast("string"), F.lit("\r\n\r\n"))
-    return records.select(F.concat(F.lit("WARC/1.1\r\n"), *[header(n, c) for n, c in named], length, F.col("block")).alias("value"))
+    length = F.concat(F.lit("Content-Length: "), F.octet_length(empty_if_null("block")).cast("string"), F.lit("\r\n\r\n"))
+    return records.select(F.concat(F.lit("WARC/1.1\r\n"), *[header(n, c) for n, c in named], length, empty_if_null("block")).alias("value"))
 
 
 def write_warc(records: DataFrame, path: str) -> None:
