@@ -26,10 +26,14 @@ def _keys(vectors: DataFrame, single: bool) -> DataFrame:
             out = []
             for x in batch.column("embedding"):
                 row = np.asarray(x.values.to_numpy(zero_copy_only=False), np.float64) if x.is_valid else np.zeros(0)
-                # the norm of huge or tiny components leaves the range of doubles; such vectors have no cosine
-                with np.errstate(over="ignore", under="ignore"):
-                    norm = math.sqrt(float(row @ row)) if len(row) else 0.0
-                out.append(row.astype(dtype).tobytes() if 0 < norm < math.inf else None)
+                top = np.abs(row).max() if len(row) else 0.0  # NaN if any component is
+                if not 0 < top < math.inf:
+                    out.append(None)
+                    continue
+                if not 1e-100 < top < 1e100:
+                    # squares would leave the range of doubles; a power of two leaves the direction as it is
+                    row = np.ldexp(row, -np.frexp(top)[1])
+                out.append(row.astype(dtype).tobytes())
             keys = [None if v is None else hashlib.md5(v).digest() for v in out]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("vec_id"), pa.array(keys, pa.binary()), pa.array(out, pa.binary())], ["vec_id", "key", "vec"]
@@ -87,7 +91,7 @@ def embedding_links(vectors: DataFrame, least: float = 0.9, per_cell: int = 8000
 
     Two vectors are linked when the cosine of their components, in double precision, is ``least`` or more.
     n_links counts the other vectors linked directly, copies included; component_id is the smallest vec_id in
-    reach. Vectors that are null, empty, zero, without a finite norm, or hold null or non-finite components link with
+    reach. Vectors that are null, empty, zero, or hold null or non-finite components link with
     nothing, nor do vectors of different lengths or rows whose vec_id is null. Rows that repeat a
     vec_id are vectors of their own. An empty table gives an empty result; further columns are not read.
 
@@ -198,6 +202,7 @@ def embedding_links(vectors: DataFrame, least: float = 0.9, per_cell: int = 8000
         nodes.select("key", "mult", "rep").join(counts, "key", "left").join(roots.withColumnRenamed("node", "key"), "key", "left")
         .select("key", "mult", "rep", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("root", "key").alias("root"))
     )
+    member = scratch.keep(member)
     named = member.groupBy("root").agg(F.min("rep").alias("component_id"))
     lookup = scratch.keep(member.join(named, "root").select("key", (F.col("n") + F.col("mult") - 1).alias("n_links"), "component_id"))
     linked = usable.select("vec_id", "key").join(lookup, "key").select("vec_id", "n_links", "component_id")
