@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from bisect import bisect_right
 from collections import Counter
 from dataclasses import dataclass, field
@@ -24,14 +25,21 @@ HOMOGLYPHS = {
 #: Digits and signs that stand for letters inside a word.
 DIGITS = dict(zip("0134578@$!|", "oieastbasil", strict=True))
 _LOOKS = str.maketrans(HOMOGLYPHS)
-_LEET = re.compile(r"(?<=[^\W\d_])[0134578@$!|]+(?=[^\W\d_])|\b[0134578@$]+(?=[^\W\d_])")
+_LEET = re.compile(r"(?<=[^\W\d_])[0134578@$!|]+(?=[^\W\d_])|\b[0134578@$]+(?=[^\W\d_])|(?<=[^\W\d_])[0134578@$]+(?!\w)")
+#: Combining marks, soft hyphens, zero-width and direction signs.
+_UNSEEN = re.compile("[\u0300-\u036f\u00ad\u034f\u061c\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufe00-\ufe0f\ufeff]+")
 _LEET_MAP = str.maketrans(DIGITS)
 _GAP = re.compile(r"[\W\d_]+")
 
 
 def fold(text: str) -> str:
-    """Words of a text in lower case, homoglyphs and digit substitutions replaced, each after one blank."""
-    text = text.lower().translate(_LOOKS)
+    """Words of a text in lower case, homoglyphs and digit substitutions replaced, each after one blank.
+
+    Compatibility forms (full width, ligatures, letter-like signs) become plain letters; marks and unseen signs go.
+    """
+    if not text.isascii():
+        text = _UNSEEN.sub("", unicodedata.normalize("NFKD", text)).casefold().translate(_LOOKS)
+    text = text.lower()
     text = _LEET.sub(lambda m: m.group().translate(_LEET_MAP), text)
     return f" {_GAP.sub(' ', text).strip()} "
 

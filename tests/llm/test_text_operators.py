@@ -206,6 +206,13 @@ STRANGE = [
 ]
 
 
+def test_huge_and_tiny_vectors_link(spark):
+    rows = [(1, [3e200, 4e200]), (2, [3e-200, 4e-200]), (3, [0.3, 0.4]), (4, [-3e300, 1e300]), (5, [5e-324, 0.0]), (6, [7.0, 0.0]), (3, [3.0, 4.0]), (None, [0.3, 0.4])]
+    got = embedding_dedup.embedding_links(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    want = {1: (3, 1), 2: (3, 1), 3: (3, 1), 4: (0, 4), 5: (1, 5), 6: (1, 5), None: (0, None)}
+    assert len(got) == len(rows) and all((r["n_links"], r["component_id"]) == want[r["vec_id"]] for r in got)
+
+
 def test_chunks_have_the_ids_of_whole_texts():
     parts = list("abcXYZHJI  .,;:!?)\"'(-=<>|_~&%@[{`0\n\u00fc\u00f1\u00c9\u00df\u0444\u0451") + ["\u0338", "\u0331", "\u0327", "\u030c", "\u0307", "\u03a3", "\u0130", "\u212a", "\u3000", "\x1c", "'S", "'Re", "<|endoftext|>"]
     cache, rng = packing.ChunkIds(public_tokenizers.path("word_bpe_49k.json")), random.Random(5)
@@ -261,6 +268,8 @@ def test_bpe_matches_tiktoken(make_docs):
 def test_fold():
     assert toxicity.fold("An ІDІ0T, y0u 1d10t!!") == " an idiot you idiot "
     assert toxicity.fold("costs 100 $ in 2020") == " costs in "
+    assert toxicity.fold("a55 a$$ ｉｄｉｏｔ ïdíöt id\u200bi\u00adot wow!! ﬁne") == " ass ass idiot idiot idiot wow fine "
+    assert toxicity.fold("İDİOT 2nd v9 x10") == " idiot nd v xio "
 
 
 def test_evidence_matches_brute_force():
@@ -349,6 +358,13 @@ def test_warc(spark, tmp_path):
     records = warc.derive_records(responses)
     warc.write_warc(records, str(tmp_path / "out"))
     back = warc.read_warc(spark, str(tmp_path / "out")).collect()
+    kept = {(r["record_id"]): r for r in got}
+    for r in back:
+        made = kept[r["headers"]["WARC-Record-ID"]]
+        assert r["headers"]["WARC-Source-Block-Digest"] == made["source_block_digest"] and r["headers"]["WARC-Source-Payload-Digest"] == made["source_payload_digest"]
+        if made["record_type"] == "metadata":
+            lines = [x[15:] for x in bytes(r["block"]).decode().split("\r\n") if x.startswith("source-header: ")]
+            assert lines == made["source_headers"].split("\r\n")[1:]
     assert Counter((r["headers"]["WARC-Record-ID"], r["headers"]["WARC-Refers-To"], bytes(r["block"]).decode()) for r in back) == Counter((r["record_id"], r["refers_to"], r["block"]) for r in got)
     assert warc.derive_records(responses.limit(0)).count() == 0
 
