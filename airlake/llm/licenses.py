@@ -110,27 +110,27 @@ def license_scan(files: DataFrame, templates: DataFrame, least: float = 0.8) ->
 
     ``files`` has id, path and text, ``templates`` has license and text (a short fixed list, several texts for a licence;
     its terms are sent to every executor). Candidates are every line, every paragraph of several lines and the whole
-    file. A candidate's vector counts its terms, weighted by ln((1 + lines) / (1 + lines with the term)) + 1 over all lines that
-    have terms; a term in no template weighs as one in no line. A candidate matches the template of the highest cosine
+    file. A candidate's vector holds its terms, each once whatever its count, weighted by
+    ln((1 + lines) / (1 + lines with the term)) + 1 over all lines that have terms; a term in no template weighs as one in no line. A candidate matches the template of the highest cosine
     (ties: the first by name) from ``least`` on. own_license is the file's best candidate. A file that matches as a whole is a
     licence file of its directory, which has the license of the best of its licence files. license is own_license, else that of
     the nearest directory at or above the file's; inherited_from names that directory.
 
-    Candidates are kept for the cosine only if they have one of a template's heaviest terms: without these the
-    rest of the template is too light to reach ``least``, so none is missed. A null text has no lines, a null path is
+    A candidate whose terms outside the templates are too many for ``least``, even if all others weighed the most and
+    matched, is left before the cosine; none is missed. A null text has no lines, a null path is
     the root directory's; rows that repeat an id are read as one file with the path that sorts first, a null id is an id.
     An empty table gives an empty result; further columns are not read.
     """
     texts = files.select("id", F.coalesce("path", F.lit("")).alias("path"), empty_if_null("text").alias("text"))
-    lines = texts.select(F.explode(F.split("text", "\n")).alias("value")).select(_terms(F.col("value")).alias("terms")).where(F.size("terms") > 0)
-
-    counts = (
-        templates.select("license", F.xxhash64("text").alias("template"), F.explode(_terms(F.col("text"))).alias("term"))
-        .groupBy("license", "template", "term").agg(F.count(F.lit(1)).alias("tf"))
-    )
+    counts = templates.select("license", F.xxhash64("text").alias("template"), F.explode(F.array_distinct(_terms(F.col("text")))).alias("term"))
     vocabulary = sorted(r["term"] for r in counts.select("term").distinct().collect())
-    known = F.array(*[F.lit(t) for t in vocabulary])
-    stats = lines.select(F.explode(F.concat(F.array_intersect("terms", known), F.array(F.lit("\n")))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+
+    def known(terms):
+        return F.filter(terms, lambda t: t.isin(vocabulary))
+
+    # The terms come out of the generator, so that no filter above it reads a text again.
+    lines = texts.select(F.explode(F.transform(F.split("text", "\n"), lambda v: F.array_distinct(_terms(v)))).alias("terms")).where(F.size("terms") > 0)
+    stats = lines.select(F.explode(F.concat(known("terms"), F.array(F.lit("\n")))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     seen = {r["term"]: r["df"] for r in stats.collect()}  # at most one row for each term of the templates
     spark = files.sparkSession
     total = seen.get("\n", 0)
@@ -138,32 +138,27 @@ def license_scan(files: DataFrame, templates: DataFrame, least: float = 0.8) ->
         "term", (F.log((1.0 + total) / (1.0 + F.col("df"))) + 1).alias("idf")
     )
     rare = F.log(F.lit(1.0 + total)) + 1
-    weights = counts.join(F.broadcast(idf), "term").select("license", "template", "term", (F.col("tf") * F.col("idf")).alias("w"))
+    weights = counts.join(F.broadcast(idf), "term").withColumnRenamed("idf", "w")
     norms = weights.groupBy("license", "template").agg(F.sqrt(F.sum(F.col("w") ** 2)).alias("norm"))
     weights = weights.join(F.broadcast(norms), ["license", "template"]).select("license", "template", "term", (F.col("w") / F.col("norm")).alias("u"))
-    heaviest = Window.partitionBy("license", "template").orderBy(F.desc("u"), "term")
-    rest = weights.withColumn("before", F.coalesce(F.sum(F.col("u") ** 2).over(heaviest.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
-    anchors = sorted({r["term"] for r in rest.where(1 - F.col("before") >= least * least - 1e-9).select("term").collect()})
-    if not anchors:
-        anchors = vocabulary or [""]
 
-    # Most texts hold no heavy term at all; the others are taken apart.
-    heavy = r"(?<![\p{L}\p{N}])(?:" + "|".join(t.replace(".", r"\.") for t in anchors) + ")"
-    split = F.split("text", "\n")
+    several = F.contains("text", F.lit("\n"))
     paragraphs = F.filter(F.split("text", PARTING), lambda p: F.contains(p, F.lit("\n")))
-    parts = F.concat(F.array(F.col("text")), paragraphs, split)
-    units = (
-        texts.where(F.rlike(F.lower("text"), F.lit(heavy))).select("id", F.posexplode(parts).alias("unit", "value"))
-        .select("id", "unit", F.xxhash64("value").alias("mark"), _terms(F.col("value")).alias("terms"))
+    parts = F.concat(F.array(F.col("text")), F.when(several, F.concat(paragraphs, F.split("text", "\n"))).otherwise(F.array().cast("array<string>")))
+    units = texts.select("id", F.posexplode(F.transform(parts, lambda v: F.array_distinct(_terms(v)))).alias("unit", "terms"))
+    counted = units.select("id", "unit", F.xxhash64("terms").alias("mark"), F.explode(F.array(F.struct(known("terms").alias("inside"), F.size("terms").alias("n")))).alias("v"))
+    outside = F.col("v.n") - F.size("v.inside")
+    square = least * least
+    likely = (
+        counted.where((F.size("v.inside") > 0) & (F.size("v.inside") * (1 - square) >= square * outside - 1e-6))
+        .select("id", "unit", "mark", "v.inside", outside.alias("outside")).distinct()
     )
-    likely = units.where(F.arrays_overlap("terms", F.array(*[F.lit(t) for t in anchors])))
 
     unit = ["id", "unit", "mark"]
-    tf = likely.select(*unit, F.explode("terms").alias("term")).groupBy(*unit, "term").agg(F.count(F.lit(1)).alias("tf"))
-    weighed = tf.join(F.broadcast(idf), "term", "left").select(*unit, "term", (F.col("tf") * F.coalesce("idf", rare)).alias("w"), F.col("idf").isNotNull().alias("known"))
-    # Only the terms of the templates, a bounded list, are gathered.
-    sizes = weighed.groupBy(*unit).agg(
-        F.sqrt(F.sum(F.col("w") ** 2)).alias("norm"), F.collect_list(F.when(F.col("known"), F.struct("term", "w"))).alias("vector")
+    weighed = likely.select(*unit, "outside", F.explode("inside").alias("term")).join(F.broadcast(idf), "term")
+    # A bounded list each: terms of the templates.
+    sizes = weighed.groupBy(*unit, "outside").agg(
+        F.sqrt(F.sum(F.col("idf") ** 2) + F.col("outside") * rare * rare).alias("norm"), F.collect_list(F.struct("term", F.col("idf").alias("w"))).alias("vector")
     )
     matched = (
         sizes.select(*unit, "norm", F.explode("vector").alias("t")).join(F.broadcast(weights.withColumnRenamed("term", "t_term")), F.col("t.term") == F.col("t_term"))
