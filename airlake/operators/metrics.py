@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from airlake.functions import scalars as X
 from airlake.operators.dataset import bucket
 
+#: Ranges over which the scores of one group are dealt.
+RANGES = 256
+
 
 def anomaly(df: DataFrame, column: str, by: str) -> DataFrame:
     return df.withColumn("anomaly", F.col(column) - F.avg(column).over(Window.partitionBy(by)))
@@ -47,7 +50,8 @@ def within_r2(preds: DataFrame, by: list[str] | None = None) -> DataFrame:
 def classification_metrics(preds: DataFrame, threshold: float = 35.0, by: list[str] | None = None, score: str = "y_pred") -> DataFrame:
     """prevalence, accuracy, f1 (0 where undefined) and auc (null with one class) of exceeding the threshold.
 
-    The AUC is a rank sum over counts for each distinct score, ties counting half.
+    The AUC is a rank sum over counts for each distinct score, ties counting half. The scores of a group are dealt over
+    ranges between approximate quantiles; the ranges' totals add up what lies below, so the sum is exact and no group is one task.
     """
     by = by or []
     pos = X.exceeds("y_true", threshold)
@@ -57,12 +61,21 @@ def classification_metrics(preds: DataFrame, threshold: float = 35.0, by: list[s
         F.sum(pos * hit).alias("_tp"), F.sum(pos + hit).alias("_d"),
     ).withColumn("f1", F.when(F.col("_d") > 0, 2 * F.col("_tp") / F.col("_d")).otherwise(0.0)).drop("_tp", "_d")
     counts = preds.groupBy(*by, F.col(score).alias("_s")).agg(F.sum(pos).alias("_p"), F.sum(1 - pos).alias("_n"))
-    below = Window.partitionBy(*by).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = counts.withColumn("_b", F.coalesce(F.sum("_n").over(below), F.lit(0)))
+    bounds = counts.groupBy(*by).agg(F.percentile_approx("_s", [k / RANGES for k in range(1, RANGES)], 10 * RANGES).alias("_q"))
+    same = reduce(lambda a, b: a & b, [F.col(f"m.{c}").eqNullSafe(F.col(f"a.{c}")) for c in by], F.lit(True))
+    part = F.coalesce(F.size(F.filter("_q", lambda q: q < F.col("_s"))), F.lit(0)).alias("_r")
+    placed = counts.alias("m").join(bounds.alias("a") if by else F.broadcast(bounds.alias("a")), same).select("m.*", part)
+    totals = placed.groupBy(*by, "_r").agg(F.sum("_n").alias("_t"))
+    before = Window.partitionBy(*by).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    lower = totals.select(*by, "_r", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_l"))
+    within = Window.partitionBy(*by, "_r").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = (
+        placed.withColumn("_w", F.coalesce(F.sum("_n").over(within), F.lit(0))).alias("m")
+        .join(lower.alias("a"), same & (F.col("m._r") == F.col("a._r"))).select("m.*", (F.col("_w") + F.col("_l")).alias("_b"))
+    )
     auc = ranked.groupBy(*by).agg((F.sum(F.col("_p") * (F.col("_b") + F.col("_n") / 2)) / F.nullif(F.sum("_p") * F.sum("_n"), F.lit(0))).alias("auc"))
     if not by:
         return base.join(F.broadcast(auc))
-    same = reduce(lambda a, b: a & b, [F.col(f"m.{c}").eqNullSafe(F.col(f"a.{c}")) for c in by])
     return base.alias("m").join(auc.alias("a"), same).select("m.*", "a.auc")
 
 

@@ -214,3 +214,23 @@ def test_boosting_stops_early_and_models_learn(spark, monkeypatch):
     r2 = lambda t: metrics.regression_metrics(t).first()["r2"]
     assert boosted.count() == 24 and r2(boosted) > 0.1 and r2(models.fit_log_target(table, 10)) > 0.8
     assert metrics.classification_metrics(models.fit_classifier(table).withColumnRenamed("score", "y_pred"), 20.0).first()["auc"] > 0.9
+
+
+def test_auc_over_ranges_is_exact(spark):
+    import random
+
+    from airlake.operators import metrics as M
+
+    rng = random.Random(2)
+    rows = [(g, rng.choice([20.0, 50.0]), round(rng.gauss(30, 9), 1) if g != "c" else 30.0) for g in ("a", "b", None, "c") for _ in range(600)] + [("d", 50.0, 1.0)]
+    preds = spark.createDataFrame(rows, "g string, y_true double, y_pred double")
+
+    def auc(some):
+        p, n = ([y for _, t, y in some if (t > 35) == hit] for hit in (True, False))
+        return sum((a > b) + (a == b) / 2 for a in p for b in n) / (len(p) * len(n)) if p and n else None
+
+    got = {r["g"]: r["auc"] for r in M.classification_metrics(preds, by=["g"]).collect()}
+    for g in ("a", "b", None, "c", "d"):
+        want = auc([r for r in rows if r[0] == g])
+        assert got[g] is None if want is None else abs(got[g] - want) < 1e-12
+    assert abs(M.classification_metrics(preds).first()["auc"] - auc(rows)) < 1e-12
