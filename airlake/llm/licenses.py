@@ -94,7 +94,8 @@ FILES = [
     ),
     ("MIT", _GRANT + "\n\n" + _MIT_REST),
 ]
-TEMPLATES = NOTICES + HEADERS + FILES
+#: Candidates are single paragraphs or whole files, so a header of several paragraphs is known by its first one, too.
+TEMPLATES = NOTICES + HEADERS + [(name, text.split("\n\n")[0]) for name, text in HEADERS if "\n\n" in text] + FILES
 #: A term: letters and digits, inner dots before digits as in version numbers.
 TERM = r"[\p{L}\p{N}]+(?:\.\p{N}+)*"
 #: Lines without letters and digits part paragraphs, also those of comment signs.
