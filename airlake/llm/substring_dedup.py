@@ -25,23 +25,58 @@ GAP = 64
 #: Lines of fewer words are too common to be removed.
 FLOOR = 25
 
-_TOKEN = re.compile(r"\w+|\n")
-_LINE = np.uint64(xxhash.xxh3_64_intdigest("\n"))
+#: Signs beyond ASCII that are not part of words.
+_SIGNS = re.compile(r"[^\w\x00-\x7f]+")
 _GOLD, _SILVER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
 
 
-def _words(texts: list[str], cache: S.WordHashes):
-    """Word hashes of all texts, the place where each text begins, and a number that changes with text or line."""
-    tokens, sizes = [], np.zeros(len(texts), np.int64)
-    for i, text in enumerate(texts):
-        found = _TOKEN.findall(text)
-        sizes[i] = len(found)
-        tokens += found
-    flat = np.fromiter(map(cache.__getitem__, tokens), np.uint64, len(tokens))
-    word = flat != _LINE
-    owner = np.repeat(np.arange(len(texts)), sizes)
-    starts = np.concatenate([[0], np.cumsum(np.bincount(owner[word], minlength=len(texts)))])
-    return flat[word], starts, (np.cumsum(~word) + owner)[word]
+#: Bytes of words once other characters are blanks: ASCII letters in lower case, digits, underscores, and what is beyond ASCII.
+_INSIDE = np.array([b >= 128 or chr(b).isalnum() or b == 95 for b in range(256)])
+#: Longest word, in bytes, whose hash is a sum of table cells; bytes hashed at once.
+_SHORT, _AT_ONCE = 64, 1 << 17
+_CELLS = S.mix(np.arange(1, 256 * _SHORT + 1, dtype=np.uint64) * _GOLD)
+
+
+def _hashes(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words at ``begin``: sums of a random number for each byte and its place in the word."""
+    out = np.zeros(len(begin), np.uint64)
+    for k in np.flatnonzero(size > _SHORT).tolist():
+        out[k] = xxhash.xxh3_64_intdigest(data[begin[k] : begin[k] + size[k]].tobytes())
+    short = np.flatnonzero(size <= _SHORT)
+    until, at = np.cumsum(size[short]), 0
+    while at < len(short):
+        done = until[at - 1] if at else 0
+        some = short[at : np.searchsorted(until, done + _AT_ONCE, "right")]
+        n, first = size[some], until[at : at + len(some)] - size[some] - done
+        place = np.arange(n.sum()) - np.repeat(first, n)
+        out[some] = S.mix(np.add.reduceat(_CELLS[place * 256 + data[np.repeat(begin[some], n) + place]], first))
+        at += len(some)
+    return out
+
+
+def _lower(text: str) -> str:
+    """A text in lower case with blanks for signs beyond ASCII; its words do not change with what stands around them."""
+    if not text.isascii():
+        # The sigma at a word's end has a form of its own, which signs behind it can hide.
+        text = re.sub(r"\w+", lambda m: m[0].lower(), text) if "Σ" in text else text
+        text = _SIGNS.sub(" ", text)
+    return text.lower()
+
+
+def _words(texts: list[str]):
+    """Word hashes of all texts, the place where each text begins, and a number that changes with text or line.
+
+    Words are hashed together as bytes.
+    """
+    plain = [_lower(text).encode("utf-8", "surrogatepass") for text in texts]
+    data = np.frombuffer(b"\0".join(plain) + b"\0", np.uint8)
+    inside = _INSIDE[data]
+    turns = np.flatnonzero(np.diff(inside, prepend=False))
+    begin, size = turns[::2], turns[1::2] - turns[::2]
+    texts_at = np.concatenate([[0], np.cumsum(np.array([len(p) + 1 for p in plain], np.int64))])
+    starts = np.searchsorted(begin, texts_at)
+    owner = np.repeat(np.arange(len(texts)), np.diff(starts))
+    return _hashes(data, begin, size), starts, np.searchsorted(np.flatnonzero(data == 10), begin) + owner
 
 
 def _sets(words: np.ndarray, starts: np.ndarray, sizes: np.ndarray, width: int):
@@ -89,11 +124,10 @@ def sketches(docs: DataFrame, bands: int, min_words: int, width: int = 5) -> Dat
         return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(columns, names))
 
     def run(batches):
-        cache = S.WordHashes()
         for batch in batches:
             for part in slices(batch, 1_500_000):
                 rows = part.num_rows
-                words, starts, line = _words(part.column("text").to_pylist(), cache)
+                words, starts, line = _words(part.column("text").to_pylist())
                 cuts = np.flatnonzero(np.diff(line)) + 1
                 begin = np.concatenate([[0], cuts]).astype(np.int64)[: len(words)]
                 sizes = np.diff(np.append(begin, len(words)))
@@ -125,10 +159,9 @@ def _contents(rows: DataFrame, width: int) -> DataFrame:
     """(key, shingles) of rows (text, wanted array<struct<start, words, key>>); other keys are left out."""
 
     def run(batches):
-        cache = S.WordHashes()
         for batch in batches:
             for part in slices(batch, 1_000_000):
-                words, starts, _ = _words(part.column("text").to_pylist(), cache)
+                words, starts, _ = _words(part.column("text").to_pylist())
                 wanted = [(starts[i] + w["start"], w["words"], w["key"], starts[i + 1]) for i, ws in enumerate(part.column("wanted").to_pylist()) for w in ws]
                 wanted = [w for w in wanted if w[0] + w[1] <= w[3]]
                 sets = _sets(words, np.array([w[0] for w in wanted], np.int64), np.array([w[1] for w in wanted], np.int64), width)
@@ -144,10 +177,9 @@ def _regions(docs: DataFrame, asked: DataFrame) -> DataFrame:
     kind = docs.schema["doc"].dataType.simpleString()
 
     def run(batches):
-        cache = S.WordHashes()
         for batch in batches:
             for row in range(batch.num_rows):
-                words = _words([batch.column("text")[row].as_py()], cache)[0].astype(np.uint32)
+                words = _words([batch.column("text")[row].as_py()])[0].astype(np.uint32)
                 spots = batch.column("wanted")[row].values
                 starts, ends, reaches = (spots.field(c).to_numpy() for c in ("start", "end", "reach"))
                 cells, size = [], 0

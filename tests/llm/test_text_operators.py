@@ -491,3 +491,20 @@ def test_short_lines_near_copies_and_own_repeats(make_docs):
     cut = {r["doc_id"]: r["text"].split() for r in substring_dedup.drop_repeats(docs).collect()}
     assert cut[1] == texts[1].split() and cut[3] == (prose(47, 12) + " qc qd " + prose(48, 51)).split()
     assert cut[4] == (own + " qe " + prose(49, 30) + " qf qg").split()
+
+
+def test_word_hashes_name_the_lower_case_words(monkeypatch):
+    monkeypatch.setattr(substring_dedup, "_AT_ONCE", 50)
+    texts = ["", "\n", "A b_c\n\nÉa é “d”—e…f", "x" * 200 + " y " + "X" * 200, "\r\tz\x0bw\x00v", "ΑΣ ας Σ’Α ΑΣ’Α", "日本 語\nテ ٣", "²x ß ẞ K k İi", "a\n"]
+    hashes, starts, line = substring_dedup._words(texts)
+    words, lines = [], []
+    for i, text in enumerate(texts):
+        assert starts[i] == len(words)
+        for n, part in enumerate(text.split("\n")):
+            found = [w.lower() for w in shingles.WORD.findall(part)]
+            words += found
+            lines += [(i, n)] * len(found)
+    assert starts[-1] == len(words) == len(hashes)
+    assert len(set(zip(words, hashes.tolist(), strict=True))) == len(set(words)) == len(set(hashes.tolist()))
+    assert [a != b for a, b in zip(line[1:], line)] == [a != b for a, b in zip(lines[1:], lines)]
+    assert len(substring_dedup._words([])[0]) == 0
