@@ -400,6 +400,9 @@ def repeated_passages(
     )
 
     blocks = table.select("doc", F.explode("blocks").alias("b")).select("doc", "b.*")
+    # Most blocks occur once: counts, which need no sort, leave them out before the least occurrence is sought.
+    often = scratch.keep(blocks.groupBy("key", "check").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
+    blocks = scratch.keep(blocks.join(often, ["key", "check"]))
     shared = scratch.keep(
         blocks.groupBy("key", "check").agg(F.min(F.struct("doc", "pos")).alias("kept"), F.max(F.struct("doc", "pos")).alias("last"))
         .where("kept < last").drop("last")
