@@ -20,7 +20,10 @@ from airlake.llm.common import empty_if_null, held_out, lean, slices
 HOMOGLYPHS = {
     "а": "a", "в": "b", "с": "c", "ԁ": "d", "е": "e", "һ": "h", "і": "i", "ј": "j", "к": "k", "м": "m", "о": "o",
     "р": "p", "ѕ": "s", "т": "t", "у": "y", "х": "x", "α": "a", "β": "b", "ε": "e", "η": "n", "ι": "i", "κ": "k",
-    "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x",
+    "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ϲ": "c", "ϳ": "j", "ӏ": "l", "ԛ": "q", "ԝ": "w",
+    "ѵ": "v", "ү": "y", "օ": "o", "ո": "n", "ս": "u", "հ": "h", "ց": "g", "ı": "i", "ɑ": "a", "ɡ": "g", "ɢ": "g",
+    "ɩ": "i", "ɪ": "i", "ɴ": "n", "ʀ": "r", "ʏ": "y", "ʙ": "b", "ʜ": "h", "ʟ": "l", "ᴀ": "a", "ᴄ": "c", "ᴅ": "d",
+    "ᴇ": "e", "ᴊ": "j", "ᴋ": "k", "ᴍ": "m", "ᴏ": "o", "ᴘ": "p", "ᴛ": "t", "ᴜ": "u", "ᴠ": "v", "ᴡ": "w", "ᴢ": "z",
 }
 #: Digits and signs that stand for letters inside a word.
 DIGITS = dict(zip("0134578@$!|", "oieastbasil", strict=True))

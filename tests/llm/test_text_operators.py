@@ -270,6 +270,7 @@ def test_fold():
     assert toxicity.fold("costs 100 $ in 2020") == " costs in "
     assert toxicity.fold("a55 a$$ ｉｄｉｏｔ ïdíöt id\u200bi\u00adot wow!! ﬁne") == " ass ass idiot idiot idiot wow fine "
     assert toxicity.fold("İDİOT 2nd v9 x10") == " idiot nd v xio "
+    assert toxicity.fold("ıdıot ɪᴅɪᴏᴛ Іdіօt ᴍᴀɴ ԝӏ") == " idiot idiot idiot man wl "
 
 
 def test_evidence_matches_brute_force():
