@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from airlake.functions import scalars as X
 from airlake.operators.clean import filter_complete
+from airlake.operators.selection import quantiles
 
 
 def build_stations(daily: DataFrame) -> DataFrame:
@@ -47,7 +48,9 @@ def daily_labels(daily: DataFrame, stations: DataFrame, min_pct: float = 75.0) -
 
 
 def label_summary(labels: DataFrame) -> DataFrame:
-    return labels.agg(F.percentile("pm25", 0.5).alias("median"), F.percentile("pm25", 0.95).alias("p95"), F.max("pm25").alias("max"))
+    """One row: exact median and 95 % quantile of the labels, and the largest one; nulls and NaN do not count."""
+    top = labels.agg(F.max(F.when(~F.isnan("pm25"), F.col("pm25"))).alias("max"))
+    return quantiles(labels, "pm25", {"median": 0.5, "p95": 0.95}).join(F.broadcast(top))
 
 
 def overpass_labels(daily: DataFrame, passes: DataFrame) -> DataFrame:

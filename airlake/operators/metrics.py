@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from airlake.functions import scalars as X
 from airlake.operators.dataset import bucket
+from airlake.operators.selection import quantiles
 
 #: Ranges over which the scores of one group are dealt.
 RANGES = 256
@@ -108,11 +109,17 @@ def bucket_errors(preds: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 
 def hit_rates(preds: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Exact median of the absolute error, shares of errors up to 3 and 5, and the mean error."""
+    by = by or []
     err = F.abs(F.col("y_pred") - F.col("y_true"))
-    return preds.groupBy(*(by or [])).agg(
-        F.median(err).alias("median_abs_error"), F.avg((err <= 3).cast("int")).alias("within_3"), F.avg((err <= 5).cast("int")).alias("within_5"),
-        F.avg(F.col("y_pred") - F.col("y_true")).alias("bias"),
+    rates = preds.groupBy(*by).agg(
+        F.avg((err <= 3).cast("int")).alias("within_3"), F.avg((err <= 5).cast("int")).alias("within_5"), F.avg(F.col("y_pred") - F.col("y_true")).alias("bias")
     )
+    mid = quantiles(preds, err, {"median_abs_error": 0.5}, by)
+    if not by:
+        return mid.join(F.broadcast(rates))
+    same = reduce(lambda a, b: a & b, [F.col(f"m.{c}").eqNullSafe(F.col(f"a.{c}")) for c in by])
+    return rates.alias("a").join(mid.alias("m"), same).select(*[f"a.{c}" for c in by], "median_abs_error", "within_3", "within_5", "bias")
 
 
 def calibration(preds: DataFrame, by: list[str]) -> DataFrame:
