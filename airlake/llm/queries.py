@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from airlake.llm import bpe, embedding_dedup, exact_dedup, licenses, minhash, packing, quality, substring_dedup, toxicity, warc
+from airlake.llm import bpe, embedding_dedup, exact_dedup, licenses, minhash, packing, quality, sharding, substring_dedup, toxicity, vector_codes, warc, whitening
 from airlake.llm.common import held_out
 
 
@@ -77,6 +77,20 @@ def op10_quality(spark, sf_dir):
     return quality.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_vector_codes(spark, sf_dir):
+    return vector_codes.compress_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_whitening(spark, sf_dir):
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_sharding(spark, sf_dir):
+    return sharding.kd_shards(_table(spark, sf_dir, "documents")).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
@@ -87,10 +101,76 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_bag_minhash, op2_packing, op3_bpe, op4_substring_dedup, op5_toxicity, op6_warc_derivatives, op7_license_scan,
-        op8_exact_dedup, op9_embedding_dedup, op10_quality, pipeline,
+        op8_exact_dedup, op9_embedding_dedup, op10_quality, op11_vector_codes, op12_whitening, op13_sharding, pipeline,
     )
 }
 
+
+
+def _codes_sql(rounds: int = 4) -> str:
+    """Assignments and means of vector parts, one round below the other."""
+    sql = """
+WITH v AS (
+  SELECT vec_id, label, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) for x in embedding] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0
+), p AS (SELECT vec_id, label, part, e[part * len(e) // 4 + 1 : (part + 1) * len(e) // 4] AS a FROM v, range(4) t(part)
+), b0 AS (SELECT part, rn - 1 AS entry, a AS c FROM (SELECT *, row_number() OVER (PARTITION BY part ORDER BY vec_id) AS rn FROM p) WHERE rn <= 256)"""
+    near = """
+), a{k} AS (
+  SELECT vec_id, part, any_value(label) AS label, any_value(a) AS a, first(entry ORDER BY d, entry) AS entry, min(d) AS d
+  FROM (SELECT p.*, entry, list_sum([(z[1] - z[2]) * (z[1] - z[2]) for z in list_zip(a, c)]) AS d FROM p JOIN b{k} USING (part)) GROUP BY vec_id, part"""
+    mean = """
+), u{k} AS (
+  SELECT part, entry, list(m ORDER BY i) AS c FROM (
+    SELECT part, entry, i, CAST(floor(sum(x) / count(*)) AS BIGINT) AS m FROM (
+      SELECT part, entry, unnest(a) AS x, generate_subscripts(a, 1) AS i FROM a{k}) GROUP BY part, entry, i) GROUP BY part, entry
+), b{n} AS (SELECT part, entry, coalesce(u.c, b.c) AS c FROM b{k} b LEFT JOIN u{k} u USING (part, entry)"""
+    sql = sql.rstrip(")")
+    for k in range(rounds):
+        sql += near.format(k=k) + mean.format(k=k, n=k + 1)
+    return sql + near.format(k=rounds) + f"""
+), r AS (
+  SELECT vec_id, any_value(label) AS label, string_agg(lpad(lower(hex(entry)), 2, '0'), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{rounds} GROUP BY vec_id
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) FROM b{rounds}) AS codebooks_sha256 FROM r
+"""
+
+
+def _tree_sql(levels: int = 3) -> str:
+    """Cuts of all nodes of a level at the row whose middle byte passes half of the node's bytes; CRC-32 by its table."""
+    dims = ("source", "lang")
+    text = lambda c: f"CASE WHEN {c} IS NULL THEN -1 ELSE CAST('0x' || rpad(substr(hex(encode({c})), 2 * {c}_shared + 1, 14), 14, '0') AS BIGINT) END"
+    shared = ", ".join(
+        f"""(SELECT coalesce(max(i), 0) FROM range(1, 100) t(i) WHERE i <= octet_length(encode(l{c})) AND i <= octet_length(encode(h{c}))
+      AND substr(hex(encode(l{c})), 1, 2 * i) = substr(hex(encode(h{c})), 1, 2 * i)) AS {c}_shared"""
+        for c in dims
+    )
+    sql = f"""
+WITH e AS (SELECT {", ".join(f"min({c}) AS l{c}, max({c}) AS h{c}" for c in dims)} FROM documents
+), g AS (SELECT {shared} FROM e
+), k AS (SELECT list(list_reduce(list_prepend(n, [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, b: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY n) AS t FROM range(256) r(n)
+), n0 AS (
+  SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 1 AS size,
+    xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), [CAST('0x' || h AS BIGINT) for h in regexp_extract_all(hex(encode(coalesce(text, ''))), '..')]),
+      lambda c, b: xor(c >> 8, t[1 + xor(c & 255, b)]))) AS text_crc32,
+    {text("source")} AS d0, {text("lang")} AS d1, octet_length(encode(coalesce(text, ''))) + 1 AS d2, coalesce(doc_id, -1) AS d3, 0 AS node
+  FROM documents, g, k
+), w AS (SELECT {", ".join(f"greatest(1, max(d{i}) - min(d{i})) AS w{i}" for i in range(4))} FROM n0"""
+    for j in range(levels):
+        share = [f"(max(d{i}) - min(d{i})) / any_value(w{i})" for i in range(4)]
+        axis = " ".join(f"WHEN {share[i]} = greatest({', '.join(share)}) THEN {i}" for i in range(3))
+        sql += f"""
+), s{j} AS (SELECT node, sum(size) AS w, CASE {axis} ELSE 3 END AS axis FROM n{j}, w GROUP BY node
+), c{j} AS (
+  SELECT n.*, s.w, sum(size) OVER (PARTITION BY node ORDER BY CASE axis WHEN 0 THEN d0 WHEN 1 THEN d1 WHEN 2 THEN d2 ELSE d3 END, doc_id) AS upto FROM n{j} n JOIN s{j} s USING (node)
+), n{j + 1} AS (SELECT doc_id, size, text_crc32, d0, d1, d2, d3, 2 * node + CAST(2 * upto - size >= w AS INTEGER) AS node FROM c{j}"""
+    return sql + f"""
+)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, CAST(node AS INTEGER) AS shard, row_number() OVER (PARTITION BY node ORDER BY doc_id) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM n{levels}
+"""
+
+
 _TEMPLATE_ROWS = ", ".join("('{}', '{}')".format(*(x.replace("'", "''") for x in row)) for row in licenses.TEMPLATES)
 
 ORACLE_SQL = {
@@ -161,4 +241,6 @@ m AS (
 SELECT r.doc_id, r.path, own_license, round(own_score, 6) AS own_score, coalesce(own_license, given) AS license, above AS inherited_from
 FROM r LEFT JOIN near USING (doc_id)
 """,
+    "op11_vector_codes": _codes_sql(),
+    "op13_sharding": _tree_sql(),
 }
