@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -147,14 +149,37 @@ def weight_balanced(df: DataFrame, damped: bool = False) -> DataFrame:
     return marked.join(F.broadcast(ratio), "_b", "left").withColumn("weight", F.sqrt(w) if damped else w).drop("_b", "_w")
 
 
+def resample_offset(seed: int) -> float:
+    """Where the first grid point of ``weighted_resample`` lies in its step: between a quarter and three quarters."""
+    return 0.25 + int(hashlib.md5(str(seed).encode()).hexdigest()[:8], 16) / 2**33
+
+
 def weighted_resample(df: DataFrame, keys: list[str], weight: str = "weight", seed: int = 0, draws: int | None = None) -> DataFrame:
-    """Each row n * w / sum(w) times on average: the whole part, and one more by a hash of the keys."""
-    size = df.agg(((F.lit(draws) if draws else F.count(F.lit(1))) / F.sum(weight)).alias("_scale"))
-    want = F.col(weight) * F.col("_scale")
-    unit = F.conv(F.substring(X.draw(seed, *keys), 1, 8), 16, 10).cast("double") / 2**32
-    copies = (F.floor(want) + (unit < want - F.floor(want)).cast("int")).cast("int")
-    rows = df.join(F.broadcast(size)).withColumn("_n", copies).where("_n > 0")
-    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).drop("_n", "_scale")
+    """Exactly ``draws`` rows (as many as the table has) by systematic resampling, numbered by column copy; each row comes n * w / sum(w) times, give or take one.
+
+    In the order of a hash of the keys, which name a row, weights are laid end to end; a row comes once for each of n evenly spaced points in its stretch. Where a stretch begins
+    is a sum of integers (2**-40 of the largest weight each), so neighbours agree and no point is lost or met twice: totals of 65,536 hash prefixes are added up first, then the rows
+    within each. Null, NaN and negative weights count as 0; if no weight is left, there are no rows.
+    """
+    w = F.greatest(F.coalesce(F.nanvl(F.col(weight).cast("double"), F.lit(0.0)), F.lit(0.0)), F.lit(0.0))
+    hashed = df.withColumns({"_h": X.draw(seed, *keys), "_w": w}).withColumn("_p", F.substring("_h", 1, 4))
+    top = hashed.agg(F.max("_w").alias("_top"), F.count(F.lit(1)).alias("_rows"))
+    units = F.floor(F.coalesce(F.col("_w") / F.nullif(F.col("_top"), F.lit(0.0)), F.lit(0.0)) * 2.0**40).cast("decimal(38,0)")
+    laid = hashed.join(F.broadcast(top)).withColumn("_u", units)
+    totals = laid.groupBy("_p").agg(F.sum("_u").cast("decimal(38,0)").alias("_t"))  # 65,536 rows at most
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select("_p", F.coalesce(F.sum("_t").over(before), F.lit(0)).cast("decimal(38,0)").alias("_from"))
+    starts = starts.join(F.broadcast(totals.agg(F.sum("_t").cast("double").alias("_all"))))
+    order = Window.partitionBy("_p").orderBy("_h", *keys).rowsBetween(Window.unboundedPreceding, 0)
+    placed = laid.join(starts, "_p").withColumn("_to", (F.sum("_u").over(order) + F.col("_from")).cast("decimal(38,0)"))
+    n = F.lit(draws) if draws is not None else F.col("_rows")
+
+    def passed(place: Column) -> Column:
+        """Points before a place; the same place always gives the same number."""
+        return F.floor(place.cast("double") * (n.cast("double") / F.col("_all")) - resample_offset(seed))
+
+    chosen = placed.where("_all > 0").withColumn("_n", (passed(F.col("_to")) - passed((F.col("_to") - F.col("_u")).cast("decimal(38,0)"))).cast("int")).where("_n > 0")
+    return chosen.select(*df.columns, F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("copy"))
 
 
 def pos_weight(df: DataFrame, threshold: float) -> DataFrame:

@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from itertools import product
+from typing import NamedTuple
+
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, RandomForestRegressor
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
 from airlake.functions import scalars as X
+from airlake.operators import dataset as A
 from airlake.operators.dataset import pos_weight, val_carveout
+from airlake.operators.manifest import pending_runs
+from airlake.sources.shared import exists, file_system, shared_folder, staged
 
 
 def band_statistics():
@@ -44,10 +53,22 @@ def best_rounds(errors: list[float], stale: int) -> tuple[int, bool]:
     return best + 1, False
 
 
+def cut_rounds(spark: SparkSession, model: GBTRegressionModel, rounds: int) -> GBTRegressionModel:
+    """The model of its first ``rounds`` trees: boosting never changes earlier ones, so this is what fewer rounds would have fitted."""
+    java = model._java_obj
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    trees = gateway.new_array(jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, rounds)
+    weights = gateway.new_array(jvm.double, rounds)
+    for k in range(rounds):
+        trees[k], weights[k] = java.trees()[k], java.treeWeights()[k]
+    cut = GBTRegressionModel(jvm.org.apache.spark.ml.regression.GBTRegressionModel(java.uid(), trees, weights, java.numFeatures()))
+    return cut.setFeaturesCol(model.getFeaturesCol()).setPredictionCol(model.getPredictionCol())
+
+
 def fit_gbt(train: DataFrame, validation: DataFrame | None = None, rounds: int = 2000, seed: int = 0, stale: int = 100):
     """Boosted trees; with validation rows, the prefix of rounds with the least squared error before ``stale`` rounds without a better one.
 
-    The rounds fitted are doubled until that many are stale, so the rest of ``rounds`` is only fitted where it counts.
+    The rounds fitted are doubled until that many are stale, so the rest of ``rounds`` is only fitted where it counts; the prefix is cut from the model.
     """
     settings = {"featuresCol": "features", "labelCol": "pm25", "stepSize": 0.05, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8", "seed": seed}
     if validation is None:
@@ -57,16 +78,15 @@ def fit_gbt(train: DataFrame, validation: DataFrame | None = None, rounds: int =
         model = GBTRegressor(maxIter=n, **settings).fit(train)
         best, stopped = best_rounds(model.evaluateEachIteration(validation, "squared"), stale)
         if stopped or n == rounds:
-            break
+            return model if best == n else cut_rounds(train.sparkSession, model, best)
         n = min(rounds, 2 * n)
-    return model if best == n else GBTRegressor(maxIter=best, **settings).fit(train)
 
 
 def fit_rf(train: DataFrame, trees: int = 300, seed: int = 0):
     return RandomForestRegressor(featuresCol="features", labelCol="pm25", numTrees=trees, seed=seed).fit(train)
 
 
-def fit_predict(table: DataFrame, model: str = "rf", size: int = 100, seed: int = 0, fold=None) -> DataFrame:
+def fit_predict(table: DataFrame, model: str = "rf", size: int = 100, seed: int = 0, fold=None, stale: int = 100) -> DataFrame:
     """Fit on the rows of split train, predict those of test; ``size`` counts trees or rounds.
 
     Boosting stops early by the rows of split val; without any, a tenth of the training stations is carved out for it.
@@ -77,7 +97,7 @@ def fit_predict(table: DataFrame, model: str = "rf", size: int = 100, seed: int
     if "fold" in table.columns and fold is None:
         out = None
         for key in _keys(table, "fold"):
-            part = fit_predict(table, model, size, seed, key)
+            part = fit_predict(table, model, size, seed, key, stale)
             out = part if out is None else out.unionByName(part)
         if out is not None:
             return out
@@ -91,7 +111,7 @@ def fit_predict(table: DataFrame, model: str = "rf", size: int = 100, seed: int
             ready = val_carveout(ready, seed=seed)
         ready = ready.persist()  # read by every round
         validation = ready.where("split = 'val'")
-        fitted = fit_gbt(ready.where("split = 'train'"), None if validation.isEmpty() else validation, size, seed)
+        fitted = fit_gbt(ready.where("split = 'train'"), None if validation.isEmpty() else validation, size, seed, stale)
         ready.unpersist()
     keys = [c for c in ("station_id", "week_start", "split_name", "fold") if c in table.columns]
     return fitted.transform(ready.where("split = 'test'")).select(*keys, F.col("pm25").alias("y_true"), F.col("prediction").alias("y_pred"))
@@ -103,21 +123,125 @@ def _keys(table: DataFrame, column: str) -> list:
     return sorted(r[0] for r in rows)
 
 
-def run_grid(tables: dict[str, DataFrame], models: dict[str, int], seeds: list[int]) -> DataFrame:
-    """Predictions of every feature set x model x split x seed x fold, with the run's keys as columns.
+class Run(NamedTuple):
+    """Keys of one fit of a grid; fold is text, as regions are folds, too."""
+
+    feature_set: str
+    model: str
+    split_name: str
+    seed: int
+    fold: str
+
+
+RUN = "feature_set string, model string, split_name string, seed int, fold string"
+PREDICTED = f"station_id string, week_start date, y_true double, y_pred double, {RUN}"
+#: Rows of a training table that one partition holds; small tables are one partition, so that fits side by side do not share tasks.
+ROWS = 20_000
+
+
+def assign_splits(table: DataFrame, keys: list[str], names: list[str], seeds: list[int], k: int = 5, year: int = 2024) -> DataFrame:
+    """The table with its splits as columns, a row once: random_<seed> and temporal say train or test, spatial and region the fold that tests the row."""
+    for name in names:
+        if name == "random":
+            for seed in seeds:
+                table = A.random_split(table, keys, seed=seed).drop("fold").withColumnRenamed("split", f"random_{seed}")
+        elif name == "spatial":
+            table = A.spatial_folds(table, k).withColumnRenamed("fold", "spatial")
+        elif name == "temporal":
+            table = A.temporal_split(table, year).drop("fold").withColumnRenamed("split", "temporal")
+        elif name == "region":
+            table = table.withColumn("_region", F.col("region"))
+        else:
+            raise ValueError(f"unknown split: {name}")
+    return table
+
+
+def _side(split_name: str, seed: int, fold: str) -> Column:
+    """train, test or null for a row of ``assign_splits``."""
+    if split_name in ("random", "temporal"):
+        return F.col(f"random_{seed}" if split_name == "random" else "temporal")
+    column = F.col("_region" if split_name == "region" else "spatial")
+    return F.when(column.cast("string") == fold, "test").otherwise("train")
 
-    The split is the column split_name, where a table has one.
+
+def _memberships(table: DataFrame, keys: list[str], names: list[str], seeds: list[int]) -> dict[tuple, tuple]:
+    """(split, seed, fold) -> a fingerprint of which rows it trains on and tests; sides without rows leave it out. One pass over the table."""
+    places = []
+    for name in names:
+        if name in ("random", "temporal"):
+            places += [(name, seed, "0") for seed in seeds]
+        else:
+            column = "_region" if name == "region" else "spatial"
+            folds = [str(r[0]) for r in table.select(column).where(f"{column} IS NOT NULL").distinct().collect()]  # a fit for each
+            places += [(name, seed, fold) for fold in sorted(folds) for seed in seeds]
+    row = F.xxhash64(*keys).cast("decimal(38,0)")
+    sums = []
+    for k, place in enumerate(places):
+        sums += [f(F.when(_side(*place) == side, row)).alias(f"{f.__name__}_{side}_{k}") for side in ("train", "test") for f in (F.sum, F.count)]
+    found = table.agg(*sums).first() if sums else {}
+    prints = {place: tuple(found[f"{f}_{side}_{k}"] for side in ("train", "test") for f in ("count", "sum")) for k, place in enumerate(places)}
+    return {place: p for place, p in prints.items() if p[0] and p[2]}
+
+
+def _leaf(root: str, run: Run) -> str:
+    return "/".join([root, *(f"{name}={value}" for name, value in zip(Run._fields, run, strict=True))])
+
+
+def finished_runs(spark, root: str) -> DataFrame:
+    """Keys of the runs whose predictions below ``root`` are complete; a write that broke off has left no mark."""
+    found = []
+    if exists(spark, root):
+        fs, place = file_system(spark, root + "/" + "/".join(f"{name}=*" for name in Run._fields) + "/_SUCCESS")
+        for status in fs.globStatus(place):
+            parts = dict(p.split("=", 1) for p in status.getPath().toString().split("/")[-6:-1])
+            found.append(Run(parts["feature_set"], parts["model"], parts["split_name"], int(parts["seed"]), parts["fold"]))
+    return spark.createDataFrame(found, RUN)
+
+
+def run_grid(
+    table: DataFrame, keys: list[str], feature_sets: list[str], models: dict[str, int], splits: list[str], seeds: list[int],
+    root: str | None = None, parallel: int = 8, stale: int = 100, k: int = 5, year: int = 2024, fit: Callable | None = None,
+) -> DataFrame:
+    """Predictions of every feature set x model x split x seed x fold that has training and test rows, with the run's keys as columns.
+
+    ``table`` has the columns of a model table; ``models`` gives trees or rounds for rf and gbt. Features and splits are written once below ``root``, a row
+    once, and every fit reads the columns it needs. Runs that are complete there already are left out, so a call after a failure goes on with
+    the rest; fits of the same rows, features, model and seed are done once and written under each key. ``parallel`` fits run at a time, each from a thread
+    and in a scheduler pool of its own. Predictions are read back from their partitions.
     """
-    out = None
-    for kind, table in tables.items():
-        named = "split_name" in table.columns
-        for name in _keys(table, "split_name") if named else [None]:
-            one = table.where(F.col("split_name") == name) if named else table
-            for model, size in models.items():
-                for seed in seeds:
-                    part = fit_predict(one, model, size, seed).withColumns({"feature_set": F.lit(kind), "model": F.lit(model), "seed": F.lit(seed)})
-                    out = part if out is None else out.unionByName(part)
-    return out
+    spark = table.sparkSession
+    root = root or shared_folder(spark, "grid")
+    fit = fit or (lambda ready, run: fit_predict(ready, run.model, models[run.model], run.seed, stale=stale))
+    wide = assign_splits(table.where("pm25 IS NOT NULL"), keys, splits, seeds, k, year)
+    for kind in feature_sets:
+        wide = A.features(wide, kind).withColumnRenamed("features", f"features_{kind}")
+    wide = staged(wide.drop("embedding"), f"{root}/table")
+    prints = _memberships(wide, keys, splits, seeds)
+    grid = [Run(kind, model, name, seed, fold) for kind, model, (name, seed, fold) in product(feature_sets, models, prints)]
+    asked = spark.createDataFrame(grid, RUN)
+    todo = [Run(*r) for r in pending_runs(asked, finished_runs(spark, f"{root}/predictions")).collect()]  # keys of the grid
+    equal: dict[tuple, list[Run]] = {}
+    for run in todo:
+        equal.setdefault((run.feature_set, run.model, run.seed, prints[run[2:]]), []).append(run)
+    parts = max(1, min(spark.sparkContext.defaultParallelism, -(-max((p[0] + p[2] for p in prints.values()), default=0) // ROWS)))
+
+    def one(runs: list[Run]) -> None:
+        first = runs[0]
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", "-".join(map(str, first)))
+        ready = wide.select(*keys, "pm25", F.col(f"features_{first.feature_set}").alias("features"), _side(*first[2:]).alias("split"))
+        predicted = fit(ready.where("split IS NOT NULL").coalesce(parts), first)
+        predicted = predicted.select("station_id", "week_start", "y_true", "y_pred").coalesce(parts)
+        predicted.write.mode("overwrite").parquet(_leaf(f"{root}/predictions", first))
+        for other in runs[1:]:
+            spark.read.parquet(_leaf(f"{root}/predictions", first)).write.mode("overwrite").parquet(_leaf(f"{root}/predictions", other))
+
+    with ThreadPoolExecutor(parallel) as pool:
+        for done in [pool.submit(inheritable_thread_target(spark)(one), runs) for runs in equal.values()]:
+            done.result()
+    if not grid:
+        return spark.createDataFrame([], PREDICTED)
+    predictions = spark.read.schema(PREDICTED).parquet(f"{root}/predictions")
+    return predictions.join(F.broadcast(asked), list(Run._fields), "left_semi").select(*[c.split()[0] for c in PREDICTED.split(", ")])
 
 
 def fit_classifier(table: DataFrame, threshold: float = 20.0) -> DataFrame:

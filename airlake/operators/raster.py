@@ -23,38 +23,52 @@ def mask_by_score(df: DataFrame, least: float = 0.6, bands: list[str] = RGB) ->
     return df.withColumns({b: F.zip_with(b, "score", lambda p, s: F.when(s >= least, p)) for b in bands})
 
 
-def median_composite(scenes: DataFrame, keys: list[str], bands: list[str] = RGB) -> DataFrame:
-    """Median of the unmasked pixels of each position in a group, 0 where there is none, and their number as cnt."""
-    zipped = F.arrays_zip(*bands)
-    pixels = scenes.select(*keys, F.posexplode(zipped).alias("px", "v"))
-    stats = pixels.groupBy(*keys, "px").agg(
-        *[F.coalesce(F.floor(F.median(f"v.{b}")), F.lit(0)).cast("int").alias(b) for b in bands], F.count(f"v.{bands[0]}").cast("int").alias("cnt")
-    )
-    names = [*bands, "cnt"]
-    packed = stats.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("px", *names))).alias("_p"))
-    return packed.select(*keys, *[F.col(f"_p.{n}").alias(n) for n in names])
+#: Pixels of a tile, which is what a median over many scenes has in memory of each of them.
+TILE = 1024
+
 
+def median_composite(scenes: DataFrame, keys: list[str], bands: list[str] = RGB, tile: int = TILE) -> DataFrame:
+    """Median of the unmasked pixels of each position in a group, 0 where there is none, and their number as cnt (of the first band).
 
-def median_composite_arrays(scenes: DataFrame, keys: list[str], bands: list[str] = RGB) -> DataFrame:
-    """As ``median_composite``, shuffling whole arrays: for large patches with a bounded number of scenes in a group."""
+    Arrays are cut into tiles of ``tile`` pixels; tiles, not pixels, are shuffled by group and position, reduced with numpy and put together again. Masked
+    pixels are null. Arrays of a group may differ in length, a null array holds nothing; a group without any pixel has empty arrays. Ties and repeated scenes count each.
+    """
     import numpy as np
-    import pandas as pd
+    import pyarrow as pa
+    import pyarrow.compute as pc
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        out = dict(zip(keys, key, strict=True))
+    names = [*bands, "cnt"]
+    length = F.greatest(F.lit(0), *[F.coalesce(F.size(b), F.lit(0)) for b in bands])
+    at = F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(length / tile).cast("int") - 1))).alias("_tile")
+    cut = scenes.select(*keys, *bands, at).select(*keys, "_tile", *[F.slice(b, F.col("_tile") * tile + 1, tile).alias(b) for b in bands])
+
+    def middle(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+        """(floored median, number of values) at each position, read from the arrays' child buffers."""
+        lists = column.combine_chunks()
+        size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+        flat = pc.cast(lists.flatten(), pa.float64()).to_numpy(zero_copy_only=False)  # null becomes NaN
+        stack = np.full((len(size), size.max(initial=0)), np.nan)
+        stack[np.arange(stack.shape[1]) < size[:, None]] = flat
+        stack.sort(axis=0)  # NaN last
+        count = np.isfinite(stack).sum(0)
+        every, last = np.arange(stack.shape[1]), np.maximum(count - 1, 0)
+        mid = (stack[last // 2, every] + stack[(last + 1) // 2, every]) / 2
+        return np.floor(np.where(count > 0, mid, 0)).astype(np.int32), count.astype(np.int32)
+
+    def run(table: pa.Table) -> pa.Table:
+        out = {k: table.column(k).slice(0, 1) for k in [*keys, "_tile"]}
         for b in bands:
-            stack = np.array([[np.nan if p is None else p for p in row] for row in pdf[b]], float)
-            filled = np.isfinite(stack)
-            with np.errstate(all="ignore"):
-                mid = np.nanmedian(np.where(filled.any(0), stack, 0.0), axis=0)
-            out[b] = np.floor(mid).astype(int).tolist()
+            mid, count = middle(table.column(b))
+            out[b] = pa.array([mid], pa.list_(pa.int32()))
             if b == bands[0]:
-                out["cnt"] = filled.sum(0).tolist()
-        return pd.DataFrame([out])
+                out["cnt"] = pa.array([count], pa.list_(pa.int32()))
+        return pa.table(out)
 
-    types = {f.name: f.dataType.simpleString() for f in scenes.schema.fields}
-    schema = ", ".join([*(f"{k} {types[k]}" for k in keys), *(f"{n} array<int>" for n in (*bands, "cnt"))])
-    return scenes.select(*keys, *bands).groupBy(*keys).applyInPandas(run, schema)
+    types = {f.name: f.dataType.simpleString() for f in cut.schema.fields}
+    schema = ", ".join([*(f"{k} {types[k]}" for k in [*keys, "_tile"]), *(f"{n} array<int>" for n in names)])
+    tiles = cut.groupBy(*keys, "_tile").applyInArrow(run, schema)
+    packed = tiles.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_tile", *names))).alias("_p"))
+    return packed.select(*keys, *[F.flatten(F.col(f"_p.{n}")).alias(n) for n in names])
 
 
 def best_scene(scenes: DataFrame, keys: list[str]) -> DataFrame:
@@ -115,10 +129,34 @@ def preprocess(df: DataFrame, gain: float = 3.0, fill: bool = True) -> DataFrame
 
 
 def band_stats(patches: DataFrame, keys: list[str], n: int = 300, seed: int = 0, bands: list[str] = RGB) -> DataFrame:
-    """Mean and deviation of each band over ``n`` patches that a hash picks."""
-    picked = patches.orderBy(X.draw(seed, *keys)).limit(n)
-    pixels = picked.select(F.explode(F.arrays_zip(*bands)).alias("v"))
-    return pixels.agg(*[f(F.col(f"v.{b}")).alias(f"{b}_{n}") for b in bands for n, f in (("mean", F.avg), ("std", lambda c: F.stddev_pop(c) + 1e-6))])
+    """Mean and deviation (and 1e-6) of each band over all pixels of ``n`` patches that a hash of their keys picks; null pixels do not count.
+
+    The keys are picked first, without pixels. Each array of a picked patch becomes its count, mean and sum of squared deviations, which are merged
+    by how far its mean is from the mean of all; pixels are neither exploded nor squared as they are.
+    """
+    picked = patches.select(*keys).orderBy(X.draw(seed, *keys)).limit(n)
+    chosen = patches.join(F.broadcast(picked), keys, "left_semi")  # n keys
+
+    def moments(b: str) -> Column:
+        """Count n, mean m and sum of squared deviations s of one array, in one pass over it."""
+        zero = F.lit(0.0)
+
+        def step(a: Column, p: Column) -> Column:
+            n, apart = a["n"] + 1, p.cast("double") - a["m"]
+            mean = a["m"] + apart / n
+            return F.when(p.isNull(), a).otherwise(F.struct(n.alias("n"), mean.alias("m"), (a["s"] + apart * (p.cast("double") - mean)).alias("s")))
+
+        return F.aggregate(b, F.struct(zero.alias("n"), zero.alias("m"), zero.alias("s")), step)
+
+    parts = chosen.select(*[moments(b).alias(b) for b in bands])
+    means = parts.agg(*[(F.sum(F.col(f"{b}.n") * F.col(f"{b}.m")) / F.nullif(F.sum(f"{b}.n"), F.lit(0.0))).alias(f"{b}_mean") for b in bands])
+
+    def merged(b: str) -> Column:
+        apart = F.col(f"{b}.m") - F.col(f"{b}_mean")
+        return F.sqrt(F.sum(F.col(f"{b}.s") + F.col(f"{b}.n") * apart * apart) / F.nullif(F.sum(f"{b}.n"), F.lit(0.0))) + 1e-6
+
+    out = [c for b in bands for c in (F.first(f"{b}_mean").alias(f"{b}_mean"), merged(b).alias(f"{b}_std"))]
+    return parts.join(F.broadcast(means)).agg(*out)
 
 
 def standardize(df: DataFrame, stats: DataFrame, bands: list[str] = RGB) -> DataFrame:

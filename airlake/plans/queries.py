@@ -254,7 +254,7 @@ _MED = "CAST(coalesce(floor(median({b}) FILTER (NOT {bad})), 0) AS INTEGER) AS {
 _COMPOSITE = f"""SELECT station_id, list(b4 ORDER BY i) AS b4, list(b3 ORDER BY i) AS b3, list(b2 ORDER BY i) AS b2, list(cnt ORDER BY i) AS cnt FROM (
  SELECT station_id, i, {', '.join(_MED.format(b=b, bad=_BAD) for b in ('b4', 'b3', 'b2'))}, CAST(count(*) FILTER (NOT {_BAD}) AS INTEGER) AS cnt FROM px GROUP BY station_id, i) GROUP BY station_id"""
 q("r03_median_composite", _COMPOSITE, "px")(lambda v: R.median_composite(R.mask_by_class(v.patches), ["station_id"]))
-q("r03_median_composite_arrays", _COMPOSITE, "px")(lambda v: R.median_composite_arrays(R.mask_by_class(v.patches), ["station_id"]))
+q("r03_median_composite_tiles", _COMPOSITE, "px")(lambda v: R.median_composite(R.mask_by_class(v.patches), ["station_id"], tile=5))
 q("r04_scene_patch", f"""SELECT b.station_id, b.scene_id, b.b4, [CAST(NOT list_contains([0, 1, 3, 8, 9, 10, 11], s) AS INTEGER) for s in b.scl] AS cnt,
  CAST(b.scene_date - DATE '1970-01-01' AS INTEGER) AS day FROM best b""", "best")(lambda v: R.scene_patch(v.patches, ["station_id"]).select("station_id", "scene_id", "b4", "cnt", "day"))
 q("r05_patch_stats", "SELECT scene_id, round(avg(cnt), 6) AS valid_fraction, max(cnt) AS n_images FROM px GROUP BY scene_id", "px")(lambda v: R.patch_stats(v.patches).select("scene_id", "valid_fraction", "n_images"))
@@ -363,9 +363,11 @@ _BN = _BK.format(0, 1, 2, 3, 4, "NULL")
 _BAL = f"SELECT d.station_id, d.date, round({{}}, 6) AS weight FROM (SELECT *, {_BN} AS b FROM daily) d LEFT JOIN (SELECT b, max(count(*)) OVER () / count(*) AS w FROM (SELECT {_BN} AS b FROM daily) WHERE b IS NOT NULL GROUP BY b) c ON d.b = c.b"
 q("h03_weight_balanced", _BAL.format("coalesce(w, 1)"), "daily")(lambda v: A.weight_balanced(v.daily).select("station_id", "date", "weight"))
 q("h03_weight_damped", _BAL.format("sqrt(coalesce(w, 1))"), "daily")(lambda v: A.weight_balanced(v.daily, True).select("station_id", "date", "weight"))
-q("h04_weighted_resample", """SELECT station_id, date, copies FROM (SELECT station_id, date, CAST(floor(want) AS BIGINT) + CAST(u < want - floor(want) AS BIGINT) AS copies FROM (
- SELECT station_id, date, w * count(*) OVER () / sum(w) OVER () AS want, CAST(CAST('0x' || md5(station_id || '|' || CAST(date AS VARCHAR) || '|0')[1:8] AS BIGINT) AS DOUBLE) / 4294967296 AS u FROM (
- SELECT *, CASE WHEN pm25 > 35 THEN 5.0::DOUBLE WHEN pm25 > 20 THEN 2.5 ELSE 1.0 END AS w FROM daily))) WHERE copies > 0""", "daily")(
+_POINTS = f"floor(CAST({{}} AS DOUBLE) * (CAST(n AS DOUBLE) / CAST(total AS DOUBLE)) - {A.resample_offset(0)!r}::DOUBLE)"
+q("h04_weighted_resample", f"""SELECT station_id, date, copies FROM (SELECT station_id, date, CAST({_POINTS.format("upto")} - {_POINTS.format("upto - u")} AS BIGINT) AS copies FROM (
+ SELECT station_id, date, u, count(*) OVER () AS n, sum(u) OVER () AS total, sum(u) OVER (ORDER BY md5(station_id || '|' || CAST(date AS VARCHAR) || '|0'), station_id, date) AS upto FROM (
+ SELECT station_id, date, CAST(floor(w / max(w) OVER () * 1099511627776) AS HUGEINT) AS u FROM (
+ SELECT *, CASE WHEN pm25 > 35 THEN 5.0::DOUBLE WHEN pm25 > 20 THEN 2.5 ELSE 1.0 END AS w FROM daily)))) WHERE copies > 0""", "daily")(
     lambda v: A.weighted_resample(A.weight_high(v.daily, 5.0), ["station_id", "date"]).groupBy("station_id", "date").agg(F.count(F.lit(1)).alias("copies")))
 q("h05_pos_weight", "SELECT count(*) FILTER (pm25 > 20) AS pos, count(*) FILTER (pm25 <= 20) AS neg, round(count(*) FILTER (pm25 <= 20) / greatest(count(*) FILTER (pm25 > 20), 1), 6) AS pos_weight FROM daily", "daily")(
     lambda v: A.pos_weight(v.daily, 20))
@@ -422,21 +424,11 @@ def _split_table(v: Views, kind: str) -> DataFrame:
     return A.features(A.station_holdout(_model(v)), kind)
 
 
-def _grid_table(v: Views, kind: str) -> DataFrame:
-    """The splits of the grid one below the other, under split_name and fold."""
-    table = A.features(_model(v), kind)
-    splits = {
-        "random": A.random_split(table, ["station_id", "week_start"]),
-        "spatial": A.explode_folds(A.spatial_folds(table, 5), 5),
-        "temporal": A.temporal_split(table, 1996),
-    }
-    return reduce(DataFrame.unionByName, [t.withColumn("split_name", F.lit(k)) for k, t in splits.items()])
-
-
 # The sizes of the surveyed work: 2,000 rounds at most, 300 trees, three seeds.
 q("n02_gbt")(lambda v: N.fit_predict(_split_table(v, "spacetime"), "gbt", 2000))
 q("n03_forest")(lambda v: N.fit_predict(_split_table(v, "spacetime"), "rf", 300))
 q("n04_fit_predict")(lambda v: N.fit_predict(_split_table(v, "fused"), "rf", 300))
-q("n05_run_grid")(lambda v: N.run_grid({k: _grid_table(v, k) for k in ("image", "spacetime", "fused")}, {"rf": 300, "gbt": 2000}, [0, 1, 2]))
+# The whole grid, every key, at smaller sizes: a Spark ML boosting round takes about a tenth of a second beside others however few the rows, so 63 boosted fits with a patience of 100 rounds last a quarter of an hour.
+q("n05_run_grid")(lambda v: N.run_grid(_model(v), ["station_id", "week_start"], ["image", "spacetime", "fused"], {"rf": 20, "gbt": 8}, ["random", "spatial", "temporal"], [0, 1, 2], stale=4, year=1996))
 q("n06_classifier")(lambda v: N.fit_classifier(_split_table(v, "spacetime")))
 q("n07_log_target")(lambda v: N.fit_log_target(_split_table(v, "spacetime"), 300))

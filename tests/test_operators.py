@@ -101,7 +101,15 @@ def test_splits(spark):
     time = dataset.temporal_split(table, 2024)
     assert time.where("split = 'train' AND year(week_start) >= 2024").count() == 0
     weighed = dataset.weight_high(table, 4.0)
-    assert abs(dataset.weighted_resample(weighed, ["station_id", "week_start"]).count() - 500) < 40
+    for draws in (None, 77, 5000):
+        counts = {r[:2]: r["n"] for r in dataset.weighted_resample(weighed, ["station_id", "week_start"], draws=draws).groupBy("station_id", "week_start").agg(F.count(F.lit(1)).alias("n")).collect()}
+        assert sum(counts.values()) == (draws or 500)
+        total = weighed.agg(F.sum("weight")).first()[0]
+        for r in weighed.collect():
+            assert abs(counts.get((r["station_id"], r["week_start"]), 0) - (draws or 500) * r["weight"] / total) < 1
+    odd = spark.createDataFrame([(1, None), (2, float("nan")), (3, -4.0), (4, 1e-3), (5, 0.0)], "k int, weight double")
+    assert [r["k"] for r in dataset.weighted_resample(odd, ["k"]).collect()] == [4] * 5
+    assert dataset.weighted_resample(odd.where("k <> 4"), ["k"]).count() == 0 and dataset.weighted_resample(odd.where("false"), ["k"]).count() == 0
 
 
 def test_metrics(spark):
@@ -183,23 +191,6 @@ def test_plan_and_pending_jobs(spark):
     assert [r["scene_id"] for r in manifest.scenes_in(shots, boxes, 7).collect()] == [1]
 
 
-def test_grid_fits_every_split_and_fold_apart(spark):
-    rng = np.random.default_rng(2)
-    rows = [(f"s{s:02}", date(2023, 1, 1), float(e + rng.normal(0, 1)), [float(s)], "ab"[s % 2]) for s, e in enumerate(rng.normal(15, 6, 20)) for _ in range(10)]
-    table = spark.createDataFrame(rows, "station_id string, week_start date, pm25 double, features array<double>, region string")
-    folds = dataset.explode_folds(dataset.spatial_folds(table, 3), 3).withColumn("split_name", F.lit("spatial"))
-    regions = dataset.region_split(table).withColumn("split_name", F.lit("region"))
-    both = folds.withColumn("fold", F.col("fold").cast("string")).unionByName(regions)
-    got = models.run_grid({"x": both}, {"rf": 5}, [0])
-    runs = {(r.split_name, r.fold): r for r in metrics.regression_metrics(got, ["split_name", "fold"]).collect()}
-    assert set(runs) == {("spatial", "0"), ("spatial", "1"), ("spatial", "2"), ("region", "a"), ("region", "b")}
-    assert sum(r.n for k, r in runs.items() if k[0] == "spatial") == 200 and runs["region", "a"].n == 100
-    # A station's number tells nothing about stations that the fold did not train on.
-    score = metrics.regression_metrics(got.where("split_name = 'spatial'")).first()["r2"]
-    alone = models.fit_predict(folds.where("fold = 1"), "rf", 5)
-    assert score < 0.3 and alone.count() == runs["spatial", "1"].n
-
-
 def test_boosting_stops_early_and_models_learn(spark, monkeypatch):
     assert models.best_rounds([3.0, 2.0, 2.5, 2.4, 1.0], 2) == (2, True) and models.best_rounds([3.0, 2.0, 1.0], 2) == (3, False)
     rng = np.random.default_rng(3)
@@ -207,8 +198,8 @@ def test_boosting_stops_early_and_models_learn(spark, monkeypatch):
     table = dataset.station_holdout(spark.createDataFrame(rows, "station_id string, week_start date, pm25 double, features array<double>, region string")).persist()
     calls = []
     real = models.fit_gbt
-    monkeypatch.setattr(models, "fit_gbt", lambda train, validation, *a: calls.append((train, validation)) or real(train, validation, *a, stale=2))
-    boosted = models.fit_predict(table, "gbt", 6)
+    monkeypatch.setattr(models, "fit_gbt", lambda train, validation, *a: calls.append((train, validation)) or real(train, validation, *a))
+    boosted = models.fit_predict(table, "gbt", 6, stale=2)
     train, validation = ({r[0] for r in t.select("station_id").distinct().collect()} for t in calls[0])
     assert len(train) == 9 and len(validation) == 1 and not train & validation
     r2 = lambda t: metrics.regression_metrics(t).first()["r2"]
