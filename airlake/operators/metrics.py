@@ -48,6 +48,15 @@ def within_r2(preds: DataFrame, by: list[str] | None = None) -> DataFrame:
     return parts.groupBy(*by).agg(F.when(F.sum("t") > 0, 1 - F.sum("e") / F.sum("t")).alias("within_station_r2"))
 
 
+def score_runs(preds: DataFrame, by: list[str]) -> DataFrame:
+    """One row for each run: R2, RMSE, MAE, n, and R2 between and within stations."""
+    out = regression_metrics(preds, by).alias("m")
+    for k, other in enumerate((between_r2(preds, by).drop("stations"), within_r2(preds, by))):
+        same = reduce(lambda a, b: a & b, [F.col(f"m.{c}").eqNullSafe(F.col(f"o{k}.{c}")) for c in by])
+        out = out.join(other.alias(f"o{k}"), same)
+    return out.select("m.*", "between_station_r2", "within_station_r2")
+
+
 def classification_metrics(preds: DataFrame, threshold: float = 35.0, by: list[str] | None = None, score: str = "y_pred") -> DataFrame:
     """prevalence, accuracy, f1 (0 where undefined) and auc (null with one class) of exceeding the threshold.
 

@@ -19,7 +19,9 @@ from airlake.functions import scalars as X
 from airlake.operators import dataset as A
 from airlake.operators.dataset import pos_weight, val_carveout
 from airlake.operators.manifest import pending_runs
+from airlake.operators.metrics import score_runs
 from airlake.sources.shared import exists, file_system, shared_folder, staged
+from airlake.sources.versioned import partitions, replace_partitions
 
 
 def band_statistics():
@@ -244,6 +246,22 @@ def run_grid(
     return predictions.join(F.broadcast(asked), list(Run._fields), "left_semi").select(*[c.split()[0] for c in PREDICTED.split(", ")])
 
 
+def resume_metrics(grid: DataFrame, root: str, fit: Callable[[DataFrame], DataFrame], schema: str) -> DataFrame:
+    """Scores of every run of ``grid`` (its columns are the run's keys), fitted now or before.
+
+    Predictions lie below ``root`` in a folder for each run. Runs that have one are not fitted again; ``fit`` gets the others and returns their predictions, of ``schema``, which are written there. Then all
+    are scored in one pass over the partitions of the grid's runs.
+    """
+    spark, keys = grid.sparkSession, grid.columns
+    found = spark.createDataFrame(partitions(spark, root, keys), ", ".join(f"{k} string" for k in keys))
+    done = found.select(*[F.col(k).cast(grid.schema[k].dataType) for k in keys])
+    todo = pending_runs(grid, done)
+    if not todo.isEmpty():
+        replace_partitions(fit(todo), root, keys)
+    predictions = spark.read.schema(schema).parquet(root)
+    return score_runs(predictions.join(grid, keys, "left_semi"), keys)
+
+
 def fit_classifier(table: DataFrame, threshold: float = 20.0) -> DataFrame:
     """Probability of exceeding the threshold for test rows, positives weighted by the class ratio."""
     ready = with_vector(table.where("pm25 IS NOT NULL")).withColumn("label", X.exceeds("pm25", threshold).cast("double"))

@@ -16,6 +16,8 @@ from airlake.operators import metrics as E
 from airlake.operators import models as N
 from airlake.operators import raster as R
 from airlake.plans.adapters import STATION, Views, sql
+from airlake.sources import archives, patches, tables
+from airlake.sources.shared import shared_folder
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -49,6 +51,40 @@ _ST = STATION.format("state_code", "county_code", "site_num")
 _W = "CAST(date_trunc('week', {}) AS DATE)"
 _DAILY = "station_id, date, round(pm25, 6) AS pm25, obs_percent, round(lat, 6) AS lat, round(lon, 6) AS lon, site_name, region"
 
+
+
+# sources: what Spark derives from the tables is written to the shared folder and read back
+def _archived(v: Views, kind: str, states: list[str] | None = None) -> DataFrame:
+    raw = v.readings_raw.withColumn("obs_count", F.col("line")) if kind == "daily" else v.hourly_raw
+    path = shared_folder(v.spark, kind)
+    archives.write_archives(raw, path, kind)
+    return (archives.read_daily_archives if kind == "daily" else archives.read_hourly_archives)(v.spark, path, states)
+
+
+q("s01_daily_archives", """SELECT state_code, county_code, site_num, CAST(poc AS INTEGER) AS poc, round(lat, 6) AS lat, round(lon, 6) AS lon, sample_duration, date_local, event_type,
+ CAST(line AS INTEGER) AS obs_count, round(obs_percent, 6) AS obs_percent, round(arithmetic_mean, 6) AS arithmetic_mean, site_name FROM readings_raw WHERE state_code IN ('0', '2')""", "readings_raw")(
+    lambda v: _archived(v, "daily", ["0", "2"]))
+q("s02_hourly_archives", """SELECT CAST(user_id % 25 % 5 AS VARCHAR) AS state_code, CAST(user_id % 25 AS VARCHAR) AS county_code, '1' AS site_num, CAST(user_id // 25 AS INTEGER) AS poc,
+ strftime(ts, '%Y-%m-%d') AS date_gmt, strftime(ts, '%H:00') AS time_gmt, round(CASE WHEN event_id % 11 <> 0 THEN value - 5 END, 6) AS sample_measurement FROM events WHERE event_type <> 'view'""")(
+    lambda v: _archived(v, "hourly"))
+
+
+def _patch_files(v: Views) -> str:
+    """Patch files of all thirteen bands: the three of the table, and others made from one of them."""
+    cap = lambda c: F.transform(c, lambda p: F.least(p, F.lit(65535)))
+    made = v.patches.select(
+        "station_id", F.concat_ws("_", F.date_format("scene_date", "yyyy-MM-dd"), "scene_id").alias("key"), F.lit(4).alias("height"), F.lit(4).alias("width"),
+        *[cap(b if b in R.RGB else F.zip_with("b2", "cnt", _shifted(k))).alias(b) for k, b in enumerate(patches.ALL)],
+    )
+    root = shared_folder(v.spark, "patches")
+    patches.write_patches(made, root)
+    return root
+
+
+def _shifted(k: int):
+    return lambda p, c: p + c * k
+
+
 # cleaning
 q("s03_table_scan", "SELECT l_orderkey, l_linenumber, round(l_quantity, 6) AS l_quantity FROM lineitem WHERE l_quantity > 45")(
     lambda v: v.table("lineitem").where("l_quantity > 45").select("l_orderkey", "l_linenumber", "l_quantity"))
@@ -167,6 +203,8 @@ q("j06_semi_join", "SELECT station_id, week_start FROM weekly WHERE station_id I
     lambda v: v.weekly.join(v.stations.where("region = 'ASIA'"), "station_id", "left_semi").select("station_id", "week_start"))
 q("j07_anti_join", "SELECT station_id, n_days FROM stations WHERE station_id NOT IN (SELECT station_id FROM weekly WHERE n_days >= 4)", "stations", "weekly")(
     lambda v: v.stations.join(v.weekly.where("n_days >= 4"), "station_id", "left_anti").select("station_id", "n_days"))
+q("j07_labels_without_patch", "SELECT station_id, week_start FROM weekly WHERE (station_id, week_start) NOT IN (SELECT (station_id, week_start) FROM image_table)", "weekly", "image_table")(
+    lambda v: v.weekly.join(v.embeddings, ["station_id", "week_start"], "left_anti").select("station_id", "week_start"))
 _IN = f"""SELECT DISTINCT w.station_id, w.week_start, c.scene_id, c.scene_date FROM weekly w JOIN stations s USING (station_id) JOIN catalog c
  ON c.west <= s.lon + 0.01513513513513 AND c.east >= s.lon - 0.01513513513513 AND c.south <= s.lat + 0.01513513513513 AND c.north >= s.lat - 0.01513513513513
  AND c.scene_date >= w.week_start AND c.scene_date < w.week_start + 7"""
@@ -237,6 +275,70 @@ q("m08_with_patch", "SELECT station_id, week_start FROM weekly WHERE (station_id
     lambda v: M.with_patch(v.weekly, v.embeddings).select("station_id", "week_start"))
 q("s06_load_manifest", "SELECT ingest_seq, mode, coalesce(bands, 'rgb') AS bands, scene_date FROM manifest", "manifest")(lambda v: M.with_defaults(v.manifest).select("ingest_seq", "mode", "bands", "scene_date"))
 
+
+def _drifted(v: Views) -> DataFrame:
+    """A manifest of an early version, as it is loaded from a file that lacks columns, and nothing from one that is not there."""
+    path = shared_folder(v.spark, "manifest")
+    v.manifest.drop("mode", "bands", "scene_date").write.parquet(path)
+    return tables.load_manifest(v.spark, path).unionByName(tables.load_manifest(v.spark, path + "-absent").withColumn("week_start", F.col("week_start").cast("date")))
+
+
+q("s06_drifted_manifest", "SELECT station_id, ingest_seq, status, 'median' AS mode, 'rgb' AS bands, '' AS scene_date, CAST(NULL AS INTEGER) AS n_images FROM manifest", "manifest")(
+    lambda v: _drifted(v).select("station_id", "ingest_seq", "status", "mode", "bands", "scene_date", "n_images"))
+
+
+def _recorded(v: Views) -> DataFrame:
+    """The manifest after three jobs, the first of an early version, each with a version of its own."""
+    table = tables.manifest_table(v.spark, shared_folder(v.spark, "manifest"))
+    tables.record_jobs(table, v.manifest.where("ingest_seq % 3 = 0").drop("mode", "bands"))
+    for k in (1, 2):
+        tables.record_jobs(table, v.manifest.where(f"ingest_seq % 3 = {k}"))
+    return table.read()
+
+
+_EARLY = """, early AS (SELECT * REPLACE (CASE WHEN ingest_seq % 3 = 0 THEN 'median' ELSE mode END AS mode, CASE WHEN ingest_seq % 3 = 0 THEN 'rgb' ELSE coalesce(bands, 'rgb') END AS bands) FROM manifest)
+ SELECT station_id, week_start, product, mode, bands, status, round(valid_fraction, 6) AS valid_fraction, scene_date, ingest_seq FROM (SELECT *,
+ row_number() OVER (PARTITION BY station_id, week_start, product, mode, bands ORDER BY {}) AS rn FROM early) WHERE rn = 1"""
+# A later job's row replaces an earlier one only with a later number, whatever the order of the jobs.
+for _name in ("m02_versioned_manifest", "u02_missing_columns"):
+    q(_name)(_recorded)
+    ORACLE_SQL[_name] = sql("", "manifest") + _EARLY.format("ingest_seq DESC").strip()
+
+
+def _rerun(v: Views) -> DataFrame:
+    """Predictions of all folds, those of two folds then replaced by another model's, read back and scored with the results that were written last."""
+    root, keys = shared_folder(v.spark, "run"), ["fold"]
+    first = v.scored.select("station_id", "date", "y_true", "y_pred", "fold")
+    tables.write_run(first, E.regression_metrics(first, keys), root, keys)
+    again = v.predictions.where("fold >= 3").withColumn("y_pred", F.col("smoke")).select(*first.columns)
+    tables.write_run(again, E.regression_metrics(again, keys), root, keys)
+    predictions, last = tables.read_run(v.spark, root)
+    return E.regression_metrics(predictions, keys).join(last.select("fold", F.col("mae").alias("last_mae")), "fold", "left")
+
+
+_SCORES = """round(1 - sum((y_true - y_pred) ** 2) / (var_pop(y_true) * count(*)), 6) AS r2, round(sqrt(avg((y_true - y_pred) ** 2)), 6) AS rmse, round(avg(abs(y_true - y_pred)), 6) AS mae, count(*) AS n"""
+q("s10_write_run", f"""SELECT fold, {_SCORES}, CASE WHEN fold >= 3 THEN round(avg(abs(y_true - y_pred)), 6) END AS last_mae
+ FROM (SELECT fold, y_true, CASE WHEN fold >= 3 THEN smoke ELSE router END AS y_pred FROM predictions) GROUP BY fold""", "predictions")(_rerun)
+
+
+def _resumed(v: Views) -> DataFrame:
+    """Scores of every region and fold: two folds were finished before, the others are made now, from another model."""
+    root, keys = shared_folder(v.spark, "runs"), ["region", "fold"]
+    rows = v.scored.select("station_id", "date", "y_true", "y_pred", "region", "fold")
+    tables.replace_partitions(rows.where("fold < 2"), root, keys)
+    new = v.predictions.withColumn("y_pred", F.col("smoke")).select(*rows.columns)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return N.resume_metrics(rows.select(*keys).distinct(), root, lambda todo: new.join(todo, keys, "left_semi").select(*rows.columns), schema)
+
+
+q("m07_resume_metrics", f"""WITH p AS (SELECT region, fold, station_id, y_true, CASE WHEN fold < 2 THEN router ELSE smoke END AS y_pred FROM predictions),
+ b AS (SELECT region, fold, CASE WHEN count(*) >= 3 THEN round(1 - sum((t - q) ** 2) / (var_pop(t) * count(*)), 6) END AS between_station_r2 FROM (
+  SELECT region, fold, station_id, avg(y_true) AS t, avg(y_pred) AS q FROM p GROUP BY ALL) GROUP BY ALL),
+ w AS (SELECT region, fold, round(1 - sum((t - q) ** 2) / sum(t ** 2), 6) AS within_station_r2 FROM (SELECT region, fold, y_true - avg(y_true) OVER g AS t, y_pred - avg(y_pred) OVER g AS q FROM p
+  WINDOW g AS (PARTITION BY region, fold, station_id)) GROUP BY ALL)
+ SELECT * FROM (SELECT region, fold, {_SCORES} FROM p GROUP BY ALL) JOIN b USING (region, fold) JOIN w USING (region, fold)""", "predictions")(_resumed)
+ORACLE_SQL["m07_resume_metrics"] = ORACLE_SQL["m07_resume_metrics"].replace(" WITH p AS", ", p AS")
+
 # pixels
 _BAD = "scl IN (0, 1, 3, 8, 9, 10, 11)"
 _LIST = "list(round({x}, 6) ORDER BY i) AS {b}"
@@ -254,7 +356,7 @@ _MED = "CAST(coalesce(floor(median({b}) FILTER (NOT {bad})), 0) AS INTEGER) AS {
 _COMPOSITE = f"""SELECT station_id, list(b4 ORDER BY i) AS b4, list(b3 ORDER BY i) AS b3, list(b2 ORDER BY i) AS b2, list(cnt ORDER BY i) AS cnt FROM (
  SELECT station_id, i, {', '.join(_MED.format(b=b, bad=_BAD) for b in ('b4', 'b3', 'b2'))}, CAST(count(*) FILTER (NOT {_BAD}) AS INTEGER) AS cnt FROM px GROUP BY station_id, i) GROUP BY station_id"""
 q("r03_median_composite", _COMPOSITE, "px")(lambda v: R.median_composite(R.mask_by_class(v.patches), ["station_id"]))
-q("r03_median_composite_tiles", _COMPOSITE, "px")(lambda v: R.median_composite(R.mask_by_class(v.patches), ["station_id"], tile=5))
+q("r03_median_composite_arrays", _COMPOSITE, "px")(lambda v: R.median_composite(R.mask_by_class(v.patches), ["station_id"], tile=5))
 q("r04_scene_patch", f"""SELECT b.station_id, b.scene_id, b.b4, [CAST(NOT list_contains([0, 1, 3, 8, 9, 10, 11], s) AS INTEGER) for s in b.scl] AS cnt,
  CAST(b.scene_date - DATE '1970-01-01' AS INTEGER) AS day FROM best b""", "best")(lambda v: R.scene_patch(v.patches, ["station_id"]).select("station_id", "scene_id", "b4", "cnt", "day"))
 q("r05_patch_stats", "SELECT scene_id, round(avg(cnt), 6) AS valid_fraction, max(cnt) AS n_images FROM px GROUP BY scene_id", "px")(lambda v: R.patch_stats(v.patches).select("scene_id", "valid_fraction", "n_images"))
@@ -294,6 +396,12 @@ q("r14_brightness_probe", """SELECT count(*) AS n, round(corr(brightness, anomal
     lambda v: R.brightness_probe(v.patches, v.patches.select("scene_id", "station_id", F.col("cloudy_pct").alias("pm25")), ["scene_id"]))
 q("r15_select_bands", "SELECT scene_id, b4, b2 FROM patches", "patches")(lambda v: R.select_bands(v.patches, ["scene_id"], ["b4", "b2"]))
 
+_CAPPED = "(SELECT scene_id, i, least(b4, 65535) AS b4, least(b3, 65535) AS b3, least(b2, 65535) AS b2 FROM px)"
+q("s04_patches_of_thirteen_bands", _normal(_FILLED.replace("FROM px", f"FROM {_CAPPED}")), "px")(
+    lambda v: R.preprocess(patches.scan_patches(v.spark, _patch_files(v), R.RGB)).select(F.substring_index("key", "_", -1).cast("long").alias("scene_id"), "x"))
+q("s04_patch_shapes", """SELECT station_id, strftime(scene_date, '%Y-%m-%d') || '_' || CAST(scene_id AS VARCHAR) AS key, 4 AS height, 4 AS width, 13 AS channels FROM patches""", "patches")(
+    lambda v: patches.scan_patches(v.spark, _patch_files(v)))
+
 # places
 q("g01_utm_epsg", "SELECT station_id, CAST(32600 + floor((lon + 180) / 6) + 1 AS INTEGER) AS epsg FROM stations", "stations")(lambda v: v.stations.select("station_id", X.utm_epsg("lon").alias("epsg")))
 _UTM = """, z AS (SELECT station_id, lat, lon, floor((lon + 180) / 6) + 1 AS zone, 0.0033528106647474805 / (2 - 0.0033528106647474805) AS n FROM stations),
@@ -334,6 +442,9 @@ q("a02_assembly_report", """SELECT (SELECT count(*) FROM weekly) AS n_labels, (S
 q("a03_features", "SELECT station_id, week_start, list_transform(list_concat(CAST(embedding AS DOUBLE[]), [lat, lon, CAST(week_of_year AS DOUBLE)]), lambda x: round(x, 6)) AS features FROM model_table", "model_table")(
     lambda v: A.features(_model(v), "fused").select("station_id", "week_start", "features"))
 q("a04_labels_for", "SELECT station_id, week_start, round(pm25, 6) AS pm25, n_days FROM weekly", "weekly")(lambda v: A.labels_for("weekly", v.daily, min_days=2))
+q("a04_overpass_labels", _OVER, "hour_days", "pass_times")(lambda v: A.labels_for("overpass", v.hour_days, _pass_dates(v)))
+q("a04_scene_labels", ORACLE_SQL["l09_scene_labels"])(lambda v: A.labels_for("scene", v.hour_days, scenes=_scenes(v)))
+q("a04_scenehour_labels", ORACLE_SQL["l10_scenehour_labels"])(lambda v: A.labels_for("scenehour", None, scenes=_scenes(v), hour_labels=v.hour_labels, keep=C.scene_keep(_quality_input(v))))
 q("a05_duplicate_keys", "SELECT station_id, scene_date, count(*) AS n FROM manifest GROUP BY ALL HAVING count(*) > 1", "manifest")(lambda v: A.duplicate_keys(v.manifest, ["station_id", "scene_date"]))
 q("p01_random_split", """SELECT station_id, date, 0 AS fold, CASE WHEN rn <= floor(n * 0.2) THEN 'test' ELSE 'train' END AS split FROM (SELECT station_id, date,
  row_number() OVER (ORDER BY md5(station_id || '|' || CAST(date AS VARCHAR) || '|0'), station_id, date) AS rn, count(*) OVER () AS n FROM daily)""", "daily")(
@@ -353,6 +464,10 @@ q("p07_val_carveout", f"""SELECT d.station_id, d.date, CASE WHEN c.station_id IS
  SELECT station_id FROM (SELECT station_id, row_number() OVER (ORDER BY md5(station_id || '|0')) AS rn, greatest(1, floor(0.1 * count(*) OVER ())) AS n FROM {_HOLD} WHERE split = 'train') WHERE rn <= n) c ON c.station_id = d.station_id""", "daily")(
     lambda v: A.val_carveout(A.station_holdout(v.daily)).select("station_id", "date", "split"))
 q("p08_leakage_report", "SELECT 0 AS fold, count(*) AS units, 0 AS leaks FROM (SELECT DISTINCT station_id FROM daily)", "daily")(lambda v: A.leakage_report(A.station_holdout(v.daily)).withColumn("leaks", F.col("leaks").cast("int")))
+q("p08_leaking_split", """SELECT 0 AS fold, count(*) AS units, CAST(count(*) FILTER (s > 1) AS INTEGER) AS leaks FROM (SELECT station_id, count(DISTINCT split) AS s FROM (
+ SELECT station_id, CASE WHEN row_number() OVER (ORDER BY md5(station_id || '|' || CAST(date AS VARCHAR) || '|0'), station_id, date) <= floor(count(*) OVER () * 0.2) THEN 'test' ELSE 'train' END AS split
+ FROM daily) GROUP BY station_id)""", "daily")(
+    lambda v: A.leakage_report(A.random_split(v.daily.select("station_id", "date"), ["station_id", "date"])).withColumn("leaks", F.col("leaks").cast("int")))
 q("p09_split_composition", f"""SELECT 0 AS fold, region, count(DISTINCT station_id) FILTER (split = 'test') AS test_stations, count(DISTINCT station_id) AS stations,
  round(count(DISTINCT station_id) FILTER (split = 'test') / count(DISTINCT station_id), 6) AS test_share FROM daily JOIN {_HOLD} USING (station_id) GROUP BY region""", "daily")(lambda v: A.split_composition(A.station_holdout(v.daily)))
 _D = "SELECT station_id, date, round({}, 6) AS weight FROM daily"

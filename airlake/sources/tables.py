@@ -1,64 +1,19 @@
-"""Readers and writers: archives of zipped CSV, patch trees, tables, manifests and results."""
+"""Readers and writers: tables, manifests and results."""
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from airlake.operators.manifest import with_defaults
-
-#: Columns of the archives and how they are called here.
-DAILY = {
-    "State Code": "state_code", "County Code": "county_code", "Site Num": "site_num", "POC": "poc", "Latitude": "lat", "Longitude": "lon",
-    "Sample Duration": "sample_duration", "Date Local": "date_local", "Event Type": "event_type", "Observation Count": "obs_count",
-    "Observation Percent": "obs_percent", "Arithmetic Mean": "arithmetic_mean", "Local Site Name": "site_name",
-}
-HOURLY = {
-    "State Code": "state_code", "County Code": "county_code", "Site Num": "site_num", "POC": "poc", "Date GMT": "date_gmt", "Time GMT": "time_gmt",
-    "Sample Measurement": "sample_measurement",
-}
-_NUMBERS = {"poc": "int", "obs_count": "int", "lat": "double", "lon": "double", "obs_percent": "double", "arithmetic_mean": "double", "sample_measurement": "double"}
+
+from airlake.operators.manifest import merge_manifest, with_defaults
+from airlake.sources.shared import exists
+from airlake.sources.versioned import Versioned, replace_partitions
+
 MANIFEST = (
     "station_id string, week_start date, product string, status string, valid_fraction double, n_images int, error string, mode string, "
     "scene_date string, bands string, ingest_seq long"
 )
 
 
-def _read_archives(spark: SparkSession, path: str, columns: dict[str, str], states: list[str] | None) -> DataFrame:
-    """One task reads one archive, in batches; rows of other states are dropped before they leave it."""
-
-    def run(batches):
-        import io
-        import zipfile
-
-        import pandas as pd
-
-        for batch in batches:
-            for content in batch.column("content"):
-                with zipfile.ZipFile(io.BytesIO(content.as_py())) as archive, archive.open(archive.namelist()[0]) as file:
-                    for part in pd.read_csv(file, usecols=list(columns), dtype=str, chunksize=50_000, keep_default_na=False, na_values=[""]):
-                        if states is not None:
-                            part = part[part["State Code"].isin(states)]
-                        made = [pa.array(part[c].where(part[c].notna(), None).tolist(), pa.string()) for c in columns]
-                        yield pa.RecordBatch.from_arrays(made, list(columns.values()))
-
-    files = spark.read.format("binaryFile").load(path).select("content")
-    rows = files.mapInArrow(run, ", ".join(f"{c} string" for c in columns.values()))
-    typed = {c: F.col(c).cast(t) for c, t in _NUMBERS.items() if c in columns.values()}
-    if "date_local" in columns.values():
-        typed["date_local"] = F.to_date("date_local")
-    return rows.withColumns(typed)
-
-
-def read_daily_archives(spark: SparkSession, path: str, states: list[str] | None = None) -> DataFrame:
-    return _read_archives(spark, path, DAILY, states)
-
-
-def read_hourly_archives(spark: SparkSession, path: str, states: list[str] | None = None) -> DataFrame:
-    return _read_archives(spark, path, HOURLY, states)
-
-
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}")
 
@@ -67,39 +22,38 @@ def write_table(df: DataFrame, root: str, name: str, partition_by: list[str] | N
     df.write.mode("overwrite").partitionBy(*(partition_by or [])).parquet(f"{root}/{name}")
 
 
-def scan_patches(spark: SparkSession, root: str) -> DataFrame:
-    """(station_id, key, height, width, channels, px) of <station>/<key>.npy files below a folder; px is flat."""
+def regions_df(spark: SparkSession, regions: list[tuple[str, str]]) -> DataFrame:
+    return spark.createDataFrame(regions, "region string, state_code string")
 
-    def run(batches):
-        import io
 
-        import numpy as np
+def load_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """The manifest with defaults for columns that older ones lack or hold nulls in; an empty one where there is none. Columns of ``MANIFEST`` that it lacks are null."""
+    if not exists(spark, path):
+        return with_defaults(spark.createDataFrame([], MANIFEST))
+    found = spark.read.parquet(path)
+    return with_defaults(spark.createDataFrame([], MANIFEST).unionByName(found, allowMissingColumns=True))
 
-        for batch in batches:
-            arrays = [np.atleast_3d(np.load(io.BytesIO(c.as_py()), allow_pickle=False)) for c in batch.column("content")]
-            sizes = [pa.array([a.shape[k] for a in arrays], pa.int32()) for k in range(3)]
-            flat = pa.array([a.ravel().astype("int32").tolist() for a in arrays], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column("station_id"), batch.column("key"), *sizes, flat], ["station_id", "key", "height", "width", "channels", "px"])
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").option("recursiveFileLookup", True).load(root)
-    part = lambda k: F.regexp_extract("path", r"([^/]+)/([^/]+)\.npy$", k)
-    return files.select(part(1).alias("station_id"), part(2).alias("key"), "content").mapInArrow(
-        run, "station_id string, key string, height int, width int, channels int, px array<int>"
-    )
+def manifest_table(spark: SparkSession, root: str, keep: int = 3) -> Versioned:
+    return Versioned(spark, root, keep)
 
 
-def regions_df(spark: SparkSession, regions: list[tuple[str, str]]) -> DataFrame:
-    return spark.createDataFrame(regions, "region string, state_code string")
+def record_jobs(table: Versioned, new: DataFrame) -> int:
+    """Merge the rows of finished jobs into the manifest, the last one of each key staying, and return its new version."""
+    return table.update(lambda old: merge_manifest(new.limit(0) if old is None else old, new))
 
 
-def load_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """The manifest with defaults for columns of later versions; an empty one where there is none."""
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    there = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
-    return with_defaults(spark.read.parquet(path) if there else spark.createDataFrame([], MANIFEST))
+def write_run(predictions: DataFrame, results: DataFrame, root: str, run_keys: list[str]) -> int:
+    """Predictions by run, of which those in ``predictions`` are replaced and others stay, and the results as a new version, as Parquet and as JSON lines beside it."""
+    spark = predictions.sparkSession
+    replace_partitions(predictions, f"{root}/predictions", run_keys)
+    table = Versioned(spark, f"{root}/results")
+    version = table.write(results)
+    # one small row for each run
+    table.read(version).coalesce(1).write.mode("overwrite").json(f"{root}/results_json/{version:010}")
+    return version
 
 
-def write_run(predictions: DataFrame, results: DataFrame, root: str, run_keys: list[str]) -> None:
-    predictions.write.mode("overwrite").partitionBy(*run_keys).parquet(f"{root}/predictions")
-    results.write.mode("overwrite").parquet(f"{root}/results")
-    results.coalesce(1).write.mode("overwrite").json(f"{root}/results_json")
+def read_run(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    """(predictions of all runs, the last results)."""
+    return spark.read.parquet(f"{root}/predictions"), Versioned(spark, f"{root}/results").read()

@@ -1,7 +1,5 @@
 """Semantics of single operators on hand-made rows."""
 
-import io
-import zipfile
 from datetime import date, datetime
 
 import numpy as np
@@ -132,24 +130,6 @@ def test_identity_feature_canary(spark):
     assert score(dataset.station_holdout(table.withColumn("region", F.lit("r")))) < 0.2
 
 
-def test_archives_and_patches(spark, tmp_path):
-    head = list(tables.DAILY)
-    line = {c: "" for c in head} | {"State Code": "06", "County Code": "037", "Site Num": "1103", "POC": "3", "Date Local": "2024-01-05", "Arithmetic Mean": "-1.5", "Sample Duration": "24 HOUR"}
-    buffer = io.StringIO()
-    buffer.write(",".join(["Extra", *head]) + "\n")
-    for state in ("06", "48"):
-        buffer.write(",".join(["z", *((line | {"State Code": state})[c] for c in head)]) + "\n")
-    with zipfile.ZipFile(tmp_path / "daily_2024.zip", "w") as z:
-        z.writestr("daily.csv", buffer.getvalue())
-    raw = tables.read_daily_archives(spark, str(tmp_path / "*.zip"), ["06"])
-    row = clean.clean_daily(raw, tables.regions_df(spark, [("west", "06")])).first()
-    assert (row["station_id"], row["date"], row["pm25"], row["region"]) == ("06-037-1103", date(2024, 1, 5), 0.0, "west")
-    (tmp_path / "p" / "st").mkdir(parents=True)
-    np.save(tmp_path / "p" / "st" / "2024-01-01.npy", np.arange(12, dtype="uint16").reshape(2, 3, 2) + 40000)
-    patch = tables.scan_patches(spark, str(tmp_path / "p")).first()
-    assert (patch["station_id"], patch["key"], patch["height"], patch["channels"], patch["px"][-1]) == ("st", "2024-01-01", 2, 2, 40011)
-
-
 def test_patch_statistics(spark):
     frame = spark.createDataFrame([([5, 0, 0, 1], [0, 0, 0, 2], [0, 0, 1, 3], [1, 0, 2, 0], 19724)], "b4 array<int>, b3 array<int>, b2 array<int>, cnt array<int>, day int")
     row = raster.patch_stats(frame).first()
