@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from airlake.functions import scalars as X
@@ -114,31 +114,68 @@ def extend_cache(cache: DataFrame, stations: DataFrame, compute) -> DataFrame:
     return cache.unionByName(compute(stations.join(cache, "station_id", "left_anti")))
 
 
-def scenes_in(catalog: DataFrame, jobs: DataFrame, days: int, cell: float = 0.1) -> DataFrame:
-    """Scenes whose footprint meets a job's box within [start, start + days); they meet on shared grid cells and periods of days first."""
-    period = lambda day: F.floor(F.unix_date(F.to_date(day)) / days)
+#: A cell is this many finer ones wide.
+FINER = 8
+
+
+def _boxed(df: DataFrame, box: list[Column], when: Column, cell: float, tag: str) -> DataFrame:
+    """A row for each cell (_x, _y) and period _t of each row, whose columns get the tag in front, with its box by the finer cells (_x0, _y0, _x1, _y1)."""
+    fine = [F.floor(c / (cell / FINER)).alias(n) for c, n in zip(box, ("_x0", "_y0", "_x1", "_y1"), strict=True)]
+    whole = df.select(*[F.col(c).alias(f"{tag}_{c}") for c in df.columns], *fine, when.alias("_t"))
+    coarse = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / FINER), F.floor(F.col(hi) / FINER)))
+    return whole.withColumn("_x", coarse("_x0", "_x1")).withColumn("_y", coarse("_y0", "_y1"))
 
-    def cells(df: DataFrame, tag: str) -> DataFrame:
-        span = lambda lo, hi: F.sequence(F.floor(F.col(lo) / cell), F.floor(F.col(hi) / cell))
-        return df.withColumn("_x", F.explode(span(f"{tag}west", f"{tag}east"))).withColumn("_y", F.explode(span(f"{tag}south", f"{tag}north")))
 
+def box_join(left: DataFrame, right: DataFrame, left_box: list[Column], right_box: list[Column], left_period: Column, right_period: Column, cell: float, most: int = 4_000_000) -> DataFrame:
+    """Pairs, columns with l_ and r_ in front, whose boxes (west, south, east, north) may meet in the same period; each pair once, or once for each shared period.
+
+    Rows meet on the cells that their boxes touch. A pair comes from the one cell that holds the lower left corner of what both boxes cover, so nothing is
+    left to deduplicate. Cells with more than ``most`` pairs are split into finer ones, which far fewer rows share; which these are is counted first, before any pair is made.
+    """
+    sides = [_boxed(left, left_box, left_period, cell, "l"), _boxed(right, right_box, right_period, cell, "r")]
+    keys = ["_x", "_y", "_t"]
+    counts = [s.groupBy(*keys).agg(F.count(F.lit(1)).alias(f"_n{k}")) for k, s in enumerate(sides)]
+    hot = counts[0].join(counts[1], keys).where(F.col("_n0") * F.col("_n1") > most).select(*keys, F.lit(True).alias("_hot"))
+
+    def placed(side: DataFrame) -> DataFrame:
+        marked = side.join(hot, keys, "left")
+        inside = lambda c: F.sequence(F.greatest(F.col(f"_{c}0"), F.col(f"_{c}") * FINER), F.least(F.col(f"_{c}1"), F.col(f"_{c}") * FINER + FINER - 1))
+        finer = lambda c: F.explode(F.when(F.col("_hot"), inside(c)).otherwise(F.array(F.lit(-1).cast("long"))))
+        return marked.withColumn("_fx", finer("x")).withColumn("_fy", finer("y"))
+
+    a, b = placed(sides[0]).alias("a"), placed(sides[1]).alias("b")
+    on = [*keys, "_fx", "_fy"]
+    met = a.join(b, on)
+    own = F.lit(True)
+    for c in ("x", "y"):
+        corner = F.greatest(F.col(f"a._{c}0"), F.col(f"b._{c}0"))
+        own = own & F.when(F.col("a._hot"), F.col(f"_f{c}") == corner).otherwise(F.col(f"_{c}") == F.floor(corner / FINER))
+    return met.where(own).select(*[f"l_{c}" for c in left.columns], *[f"r_{c}" for c in right.columns])
+
+
+def scenes_in(catalog: DataFrame, jobs: DataFrame, days: int, cell: float = 0.1, most: int = 4_000_000) -> DataFrame:
+    """Scenes whose footprint meets a job's box within [start, start + days), by ``box_join`` and periods of days; jobs and scenes are taken to be distinct."""
+    period = lambda day: F.floor(F.unix_date(F.to_date(day)) / days)
     boxed = jobs.select("station_id", "week_start", *X.bbox("lat", "lon"))
-    shots = catalog.select("scene_id", "scene_date", *[F.col(c).alias(f"s_{c}") for c in ("west", "south", "east", "north")])
-    boxed = boxed.withColumn("_t", F.explode(F.sequence(period("week_start"), period(F.date_add("week_start", days - 1)))))
-    joined = cells(boxed, "").join(cells(shots, "s_").withColumn("_t", period("scene_date")), ["_x", "_y", "_t"])
-    return joined.where(
-        "s_west <= east AND s_east >= west AND s_south <= north AND s_north >= south AND scene_date >= week_start "
-        f"AND scene_date < date_add(week_start, {days})"
-    ).select("station_id", "week_start", "scene_id", "scene_date").dropDuplicates()
-
-
-def acquisitions(catalog: DataFrame, stations: DataFrame, first_year: int, last_year: int, cell: float = 0.1) -> DataFrame:
-    """Acquisition times over each station, from the first year to the end of the last one."""
-    span = lambda lo, hi: F.sequence(F.floor(F.col(lo) / cell), F.floor(F.col(hi) / cell))
-    spread = catalog.withColumn("_x", F.explode(span("west", "east"))).withColumn("_y", F.explode(span("south", "north")))
-    points = stations.select("station_id", "lat", "lon", F.floor(F.col("lon") / cell).alias("_x"), F.floor(F.col("lat") / cell).alias("_y"))
-    inside = F.col("lon").between(F.col("west"), F.col("east")) & F.col("lat").between(F.col("south"), F.col("north"))
-    return points.join(spread, ["_x", "_y"]).where(inside & F.year("ts").between(first_year, last_year)).select("station_id", "ts").dropDuplicates()
+    boxed = boxed.withColumn("_p", F.explode(F.sequence(period("week_start"), period(F.date_add("week_start", days - 1)))))
+    shots = catalog.select("scene_id", "scene_date", "west", "south", "east", "north")
+    sides = [F.col(c) for c in ("west", "south", "east", "north")]
+    met = box_join(boxed, shots, sides, sides, F.col("_p"), period("scene_date"), cell, most)
+    return met.where(
+        "r_west <= l_east AND r_east >= l_west AND r_south <= l_north AND r_north >= l_south AND r_scene_date >= l_week_start "
+        f"AND r_scene_date < date_add(l_week_start, {days})"
+    ).selectExpr("l_station_id AS station_id", "l_week_start AS week_start", "r_scene_id AS scene_id", "r_scene_date AS scene_date")
+
+
+def acquisitions(catalog: DataFrame, stations: DataFrame, first_year: int, last_year: int, cell: float = 0.1, most: int = 4_000_000) -> DataFrame:
+    """Distinct acquisition times over each station, from the first year to the end of the last one; neighbouring scenes may share one."""
+    shots = catalog.where(F.year("ts").between(first_year, last_year)).select("ts", "west", "south", "east", "north")
+    points = stations.select("station_id", "lat", "lon")
+    sides = [F.col(c) for c in ("west", "south", "east", "north")]
+    at = [F.col("lon"), F.col("lat")] * 2
+    met = box_join(points, shots, at, sides, F.lit(0), F.lit(0), cell, most)
+    inside = "l_lon BETWEEN r_west AND r_east AND l_lat BETWEEN r_south AND r_north"
+    return met.where(inside).selectExpr("l_station_id AS station_id", "r_ts AS ts").dropDuplicates()
 
 
 def link_quality(scenes: DataFrame, quality: DataFrame) -> DataFrame:
