@@ -26,13 +26,13 @@ _BYTES = dict(zip([b for b in range(256) if b not in _SHOWN], range(256, 512), s
 _MARK = re.compile("[\u0300-\u036f]")
 
 
-def chunks_of(text: str) -> list[str]:
+def chunks_of(text: str, lowered: str) -> list[str]:
     """The parts of a text whose ids, joined, are the ids of the whole text under a lower-casing tokenizer.
 
-    ASCII letters are lowered before, so that "Word" and "word" are one chunk, unless the text has combining
+    ASCII letters are ``lowered``, so that "Word" and "word" are one chunk, unless the text has combining
     marks: some compose with a small letter only.
     """
-    return CHUNK.findall(text if _MARK.search(text) else text.encode().lower().decode())
+    return CHUNK.findall(text if _MARK.search(text) else lowered)
 
 
 class ChunkIds(dict):
@@ -76,9 +76,11 @@ class ChunkIds(dict):
 
     def of(self, text: str) -> bytes:
         """Ids of a whole text."""
-        if self.added.search(text):
+        lowered = text.encode().lower().decode()
+        # In other letters, too: the tokenizer's own tokens are not looked for in small ones, but a lowered chunk would be taken for one.
+        if self.added.search(text) or self.added.search(lowered):
             return np.array(self.whole(text), "<u4").tobytes()
-        return b"".join(map(self.__getitem__, chunks_of(text)))
+        return b"".join(map(self.__getitem__, chunks_of(text, lowered)))
 
 
 def pieces(sizes: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -222,11 +222,24 @@ def test_chunks_have_the_ids_of_whole_texts():
         assert cache.of(text) == struct.pack(f"<{len(want)}I", *want), text
 
 
+def test_own_tokens_in_any_letters():
+    """A token's own text counts as it is written only: other cases of its letters are ordinary text."""
+    cache, rng = packing.ChunkIds(public_tokenizers.path("word_bpe_49k.json")), random.Random(6)
+    own = [t.content for t in cache.tokenizer.get_added_tokens_decoder().values()]
+    assert "<|endoftext|>" in own
+    cased = lambda t: "".join(c.upper() if rng.random() < 0.5 else c for c in t)
+    forms = [f(t) for t in own for f in (str, str.upper, str.title, str.swapcase)] + [cased(t) for t in own for _ in range(40)]
+    for form in forms:
+        for text in (form, f"a {form} b", f"Word{form}Word", f"é\u0301{form} {form.lower()}", f"{form[:5]} {form}{form}"):
+            want = cache.tokenizer.encode(text, add_special_tokens=False).ids
+            assert cache.of(text) == struct.pack(f"<{len(want)}I", *want), text
+
+
 def test_packing(make_docs):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    texts = [*ODD, *STRANGE, prose(1, 5000), "x <|endoftext|> y"]
+    texts = [*ODD, *STRANGE, prose(1, 5000), "x <|endoftext|> y", "x <|EndOfText|> <|STARTOFTEXT|> y"]
     rows = list(enumerate(texts)) + [(None, "a b"), (3, "one")]
     got = packing.pack_documents(make_docs(rows), public_tokenizers.path("word_bpe_49k.json")).collect()
     by_doc = {}
