@@ -7,6 +7,7 @@ import hashlib
 import html
 import re
 import uuid
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -14,16 +15,19 @@ from pyspark.sql import functions as F
 
 from airlake.llm.common import empty_if_null
 
-_SKIP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
-_BLOCK = re.compile(
-    r"</?(?:p|div|br|li|ul|ol|h[1-6]|tr|table|article|section|header|footer|nav|title|head|body|blockquote|pre|hr|dd|dt|main|form|option)\b[^>]*>",
-    re.I,
+#: Elements whose content is no text, and tags that end a line.
+_HIDDEN = frozenset("script style noscript template".split())
+_BLOCK = frozenset(
+    "p div br li ul ol h1 h2 h3 h4 h5 h6 tr table article section header footer nav title head body blockquote pre hr dd dt main form option".split()
 )
-_TAG = re.compile(r"</?[a-zA-Z!?][^>]*>")
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title", re.S | re.I)
-_LANG = re.compile(r"<html\b[^>]*\blang\s*=\s*[\"']?([\w-]+)", re.I)
-_LINK = re.compile(r"<a\b[^>]*\bhref\s*=", re.I)
+_ENDS = {name: re.compile(rf"</{name}\s*>", re.I) for name in _HIDDEN}
+_NAME = re.compile(r"\w*")
+_TITLE_END = re.compile(r"</title", re.I)
+_LANG = re.compile(r"\blang\s*=\s*[\"']?([\w-]+)", re.I)
+_HREF = re.compile(r"\bhref\s*=", re.I)
 _BLANKS = re.compile(r"[^\S\n]+")
+#: Decimal references that are longer than any character's number.
+_LONG = re.compile(r"&#0*([0-9]{8,});?")
 
 RECORD = (
     "record_id string, record_type string, refers_to string, refers_to_target_uri string, refers_to_date string, target_uri string, "
@@ -37,11 +41,75 @@ def digest(data: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
+class Page(NamedTuple):
+    text: str
+    title: str
+    language: str
+    links: int
+
+
+def _lines(marked: str) -> str:
+    """Entities resolved, blanks squeezed, empty lines out."""
+    text = html.unescape(_LONG.sub("\ufffd", marked))
+    return "\n".join(line for line in (_BLANKS.sub(" ", line).strip() for line in text.split("\n")) if line)
+
+
+def read_page(page: str) -> Page:
+    """Text, title, language and number of links of a page, in one scan forward from sign to sign, however the page is broken.
+
+    Scripts, styles and comments are left out, block tags end lines, other tags vanish; what is never closed reaches to the end. A tag is < with a letter, /, ! or ?
+    and everything to the next >; without one, it is text. The title is the first one that is closed, the language that of the first html tag that names one (its last attribute lang), a link is a tag a with an
+    href. What stands in scripts, styles and comments counts for none of these.
+    """
+    out: list[str] = []
+    title = language = None
+    titled, links, at = True, 0, 0
+    last = page.rfind(">")
+    while (start := page.find("<", at)) >= 0:
+        out.append(page[at:start])
+        at = start
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            out.append(" ")
+            at = end + 3 if end >= 0 else len(page)
+            continue
+        lead = page[start + 1 : start + 2]
+        closing = lead == "/"
+        lead = page[start + 2 : start + 3] if closing else lead
+        if start > last or not (lead.isascii() and lead.isalpha() or lead in ("!", "?")) or not lead:
+            out.append("<")
+            at = start + 1
+            if start > last:  # no tag can end any more
+                break
+            continue
+        end = page.index(">", start)
+        at = end + 1
+        name = _NAME.match(page, start + 1 + closing, end)[0].lower()
+        if name in _HIDDEN and not closing:
+            found = _ENDS[name].search(page, at)
+            out.append(" ")
+            at = found.end() if found else len(page)
+            continue
+        if name in _BLOCK:
+            out.append("\n")
+        if closing:
+            continue
+        if name == "title" and title is None and titled:
+            found = _TITLE_END.search(page, at)
+            titled = found is not None
+            title = page[at : found.start()] if found else None
+        elif name == "html" and language is None:
+            named = _LANG.findall(page, start, end)
+            language = named[-1] if named else None
+        elif name == "a" and _HREF.search(page, start, end):
+            links += 1
+    out.append(page[at:])
+    heading = read_page(title).text.replace("\n", " ") if title else ""
+    return Page(_lines("".join(out)), heading, language or "", links)
+
+
 def plain_text(page: str) -> str:
-    """Text of a page: scripts, styles and comments out, block tags as line ends, entities resolved."""
-    text = _TAG.sub("", _BLOCK.sub("\n", _SKIP.sub(" ", page)))
-    lines = (_BLANKS.sub(" ", line).strip() for line in html.unescape(text).split("\n"))
-    return "\n".join(line for line in lines if line)
+    return read_page(page).text
 
 
 def _child(parent: str, kind: str) -> str:
@@ -85,12 +153,12 @@ def derive_records(responses: DataFrame) -> DataFrame:
             columns = [batch.column(c).to_pylist() for c in own]
             take, rows = [], []
             for i, (record_id, uri, date, headers, payload) in enumerate(zip(*columns, strict=True)):
-                data, text = payload.encode(), plain_text(payload)
+                data, page = payload.encode(), read_page(payload)
+                text = page.text
                 status = headers.split("\r\n", 1)[0]
-                title, lang = _TITLE.search(payload), _LANG.search(payload)
                 fields = {
-                    "http-status": status, "title": plain_text(title[1]).replace("\n", " ") if title else "", "language": lang[1] if lang else "",
-                    "links": len(_LINK.findall(payload)), "source-bytes": len(data), "text-bytes": len(text.encode()),
+                    "http-status": status, "title": page.title, "language": page.language, "links": page.links,
+                    "source-bytes": len(data), "text-bytes": len(text.encode()),
                 }
                 facts = "".join(f"{k}: {v}\r\n" for k, v in fields.items())
                 facts += "".join(f"source-header: {line}\r\n" for line in headers.split("\r\n")[1:] if line)

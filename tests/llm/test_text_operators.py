@@ -7,8 +7,10 @@ import random
 import re
 import struct
 import textwrap
+import time
 import zlib
 from collections import Counter
+from html.parser import HTMLParser
 
 import public_tokenizers
 import pytest
@@ -383,6 +385,78 @@ def test_warc(spark, tmp_path):
     assert warc.derive_records(responses.limit(0)).count() == 0
 
 
+def test_broken_pages_are_read_in_one_scan():
+    """Unclosed tags, titles and references of 5 MB: the time grows with the page, not with its square."""
+    leads = ["<title>", "<title ", "<a ", "<a href ", "<html ", "<html lang ", "<script ", "<script>", "</script ", "<!--", "<", "</title", "<p ", "&#9", "<style></style"]
+    for lead in leads:
+        for end in ("", ">"):
+            began = time.process_time()
+            warc.read_page(lead * (5_000_000 // len(lead)) + end)
+            assert time.process_time() - began < 8, lead  # seconds; a square would take hours
+    assert warc.plain_text("&#" + "9" * 100_000 + "; &#00000000065; &#x41;") == "\ufffd \ufffd A"
+    assert warc.read_page("<html xml:lang=de lang='en'><title>a<title>b</title>") == ("a\nb", "a b", "en", 0)
+    assert warc.read_page("<!-- <a href=x> --><script><a href=y></script><a id=1 href=z>1</a> <a name=q>2</a> 3 < 4 <5 <") == ("1 2 3 < 4 <5 <", "", "", 1)
+
+
+def test_page_text_equals_the_parser_of_the_library():
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.out, self.links, self.depth, self.titles, self.lang = [], 0, 0, [], ""
+
+        def handle_starttag(self, tag, attrs):
+            names = dict(attrs)
+            self.links += tag == "a" and "href" in names
+            self.lang = self.lang or (tag == "html" and names.get("lang")) or ""
+            self.depth += tag in ("script", "style")
+            if tag in BLOCKS:
+                self.out.append("\n")
+            if tag == "script":  # what is left out parts words
+                self.out.append(" ")
+            if tag == "title":
+                self.titles.append("")
+
+        def handle_comment(self, data):
+            self.out.append(" ")
+
+        def handle_endtag(self, tag):
+            self.depth -= tag in ("script", "style")
+            if tag in BLOCKS:
+                self.out.append("\n")
+
+        def handle_data(self, data):
+            if not self.depth:
+                self.out.append(data)
+                if self.titles and self.lasttag == "title":
+                    self.titles[-1] += data
+
+    BLOCKS = ("p", "div", "h1", "li", "ul", "title", "head", "body", "br")
+    rng = random.Random(8)
+
+    def tree(depth):
+        kind = rng.randrange(9)
+        if depth == 0 or kind < 3:
+            return rng.choice(["rain &amp; snow", "a &lt; b", "wind\n  leaf", "é 漢字", "x&#65;y", "&nbsp;", " "])
+        inside = "".join(tree(depth - 1) for _ in range(rng.randint(0, 4)))
+        if kind == 3:
+            return f"<script type='x'>var a = '<p>';{rng.random()}</script>"
+        if kind == 4:
+            return f"<!-- <p>{rng.random()}</p> -->"
+        if kind == 5:
+            return rng.choice([f'<a href="/x">{inside}</a>', f"<A NAME=q>{inside}</A>", "<br>", "<br/>"])
+        tag = rng.choice(["p", "div", "span", "b", "li", "ul", "h1", "P", "Div"])
+        return f"<{tag} class='c'>{inside}</{tag}>"
+
+    for _ in range(300):
+        page = f"<!DOCTYPE html><html lang='en'><head><title>T {rng.random()}</title></head><body>{''.join(tree(5) for _ in range(6))}</body></html>"
+        reader = Reader()
+        reader.feed(page)
+        reader.close()
+        lines = (re.sub(r"[^\S\n]+", " ", line).strip() for line in "".join(reader.out).split("\n"))
+        got = warc.read_page(page)
+        assert got.text == "\n".join(line for line in lines if line) and got.links == reader.links and got.language == reader.lang and got.title == reader.titles[0]
+
+
 def test_license_scan(spark):
     templates = spark.createDataFrame(licenses.TEMPLATES, "license string, text string")
     rows = [
@@ -507,6 +581,21 @@ def test_short_lines_near_copies_and_own_repeats(make_docs):
     assert cut[4] == (own + " qe " + prose(49, 30) + " qf qg").split()
 
 
+def test_words_have_the_places_of_the_cut():
+    """Spans count the words of lowered bytes, cuts those of the text as it is: letters that grow or change by what stands beside them must not part them."""
+    rng = random.Random(7)
+    parts = [*"ΣσςİıIi̇ΑαßẞſKÅ éE’'.,- \n_0٣漢", "\u0307", "\u0301", "\u00ad", "\u200d", "ΑΣ", "İs", "Σ’Α", "Σ'Α", "ﬁ", "ǅ"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(1, 14))) for _ in range(20000)] + ["Σ İstanbul one", "ΟΔΟΣ. İ"]
+    hashes, starts, _ = substring_dedup._words(texts)
+    named = {}
+    for i, text in enumerate(texts):
+        words = [w.lower() for w in shingles.WORD.findall(text)]
+        assert starts[i + 1] - starts[i] == len(words), text
+        for word, value in zip(words, hashes[starts[i] : starts[i + 1]].tolist()):
+            assert named.setdefault(word, value) == value, text
+    assert len(set(named.values())) == len(named)
+
+
 def test_word_hashes_name_the_lower_case_words(monkeypatch):
     monkeypatch.setattr(substring_dedup, "_AT_ONCE", 50)
     texts = ["", "\n", "A b_c\n\nÉa é “d”—e…f", "x" * 200 + " y " + "X" * 200, "\r\tz\x0bw\x00v", "ΑΣ ας Σ’Α ΑΣ’Α", "日本 語\nテ ٣", "²x ß ẞ K k İi", "a\n"]
