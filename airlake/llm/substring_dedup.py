@@ -57,9 +57,10 @@ def _hashes(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray
 def _lower(text: str) -> str:
     """A text in lower case with blanks for signs beyond ASCII; its words do not change with what stands around them."""
     if not text.isascii():
+        # Signs go first: letters such as a dotted capital I become two characters, of which the second is a sign only where it stands alone.
+        text = _SIGNS.sub(" ", text)
         # The sigma at a word's end has a form of its own, which signs behind it can hide.
         text = re.sub(r"\w+", lambda m: m[0].lower(), text) if "Σ" in text else text
-        text = _SIGNS.sub(" ", text)
     return text.lower()
 
 
