@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+from pathlib import Path
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from airlake.llm.common import empty_if_null
@@ -55,7 +58,7 @@ _BSD_REST = (
 )
 _GNU = (
     "This {0} is free software: you can redistribute it and/or modify it under the terms of the GNU {1}General Public License as published by the Free "
-    "Software Foundation, either version 3 of the License, or (at your option) any later version.\n\n"
+    "Software Foundation, either version {2} of the License, or (at your option) any later version.\n\n"
     "This {0} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or "
     "FITNESS FOR A PARTICULAR PURPOSE. See the GNU {1}General Public License for more details."
 )
@@ -69,9 +72,11 @@ HEADERS = [
         '"AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing '
         "permissions and limitations under the License.",
     ),
-    ("AGPL-3.0", _GNU.format("program", "Affero ")),
-    ("GPL-3.0", _GNU.format("program", "")),
-    ("LGPL-3.0", _GNU.format("library", "Lesser ")),
+    ("AGPL-3.0", _GNU.format("program", "Affero ", "3")),
+    ("GPL-3.0", _GNU.format("program", "", "3")),
+    ("GPL-2.0", _GNU.format("program", "", "2")),
+    ("LGPL-3.0", _GNU.format("library", "Lesser ", "3")),
+    ("LGPL-2.1", _GNU.format("library", "Lesser ", "2.1")),
     ("MIT", _GRANT),
     (
         "MPL-2.0",
@@ -93,6 +98,21 @@ FILES = [
         "IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
     ),
     ("MIT", _GRANT + "\n\n" + _MIT_REST),
+    (
+        "Unlicense",
+        "This is free and unencumbered software released into the public domain.\n\n"
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for "
+        "any purpose, commercial or non-commercial, and by any means.\n\n"
+        "In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to "
+        "the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this "
+        "dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.\n\n"
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF '
+        "MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER "
+        "LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER "
+        "DEALINGS IN THE SOFTWARE.\n\nFor more information, please refer to <https://unlicense.org>",
+    ),
+    # The long ones lie beside this module, as published; a file's name is its licence's.
+    *((f.stem, f.read_text(encoding="utf-8")) for f in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))),
 ]
 #: Candidates are single paragraphs or whole files, so a header of several paragraphs is known by its first one, too.
 TEMPLATES = NOTICES + HEADERS + [(name, text.split("\n\n")[0]) for name, text in HEADERS if "\n\n" in text] + FILES
@@ -106,24 +126,62 @@ def _terms(text):
     return F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))
 
 
+def _made(df: DataFrame, *keep: str, **made) -> DataFrame:
+    """``keep`` and the new columns. They come out of a generator, so that they are worked out once, however often they are read above it."""
+    return df.select(*keep, F.explode(F.array(F.struct(*(c.alias(n) for n, c in made.items())))).alias("made")).select(*keep, "made.*")
+
+
+def _starts(ordered):
+    """Where each run of equal terms begins in an ordered array that is not empty."""
+    return F.filter(F.sequence(F.lit(0), F.size(ordered) - 1), lambda i: (i == 0) | (ordered[i] != ordered[F.greatest(i - 1, F.lit(0))]))
+
+
+def _run_lengths(ordered, starts):
+    """(term, n) of each run."""
+    ends = F.concat(F.slice(starts, F.lit(2), F.size(starts)), F.array(F.size(ordered)))
+    return F.zip_with(starts, ends, lambda a, z: F.struct(ordered[a].alias("term"), (z - a).cast("double").alias("n")))
+
+
+def _squares(runs, weight=None):
+    """Sum over the runs of (n * weight)^2."""
+    return F.aggregate(runs, F.lit(0.0), lambda total, r: total + r["n"] * r["n"] * (weight(r["term"]) if weight else 1.0))
+
+
+def _upper_squares(weights: dict[str, float], rare: float, classes: int = 12):
+    """A column function: the square of the largest weight in the class of a term, never below that of its own weight."""
+    groups: dict[int, list[str]] = {}
+    for term, w in weights.items():
+        groups.setdefault(int(classes * (w - 1) / max(rare - 1, 1e-9)), []).append(term)
+    tops = sorted(((max(weights[t] for t in g) ** 2, sorted(g)) for g in groups.values()), reverse=True)
+
+    def of(term):
+        out = F.lit(tops[0][0])
+        for top, group in tops[1:]:
+            out = F.when(term.isin(group), top).otherwise(out)
+        return out
+
+    return of
+
+
 def license_scan(files: DataFrame, templates: DataFrame, least: float = 0.8) -> DataFrame:
     """One row per file: id, path, own_license, own_score, license, inherited_from.
 
     ``files`` has id, path and text, ``templates`` has license and text (a short fixed list, several texts for a licence;
     its terms are sent to every executor). Candidates are every line, every paragraph of several lines and the whole
-    file. A candidate's vector holds its terms, each once whatever its count, weighted by
-    ln((1 + lines) / (1 + lines with the term)) + 1 over all lines that have terms; a term in no template weighs as one in no line. A candidate matches the template of the highest cosine
-    (ties: the first by name) from ``least`` on. own_license is the file's best candidate. A file that matches as a whole is a
+    file. A candidate's vector holds the count of each of its terms, weighted by
+    ln((1 + lines) / (1 + lines with the term)) + 1 over all lines that have terms; a term in no template weighs as one in no line. A candidate
+    matches the template of the highest cosine (ties: the first by name) from ``least`` on. own_license is the file's best candidate. A file that matches as a whole is a
     licence file of its directory, which has the license of the best of its licence files. license is own_license, else that of
     the nearest directory at or above the file's; inherited_from names that directory.
 
-    A candidate whose terms outside the templates are too many for ``least``, even if all others weighed the most and
-    matched, is left before the cosine; none is missed. A null text has no lines, a null path is
+    A candidate whose terms outside the templates weigh too much for ``least``, even if all others matched, is left before
+    the cosine: first by numbers of terms alone, then by counts and weights rounded up. None is missed. A null text has no lines, a null path is
     the root directory's; rows that repeat an id are read as one file with the path that sorts first, a null id is an id.
     An empty table gives an empty result; further columns are not read.
     """
     texts = files.select("id", F.coalesce("path", F.lit("")).alias("path"), empty_if_null("text").alias("text"))
-    counts = templates.select("license", F.xxhash64("text").alias("template"), F.explode(F.array_distinct(_terms(F.col("text")))).alias("term"))
+    counts = templates.select("license", F.xxhash64("text").alias("template"), F.explode(_terms(F.col("text"))).alias("term"))
+    counts = counts.groupBy("license", "template", "term").agg(F.count(F.lit(1)).cast("double").alias("n"))
     vocabulary = sorted(r["term"] for r in counts.select("term").distinct().collect())
 
     def known(terms):
@@ -138,28 +196,36 @@ def license_scan(files: DataFrame, templates: DataFrame, least: float = 0.8) ->
     idf = spark.createDataFrame([(t, float(seen.get(t, 0))) for t in vocabulary], "term string, df double").select(
         "term", (F.log((1.0 + total) / (1.0 + F.col("df"))) + 1).alias("idf")
     )
-    rare = F.log(F.lit(1.0 + total)) + 1
-    weights = counts.join(F.broadcast(idf), "term").withColumnRenamed("idf", "w")
+    rare = math.log(1.0 + total) + 1
+    upper = _upper_squares({t: math.log((1.0 + total) / (1.0 + seen.get(t, 0))) + 1 + 1e-9 for t in vocabulary}, rare)
+    weights = counts.join(F.broadcast(idf), "term").select("license", "template", "term", (F.col("n") * F.col("idf")).alias("w"))
     norms = weights.groupBy("license", "template").agg(F.sqrt(F.sum(F.col("w") ** 2)).alias("norm"))
     weights = weights.join(F.broadcast(norms), ["license", "template"]).select("license", "template", "term", (F.col("w") / F.col("norm")).alias("u"))
 
     several = F.contains("text", F.lit("\n"))
     paragraphs = F.filter(F.split("text", PARTING), lambda p: F.contains(p, F.lit("\n")))
     parts = F.concat(F.array(F.col("text")), F.when(several, F.concat(paragraphs, F.split("text", "\n"))).otherwise(F.array().cast("array<string>")))
-    units = texts.select("id", F.posexplode(F.transform(parts, lambda v: F.array_distinct(_terms(v)))).alias("unit", "terms"))
-    counted = units.select("id", "unit", F.xxhash64("terms").alias("mark"), F.explode(F.array(F.struct(known("terms").alias("inside"), F.size("terms").alias("n")))).alias("v"))
-    outside = F.col("v.n") - F.size("v.inside")
-    square = least * least
-    likely = (
-        counted.where((F.size("v.inside") > 0) & (F.size("v.inside") * (1 - square) >= square * outside - 1e-6))
-        .select("id", "unit", "mark", "v.inside", outside.alias("outside")).distinct()
-    )
-
+    units = texts.select("id", F.posexplode(F.transform(parts, lambda v: _terms(v))).alias("unit", "terms"))
     unit = ["id", "unit", "mark"]
-    weighed = likely.select(*unit, "outside", F.explode("inside").alias("term")).join(F.broadcast(idf), "term")
+    units = _made(units, "id", "unit", mark=F.xxhash64("terms"), terms=F.col("terms"), inside=F.sort_array(known("terms")))
+    # If m occurrences are of k terms, their squared counts sum up to (m - k + 1)^2 + k - 1 at most, and to m at least.
+    within, distinct, square = F.size("inside"), F.size(F.array_distinct("inside")), least * least
+    outside = F.size("terms") - within
+    most = (within - distinct + 1).cast("double") ** 2 + distinct - 1
+    units = units.where((within > 0) & (most * (1 - square) >= square * outside - 1e-6))
+    units = _made(units, *unit, "terms", "inside", starts=_starts(F.col("inside")))
+    units = _made(units, *unit, "terms", runs=_run_lengths(F.col("inside"), F.col("starts")), outside=F.size("terms") - F.size("inside"))
+    units = units.where(_squares(F.col("runs"), upper) * (1 - square) >= square * F.col("outside") * (rare * rare) - 1e-6)
+    # Few are left. Terms outside the templates count by their numbers, too.
+    units = _made(units, *unit, "runs", others=F.sort_array(F.filter("terms", lambda t: ~t.isin(vocabulary))))
+    units = _made(units, *unit, "runs", "others", starts=F.when(F.size("others") > 0, _starts(F.col("others"))).otherwise(F.array().cast("array<int>")))
+    likely = units.select(*unit, "runs", F.when(F.size("others") > 0, _squares(_run_lengths(F.col("others"), F.col("starts")))).otherwise(0.0).alias("outside")).distinct()
+
+    weighed = likely.select(*unit, "outside", F.explode("runs").alias("r")).select(*unit, "outside", "r.term", "r.n").join(F.broadcast(idf), "term")
+    weighed = weighed.select(*unit, "outside", "term", (F.col("n") * F.col("idf")).alias("w"))
     # A bounded list each: terms of the templates.
     sizes = weighed.groupBy(*unit, "outside").agg(
-        F.sqrt(F.sum(F.col("idf") ** 2) + F.col("outside") * rare * rare).alias("norm"), F.collect_list(F.struct("term", F.col("idf").alias("w"))).alias("vector")
+        F.sqrt(F.sum(F.col("w") ** 2) + F.col("outside") * (rare * rare)).alias("norm"), F.collect_list(F.struct("term", "w")).alias("vector")
     )
     matched = (
         sizes.select(*unit, "norm", F.explode("vector").alias("t")).join(F.broadcast(weights.withColumnRenamed("term", "t_term")), F.col("t.term") == F.col("t_term"))

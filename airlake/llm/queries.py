@@ -212,16 +212,16 @@ WITH f AS (
     SELECT doc_id, kind, nth, regexp_extract_all(lower(value), '[\p{{L}}\p{{N}}]+(?:\.\p{{N}}+)*') AS terms FROM raw
     WHERE kind <> 'paragraph' OR contains(value, chr(10))) WHERE len(terms) > 0
 ), t(license, text) AS (VALUES {_TEMPLATE_ROWS}),
-tt AS (SELECT DISTINCT license, text, term FROM (
-  SELECT license, text, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+(?:\.\p{{N}}+)*')) AS term FROM t)),
+tt AS (SELECT license, text, term, count(*) AS c FROM (
+  SELECT license, text, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+(?:\.\p{{N}}+)*')) AS term FROM t) GROUP BY ALL),
 total AS (SELECT count(*) AS n FROM units WHERE kind = 'line'),
-words AS (SELECT doc_id, kind, nth, unnest(list_distinct(terms)) AS term FROM units),
+words AS (SELECT doc_id, kind, nth, term, count(*) AS c FROM (SELECT doc_id, kind, nth, unnest(terms) AS term FROM units) GROUP BY ALL),
 df AS (SELECT term, count(DISTINCT (doc_id, nth)) AS df FROM words WHERE kind = 'line' AND term IN (SELECT term FROM tt) GROUP BY term),
 idf AS (SELECT term, ln((1.0 + n) / (1.0 + coalesce(df, 0))) + 1 AS idf FROM (SELECT DISTINCT term FROM tt) LEFT JOIN df USING (term), total),
-tw AS (SELECT license, text, term, idf AS w FROM tt JOIN idf USING (term)),
+tw AS (SELECT license, text, term, c * idf AS w FROM tt JOIN idf USING (term)),
 tn AS (SELECT license, text, sqrt(sum(w * w)) AS norm FROM tw GROUP BY ALL),
 lw AS (
-  SELECT doc_id, kind, nth, term, coalesce(idf, ln(1.0 + n) + 1) AS w
+  SELECT doc_id, kind, nth, term, c * coalesce(idf, ln(1.0 + n) + 1) AS w
   FROM words LEFT JOIN idf USING (term), total
 ), ln AS (SELECT doc_id, kind, nth, sqrt(sum(w * w)) AS norm FROM lw GROUP BY ALL),
 m AS (

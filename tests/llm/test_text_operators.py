@@ -507,6 +507,70 @@ def test_licence_files_and_headers(spark):
     }
 
 
+def plain_license_scores(texts, templates, least):
+    """The best (score, licence) of each text over all lines, paragraphs and the whole, and of the whole alone: every pair, dense counts."""
+    import math
+
+    import regex
+
+    terms = lambda t: Counter(regex.findall(licenses.TERM, t.lower()))
+    lines = [c for t in texts for c in map(terms, (t or "").split("\n")) if c]
+    known = {w for _, t in templates for w in terms(t)}
+    idf = {w: math.log((1 + len(lines)) / (1 + sum(w in c for c in lines))) + 1 for w in known}
+    weigh = lambda c: {w: n * idf.get(w, math.log(1 + len(lines)) + 1) for w, n in c.items()}
+    norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    vectors = [(name, v, norm(v)) for name, v in ((name, weigh(terms(t))) for name, t in templates)]
+    out = []
+    for t in texts:
+        parts = [t or ""]
+        if "\n" in parts[0]:
+            parts += [p for p in regex.split(licenses.PARTING, t) if "\n" in p] + t.split("\n")
+        found = []
+        for part in parts:
+            c = weigh(terms(part))
+            hits = [(-round(sum(x * v.get(w, 0) for w, x in c.items()) / (norm(c) * n), 9), name) for name, v, n in vectors] if c else []
+            found.append(min((h for h in hits if -h[0] >= least), default=None))
+        out.append((min(filter(None, found), default=None), found[0]))
+    return out
+
+
+def test_license_scan_against_all_pairs(spark):
+    """Counts of terms weigh: texts mixed of template terms and others, with many repeats, at two thresholds."""
+    rng = random.Random(5)
+    base = [t for n, t in licenses.TEMPLATES if len(t) < 3000]
+    texts = [None, "", "license " * 400, "the the the license\n\nMIT MIT license"]
+    for k in range(150):
+        words = rng.choice(base).split()
+        words = [w if rng.random() < rng.choice([0.7, 0.9, 1]) else rng.choice(["the", "software", *WORDS]) for w in words]
+        words += [rng.choice(words)] * rng.choice([0, 0, 3, 12])
+        texts.append(" ".join(w + ("\n" if rng.random() < 0.1 else "") for w in words) + rng.choice(["", "\n\n" + prose(k, 50)]))
+    templates = spark.createDataFrame(licenses.TEMPLATES, "license string, text string")
+    files = spark.createDataFrame([(i, f"d{i}/f", t) for i, t in enumerate(texts)], "id long, path string, text string")
+    for least in (0.8, 0.55):
+        want = plain_license_scores(texts, licenses.TEMPLATES, least)
+        got = {r["id"]: (r["own_license"], r["own_score"]) for r in licenses.license_scan(files, templates, least).collect()}
+        for i, (best, _) in enumerate(want):
+            assert (got[i][0], got[i][1] and round(got[i][1], 7)) == ((best[1], round(-best[0], 7)) if best else (None, None)), (i, texts[i])
+        assert 30 < sum(b is not None for b, _ in want) < len(texts)
+
+
+def test_long_licence_texts_pass_to_their_directories(spark):
+    """Published texts, wrapped anew, with a project's name in front; a directory below has another one."""
+    names = ["Apache-2.0", "CC0-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "Unlicense"]
+    whole = {n: max((t for m, t in licenses.FILES if m == n), key=len) for n in names}
+    rows, want = [], {}
+    for k, name in enumerate(names):
+        text = "\n".join(line for p in whole[name].split("\n\n") for line in [*textwrap.wrap(p, 60 + k), ""])
+        rows += [(3 * k, f"{name}/COPYING", f"Project {k}\n\n{text}"), (3 * k + 1, f"{name}/src/deep/a.c", prose(k, 60))]
+        rows.append((3 * k + 2, f"{name}x/a.c", prose(100 + k, 60)))
+        want |= {3 * k: (name, None), 3 * k + 1: (name, name), 3 * k + 2: (None, None)}
+    rows += [(90, "GPL-3.0/src/deep/LICENSE", whole["Unlicense"])]
+    want |= {90: ("Unlicense", None), 3 * names.index("GPL-3.0") + 1: ("Unlicense", "GPL-3.0/src/deep")}
+    files = spark.createDataFrame(rows, "id long, path string, text string")
+    templates = spark.createDataFrame(licenses.TEMPLATES, "license string, text string")
+    assert {r["id"]: (r["license"], r["inherited_from"]) for r in licenses.license_scan(files, templates).collect()} == want
+
+
 def test_pipeline_against_plain_stages(spark, tmp_path):
     import corpus_pipeline
     from tokenizers import Tokenizer
