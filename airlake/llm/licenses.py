@@ -118,8 +118,6 @@ FILES = [
 TEMPLATES = NOTICES + HEADERS + [(name, text.split("\n\n")[0]) for name, text in HEADERS if "\n\n" in text] + FILES
 #: A term: letters and digits, inner dots before digits as in version numbers.
 TERM = r"[\p{L}\p{N}]+(?:\.\p{N}+)*"
-#: Lines without letters and digits part paragraphs, also those of comment signs.
-PARTING = r"\n[^\p{L}\p{N}]*\n"
 
 
 def _terms(text):
@@ -142,25 +140,25 @@ def _run_lengths(ordered, starts):
     return F.zip_with(starts, ends, lambda a, z: F.struct(ordered[a].alias("term"), (z - a).cast("double").alias("n")))
 
 
-def _squares(runs, weight=None):
-    """Sum over the runs of (n * weight)^2."""
-    return F.aggregate(runs, F.lit(0.0), lambda total, r: total + r["n"] * r["n"] * (weight(r["term"]) if weight else 1.0))
+def _squares(runs):
+    """Sum over the runs of n^2."""
+    return F.aggregate(runs, F.lit(0.0), lambda total, r: total + r["n"] * r["n"])
 
 
-def _upper_squares(weights: dict[str, float], rare: float, classes: int = 12):
-    """A column function: the square of the largest weight in the class of a term, never below that of its own weight."""
+def _among(name: str, terms: list[str]) -> str:
+    """SQL for ``name IN (terms)``; a term has letters, digits and dots only, so quotes are safe. Parsed at once, not built literal by literal."""
+    return f"{name} IN ({', '.join(repr(t) for t in terms)})" if terms else "false"
+
+
+def _upper_squares(runs: str, weights: dict[str, float], rare: float, classes: int = 12):
+    """Sum over the runs of (n * weight)^2, each weight rounded up to the largest one in its class."""
     groups: dict[int, list[str]] = {}
     for term, w in weights.items():
         groups.setdefault(int(classes * (w - 1) / max(rare - 1, 1e-9)), []).append(term)
-    tops = sorted(((max(weights[t] for t in g) ** 2, sorted(g)) for g in groups.values()), reverse=True)
-
-    def of(term):
-        out = F.lit(tops[0][0])
-        for top, group in tops[1:]:
-            out = F.when(term.isin(group), top).otherwise(out)
-        return out
-
-    return of
+    tops = sorted((max(weights[t] for t in g) ** 2, sorted(g)) for g in groups.values())
+    cases = "".join(f" WHEN {_among('r.term', g)} THEN {top!r}D" for top, g in tops[:-1])
+    top = f"CASE{cases} ELSE {tops[-1][0]!r}D END" if cases else f"{tops[-1][0]!r}D" if tops else "0D"
+    return F.expr(f"aggregate({runs}, 0D, (total, r) -> total + r.n * r.n * {top})")
 
 
 def license_scan(files: DataFrame, templates: DataFrame, least: float = 0.8) -> DataFrame:
@@ -184,12 +182,11 @@ def license_scan(files: DataFrame, templates: DataFrame, least: float = 0.8) ->
     counts = counts.groupBy("license", "template", "term").agg(F.count(F.lit(1)).cast("double").alias("n"))
     vocabulary = sorted(r["term"] for r in counts.select("term").distinct().collect())
 
-    def known(terms):
-        return F.filter(terms, lambda t: t.isin(vocabulary))
+    known = F.expr(f"filter(terms, t -> {_among('t', vocabulary)})")
 
     # The terms come out of the generator, so that no filter above it reads a text again.
     lines = texts.select(F.explode(F.transform(F.split("text", "\n"), lambda v: F.array_distinct(_terms(v)))).alias("terms")).where(F.size("terms") > 0)
-    stats = lines.select(F.explode(F.concat(known("terms"), F.array(F.lit("\n")))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    stats = lines.select(F.explode(F.concat(known, F.array(F.lit("\n")))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     seen = {r["term"]: r["df"] for r in stats.collect()}  # at most one row for each term of the templates
     spark = files.sparkSession
     total = seen.get("\n", 0)
@@ -197,27 +194,41 @@ def license_scan(files: DataFrame, templates: DataFrame, least: float = 0.8) ->
         "term", (F.log((1.0 + total) / (1.0 + F.col("df"))) + 1).alias("idf")
     )
     rare = math.log(1.0 + total) + 1
-    upper = _upper_squares({t: math.log((1.0 + total) / (1.0 + seen.get(t, 0))) + 1 + 1e-9 for t in vocabulary}, rare)
+    upper = _upper_squares("runs", {t: math.log((1.0 + total) / (1.0 + seen.get(t, 0))) + 1 + 1e-9 for t in vocabulary}, rare)
     weights = counts.join(F.broadcast(idf), "term").select("license", "template", "term", (F.col("n") * F.col("idf")).alias("w"))
     norms = weights.groupBy("license", "template").agg(F.sqrt(F.sum(F.col("w") ** 2)).alias("norm"))
     weights = weights.join(F.broadcast(norms), ["license", "template"]).select("license", "template", "term", (F.col("w") / F.col("norm")).alias("u"))
 
-    several = F.contains("text", F.lit("\n"))
-    paragraphs = F.filter(F.split("text", PARTING), lambda p: F.contains(p, F.lit("\n")))
-    parts = F.concat(F.array(F.col("text")), F.when(several, F.concat(paragraphs, F.split("text", "\n"))).otherwise(F.array().cast("array<string>")))
-    units = texts.select("id", F.posexplode(F.transform(parts, lambda v: _terms(v))).alias("unit", "terms"))
-    unit = ["id", "unit", "mark"]
-    units = _made(units, "id", "unit", mark=F.xxhash64("terms"), terms=F.col("terms"), inside=F.sort_array(known("terms")))
+    # A text is taken apart once, into lines; no term spans two. Paragraphs, of several lines without a blank one, and the whole are put together from them.
+    held = _made(texts, "id", mark=F.xxhash64("text"), terms=F.transform(F.split("text", "\n"), _terms))
+    n = F.size("terms")
+    held = _made(
+        held, "id", "mark", "terms", filled=F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.size(F.col("terms")[i]) > 0),
+        inside=F.expr(f"transform(terms, l -> filter(l, t -> {_among('t', vocabulary)}))"),
+        others=F.expr(f"transform(terms, l -> filter(l, t -> NOT {_among('t', vocabulary)}))"),
+    ).where(F.size("filled") > 0)
+    held = _made(
+        held, "id", "mark", "inside", "others", "filled",
+        first=F.filter("filled", lambda i: (i == 0) | (F.size(F.col("terms")[F.greatest(i - 1, F.lit(0))]) == 0)),
+        last=F.filter("filled", lambda i: (i == n - 1) | (F.size(F.col("terms")[F.least(i + 1, n - 1)]) == 0)),
+    )
+    span = lambda i, k: F.struct(i.alias("a"), k.alias("n"))
+    paragraphs = F.filter(F.zip_with("first", "last", lambda i, k: span(i, k - i + 1)), lambda x: (x["n"] > 1) & (F.size("first") > 1))
+    single = F.transform(F.filter("filled", lambda i: F.size("filled") > 1), lambda i: span(i, F.lit(1)))
+    spans = F.concat(F.array(span(F.lit(0), F.size("inside"))), paragraphs, single)
+    joined = lambda name, x: F.flatten(F.slice(name, x["a"] + 1, x["n"])).alias(name)
+    units = held.select("id", "mark", F.posexplode(F.transform(spans, lambda x: F.struct(joined("inside", x), joined("others", x)))).alias("unit", "v"))
+    unit = ["id", "mark", "unit"]
+    units = _made(units, *unit, inside=F.sort_array("v.inside"), others=F.col("v.others"))
     # If m occurrences are of k terms, their squared counts sum up to (m - k + 1)^2 + k - 1 at most, and to m at least.
     within, distinct, square = F.size("inside"), F.size(F.array_distinct("inside")), least * least
-    outside = F.size("terms") - within
     most = (within - distinct + 1).cast("double") ** 2 + distinct - 1
-    units = units.where((within > 0) & (most * (1 - square) >= square * outside - 1e-6))
-    units = _made(units, *unit, "terms", "inside", starts=_starts(F.col("inside")))
-    units = _made(units, *unit, "terms", runs=_run_lengths(F.col("inside"), F.col("starts")), outside=F.size("terms") - F.size("inside"))
-    units = units.where(_squares(F.col("runs"), upper) * (1 - square) >= square * F.col("outside") * (rare * rare) - 1e-6)
+    units = units.where((within > 0) & (most * (1 - square) >= square * F.size("others") - 1e-6))
+    units = _made(units, *unit, "inside", "others", starts=_starts(F.col("inside")))
+    units = _made(units, *unit, "others", runs=_run_lengths(F.col("inside"), F.col("starts")))
+    units = units.where(upper * (1 - square) >= square * F.size("others") * (rare * rare) - 1e-6)
     # Few are left. Terms outside the templates count by their numbers, too.
-    units = _made(units, *unit, "runs", others=F.sort_array(F.filter("terms", lambda t: ~t.isin(vocabulary))))
+    units = _made(units, *unit, "runs", others=F.sort_array("others"))
     units = _made(units, *unit, "runs", "others", starts=F.when(F.size("others") > 0, _starts(F.col("others"))).otherwise(F.array().cast("array<int>")))
     likely = units.select(*unit, "runs", F.when(F.size("others") > 0, _squares(_run_lengths(F.col("others"), F.col("starts")))).otherwise(0.0).alias("outside")).distinct()
 

@@ -524,7 +524,7 @@ def plain_license_scores(texts, templates, least):
     for t in texts:
         parts = [t or ""]
         if "\n" in parts[0]:
-            parts += [p for p in regex.split(licenses.PARTING, t) if "\n" in p] + t.split("\n")
+            parts += [p for p in regex.split(r"\n[^\p{L}\p{N}]*\n", t) if "\n" in p] + t.split("\n")
         found = []
         for part in parts:
             c = weigh(terms(part))
@@ -543,7 +543,7 @@ def test_license_scan_against_all_pairs(spark):
         words = rng.choice(base).split()
         words = [w if rng.random() < rng.choice([0.7, 0.9, 1]) else rng.choice(["the", "software", *WORDS]) for w in words]
         words += [rng.choice(words)] * rng.choice([0, 0, 3, 12])
-        texts.append(" ".join(w + ("\n" if rng.random() < 0.1 else "") for w in words) + rng.choice(["", "\n\n" + prose(k, 50)]))
+        texts.append(" ".join(w + ("\n" if rng.random() < 0.1 else "") for w in words) + rng.choice(["", "\n\n" + prose(k, 50), "\n//\n \n" + rng.choice(base) + "\n--"]))
     templates = spark.createDataFrame(licenses.TEMPLATES, "license string, text string")
     files = spark.createDataFrame([(i, f"d{i}/f", t) for i, t in enumerate(texts)], "id long, path string, text string")
     for least in (0.8, 0.55):
