@@ -301,8 +301,27 @@ def _spans(hits: list[dict], a: np.ndarray, first: int, b: np.ndarray, other: in
     return [x for x in out if x[1] - x[0] >= PASSAGE]
 
 
+def _open_grams(pos: np.ndarray, other: np.ndarray, a: np.ndarray, first: int, b: np.ndarray, at: int):
+    """(place, hash) of the runs of PASSAGE words around blocks at ``pos`` that do not stand around the blocks at ``other``, too."""
+    side = PASSAGE - SIZE
+    along = np.arange(-side, PASSAGE)
+    here, there = (pos - first)[:, None] + along, (other - at)[:, None] + along
+    known = (here >= 0) & (here < len(a))
+    equal = known & (there >= 0) & (there < len(b))
+    equal[equal] = a[here[equal]] == b[there[equal]]
+    # Windows that lie in the text, less those of equal words.
+    views = [np.lib.stride_tricks.sliding_window_view(x, PASSAGE, axis=1).all(2) for x in (known, equal)]
+    row, shift = np.nonzero(views[0] & ~views[1])
+    place = np.unique(here[row, shift])
+    value = np.zeros(len(place), np.uint64)
+    for k in range(PASSAGE if len(place) else 0):
+        value = value * _GOLD + a[place + k].astype(np.uint64)
+    return place + first, S.mix(value).view(np.int64)
+
+
 def _grown(docs: DataFrame, chains: DataFrame, threshold: float, width: int, scratch: Scratch) -> DataFrame:
-    """(doc, start, end, keep, other, stop): the spans of ``chains`` (doc, keep, hits array<struct<pos, other>>).
+    """(doc, start, end, keep, other, stop, gram): the spans of ``chains`` (doc, keep, hits array<struct<pos, other>>), without a
+    gram, and hashes of the runs of PASSAGE words around their blocks that the kept occurrence does not have, without a keep.
 
     Reaches are powers of two beyond what ``_extend`` can use, so that many copies of a run ask for the same words of the kept one.
     """
@@ -318,6 +337,7 @@ def _grown(docs: DataFrame, chains: DataFrame, threshold: float, width: int, scr
         chains.select(F.col("keep").alias("doc"), F.col("other").alias("start"), F.col("stop").alias("end"), "reach")
     )
     found = scratch.keep(_regions(docs, asked))
+    schema = f"doc {kind}, start int, end int, keep {kind}, other int, stop int, gram bigint"
     pairs = chains.join(found, ["doc", "start", "end", "reach"]).join(
         found.select(F.col("doc").alias("keep"), F.col("start").alias("other"), F.col("end").alias("stop"), "reach", F.col("words").alias("words_2")),
         ["keep", "other", "stop", "reach"],
@@ -326,19 +346,50 @@ def _grown(docs: DataFrame, chains: DataFrame, threshold: float, width: int, scr
     def run(batches):
         for batch in batches:
             columns = [batch.column(c).to_pylist() for c in ("start", "other", "reach", "hits", "alone")]
-            rows, out = [], []
+            rows, out, takes, places, grams = [], [], [], [], []
             for i, (start, other, reach, hits, alone) in enumerate(zip(*columns, strict=True)):
                 a, b = (np.frombuffer(batch.column(c)[i].as_py(), np.uint32) for c in ("words", "words_2"))
-                found = _spans(hits, a, max(0, start - reach), b, max(0, other - reach), alone, threshold, width)
+                first, at = max(0, start - reach), max(0, other - reach)
+                found = _spans(hits, a, first, b, at, alone, threshold, width)
                 rows += [i] * len(found)
                 out += found
+                place, gram = _open_grams(np.array([h["pos"] for h in hits]), np.array([h["other"] for h in hits]), a, first, b, at)
+                takes.append(np.full(len(place), i))
+                places.append(place)
+                grams.append(gram)
             take = pa.array(rows, pa.int64())
             start, end, other, stop = (pa.array([x[k] for x in out], pa.int32()) for k in range(4))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc").take(take), start, end, batch.column("keep").take(take), other, stop], ["doc", "start", "end", "keep", "other", "stop"]
+                [batch.column("doc").take(take), start, end, batch.column("keep").take(take), other, stop, pa.nulls(len(out), pa.int64())], names
             )
-
-    return pairs.mapInArrow(run, f"doc {kind}, start int, end int, keep {kind}, other int, stop int")
+            if takes and sum(map(len, takes)):
+                take, start = pa.array(np.concatenate(takes)), np.concatenate(places).astype(np.int32)
+                none = pa.nulls(len(take), pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("doc").take(take), pa.array(start), pa.array(start + np.int32(PASSAGE)),
+                        pa.nulls(len(take), batch.column("keep").type), none, none, pa.array(np.concatenate(grams)),
+                    ],
+                    names,
+                )
+
+    names = ["doc", "start", "end", "keep", "other", "stop", "gram"]
+    grown = scratch.keep(pairs.mapInArrow(run, schema))
+    scratch.drop(chains, found)
+    return grown
+
+
+def _later(grown: DataFrame, scratch: Scratch) -> DataFrame:
+    """(doc, start, end, keep, other, stop): runs of PASSAGE words whose first occurrence is not the first one of their blocks."""
+    grams = grown.where("gram IS NOT NULL").select("gram", "doc", "start", "end")
+    # Most of them occur once; a run's first occurrence keeps it.
+    shared = scratch.keep(
+        grams.groupBy("gram").agg(F.min(F.struct("doc", "start")).alias("kept"), F.max(F.struct("doc", "start")).alias("last"))
+        .where("kept < last").drop("last")
+    )
+    return grams.join(shared, "gram").select(
+        "doc", "start", "end", F.col("kept.doc").alias("keep"), F.col("kept.start").alias("other"), (F.col("kept.start") + PASSAGE).alias("stop")
+    ).where((F.col("doc") > F.col("keep")) | (F.col("start") >= F.col("stop"))).distinct()
 
 
 def repeated_passages(
@@ -361,9 +412,10 @@ def repeated_passages(
     the one with the smallest doc_id, then position, stays, in one document, too. Blocks of one document that repeat
     neighbouring blocks of another one are a chain, which is compared word by word with what it repeats to its maximal length,
     then over edited text while the Jaccard similarity of both spans reaches the threshold (``_extend``); spans of 24 words
-    or more are reported. So each run of 24 words or more that a document shares with the first occurrence of one of its
-    blocks is reported whole. Where a third document has one of its blocks earlier, the span ends
-    where that one's text does, so up to 12 words at an end of the run, or a run of one block, can go unreported.
+    or more are reported. Where the first occurrence of a block has other words beside it, the runs of 24 words around the block are
+    compared among all its later occurrences by 64-bit hashes, and the first of equal ones keeps them. So each run of 24 words or more that
+    stands earlier, whichever documents share its parts, is covered by removed spans. Only where a block repeats
+    over itself (a period below 12 words) are its later places in that document not held against other ones.
 
     A null text has no words; a null doc_id has no spans. row_key is a hash of the text: rows that repeat a doc_id with different texts
     are documents of their own; with the same text they are one document. An empty table gives an empty result; further
@@ -420,7 +472,9 @@ def repeated_passages(
         hits.withColumn("new", F.coalesce(apart.cast("int"), F.lit(1))).withColumn("chain", F.sum("new").over(along))
         .groupBy("doc", "keep", "chain").agg(F.collect_list(F.struct("pos", "other")).alias("hits"))
     )
-    grown = scratch.keep(_grown(docs, chains, threshold, width, scratch))
+    grown = _grown(docs, chains, threshold, width, scratch)
+    scratch.drop(often, blocks, shared)
+    grown = grown.where("gram IS NULL").drop("gram").unionByName(scratch.keep(_later(grown, scratch)))
     spans = grown.select("doc", "start", "end", "keep", F.lit(True).alias("removed")).unionByName(
         grown.select(F.col("keep").alias("doc"), F.col("other").alias("start"), F.col("stop").alias("end"), "keep", F.lit(False).alias("removed")).distinct()
     )

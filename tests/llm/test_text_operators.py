@@ -623,6 +623,30 @@ def test_shared_runs_are_whole(make_docs):
         assert cut[k] == first[k].split() and cut[14 + k] == (prose(800 + k, 11 + k) + " qc qd " + prose(900 + k, 70)).split()
 
 
+def test_runs_whose_blocks_stand_earlier_elsewhere(make_docs):
+    """Every run of 24 words that an earlier text has is removed, also where a third text has a shorter part of it first, and nothing else is."""
+    n, texts = 30, []
+    runs = [prose(2000 + k, 30 + k % 9).split() for k in range(n)]
+    texts += [prose(2100 + k, 40) + " qa " + " ".join(r[k % 8 : k % 8 + 22]) + " qb " + prose(2200 + k, 30) for k, r in enumerate(runs)]
+    texts += [prose(2300 + k, 35) + " qc " + " ".join(r) + " qd " + prose(2400 + k, 30) for k, r in enumerate(runs)]
+    texts += [prose(2700 + k, 20) + " qi " + " ".join(r[3 : 3 + 20 + k % 9]) + " qj " + prose(2800 + k, 30) for k, r in enumerate(runs)]
+    texts += [prose(2500 + k, 25) + " qe " + " ".join(r) + " qf " + prose(2600 + k, 30) for k, r in enumerate(runs)]
+    seen, asked = set(), {}
+    for i, text in enumerate(texts):
+        words, grams = text.split(), []
+        for p in range(len(words) - 23):
+            grams.append(tuple(words[p : p + 24]))
+            if grams[-1] in seen:
+                asked.setdefault(i, set()).update(range(p, p + 24))
+        seen.update(grams)
+    found = {}
+    for r in substring_dedup.repeated_passages(make_docs(list(enumerate(texts)))).collect():
+        assert r["end_word"] - r["start_word"] >= 24 and r["keep_id"] is not None
+        if r["removed"]:
+            found.setdefault(r["doc_id"], set()).update(range(r["start_word"], r["end_word"]))
+    assert len(asked) > n and found == asked
+
+
 def test_short_lines_near_copies_and_own_repeats(make_docs):
     line, passage, own = prose(40, 9), prose(41, 60).split(), prose(42, 50)
     changed = [*passage[:42], "qz", *passage[43:]]
