@@ -301,27 +301,51 @@ def _spans(hits: list[dict], a: np.ndarray, first: int, b: np.ndarray, other: in
     return [x for x in out if x[1] - x[0] >= PASSAGE]
 
 
-def _open_grams(pos: np.ndarray, other: np.ndarray, a: np.ndarray, first: int, b: np.ndarray, at: int):
-    """(place, hash) of the runs of PASSAGE words around blocks at ``pos`` that do not stand around the blocks at ``other``, too."""
-    side = PASSAGE - SIZE
-    along = np.arange(-side, PASSAGE)
-    here, there = (pos - first)[:, None] + along, (other - at)[:, None] + along
+#: Words on each side of a block that a run of PASSAGE words around it can hold.
+_SIDE = PASSAGE - SIZE
+
+
+def _around(hits: list[dict], a: np.ndarray, first: int, b: np.ndarray, at: int):
+    """(place, words, known, equal) of blocks: the words from _SIDE before to _SIDE behind, which are in the text, and which the kept one has, too."""
+    along = np.arange(-_SIDE, PASSAGE)
+    pos = np.array([h["pos"] for h in hits])
+    here, there = (pos - first)[:, None] + along, (np.array([h["other"] for h in hits]) - at)[:, None] + along
     known = (here >= 0) & (here < len(a))
-    equal = known & (there >= 0) & (there < len(b))
-    equal[equal] = a[here[equal]] == b[there[equal]]
-    # Windows that lie in the text, less those of equal words.
-    views = [np.lib.stride_tricks.sliding_window_view(x, PASSAGE, axis=1).all(2) for x in (known, equal)]
-    row, shift = np.nonzero(views[0] & ~views[1])
-    place = np.unique(here[row, shift])
-    value = np.zeros(len(place), np.uint64)
-    for k in range(PASSAGE if len(place) else 0):
-        value = value * _GOLD + a[place + k].astype(np.uint64)
-    return place + first, S.mix(value).view(np.int64)
+    words = a.take(here, mode="clip")
+    return pos, words, known, known & (there >= 0) & (there < len(b)) & (words == b.take(there, mode="clip"))
+
+
+def _open_grams(pos: np.ndarray, words: np.ndarray, known: np.ndarray, equal: np.ndarray):
+    """(row, first place, key, mask, grams): for each side on which a block's text leaves that of its kept occurrence, a hash of the block up to
+    the first other word, and hashes of the runs of PASSAGE words that hold this word.
+
+    Two later occurrences that share such a run leave the kept text at the same word, so they share the key.
+    """
+    shifts, words = np.arange(_SIDE + 1), words.astype(np.uint64)
+    value = np.zeros((len(pos), _SIDE + 1), np.uint64)
+    for k in range(PASSAGE):
+        value = value * _GOLD + words[:, k : k + _SIDE + 1]
+    value = S.mix(value).view(np.int64)
+    whole = (shifts >= _SIDE - known[:, :_SIDE].sum(1)[:, None]) & (shifts <= known[:, PASSAGE:].sum(1)[:, None])
+    out = []
+    for step in (-1, 1):
+        same = np.logical_and.accumulate(equal[:, :_SIDE][:, ::-1] if step < 0 else equal[:, PASSAGE:], axis=1).sum(1)
+        mask = whole & ((shifts < (_SIDE - same)[:, None]) if step < 0 else (shifts > same[:, None]))
+        row = np.flatnonzero(mask.any(1))
+        key = np.full(len(row), step + 2, np.uint64)
+        for k in range(SIZE):
+            key = key * _GOLD + words[row, _SIDE + k]
+        for k in range(_SIDE):
+            column = _SIDE - 1 - k if step < 0 else PASSAGE + k
+            key = np.where(k <= same[row], key * _GOLD + words[row, column], key)
+        mask = mask[row]
+        out.append((row, pos[row] - _SIDE + mask.argmax(1), S.mix(key).view(np.int64), mask, value[row]))
+    return [np.concatenate(x) for x in zip(*out, strict=True)]
 
 
 def _grown(docs: DataFrame, chains: DataFrame, threshold: float, width: int, scratch: Scratch) -> DataFrame:
-    """(doc, start, end, keep, other, stop, gram): the spans of ``chains`` (doc, keep, hits array<struct<pos, other>>), without a
-    gram, and hashes of the runs of PASSAGE words around their blocks that the kept occurrence does not have, without a keep.
+    """(doc, start, end, keep, other, stop, key, grams): the spans of ``chains`` (doc, keep, hits array<struct<pos, other>>), without
+    grams, and the runs of PASSAGE words around their blocks that the kept occurrence does not have (``_open_grams``), without a keep.
 
     Reaches are powers of two beyond what ``_extend`` can use, so that many copies of a run ask for the same words of the kept one.
     """
@@ -337,43 +361,50 @@ def _grown(docs: DataFrame, chains: DataFrame, threshold: float, width: int, scr
         chains.select(F.col("keep").alias("doc"), F.col("other").alias("start"), F.col("stop").alias("end"), "reach")
     )
     found = scratch.keep(_regions(docs, asked))
-    schema = f"doc {kind}, start int, end int, keep {kind}, other int, stop int, gram bigint"
+    schema = f"doc {kind}, start int, end int, keep {kind}, other int, stop int, key bigint, grams array<bigint>"
     pairs = chains.join(found, ["doc", "start", "end", "reach"]).join(
         found.select(F.col("doc").alias("keep"), F.col("start").alias("other"), F.col("end").alias("stop"), "reach", F.col("words").alias("words_2")),
         ["keep", "other", "stop", "reach"],
     ).select("doc", "start", "keep", "other", "reach", "hits", (F.col("doc") == F.col("keep")).alias("alone"), "words", "words_2")
 
+    names, longs = ["doc", "start", "end", "keep", "other", "stop", "key", "grams"], pa.list_(pa.int64())
+
+    def opened(batch, owners, around):
+        row, place, key, mask, grams = _open_grams(*(np.concatenate(x) for x in zip(*around, strict=True)))
+        ends = np.concatenate([[0], np.cumsum(mask.sum(1))]).astype(np.int32)
+        take, none = pa.array(np.array(owners, np.int64)[row]), pa.nulls(len(row), pa.int32())
+        return pa.RecordBatch.from_arrays(
+            [
+                batch.column("doc").take(take), pa.array(place.astype(np.int32)), none, pa.nulls(len(row), batch.column("keep").type), none, none,
+                pa.array(key), pa.ListArray.from_arrays(pa.array(ends), pa.array(grams[mask])),
+            ],
+            names,
+        )
+
     def run(batches):
         for batch in batches:
             columns = [batch.column(c).to_pylist() for c in ("start", "other", "reach", "hits", "alone")]
-            rows, out, takes, places, grams = [], [], [], [], []
+            rows, out, owners, around, held = [], [], [], [], 0
             for i, (start, other, reach, hits, alone) in enumerate(zip(*columns, strict=True)):
                 a, b = (np.frombuffer(batch.column(c)[i].as_py(), np.uint32) for c in ("words", "words_2"))
                 first, at = max(0, start - reach), max(0, other - reach)
                 found = _spans(hits, a, first, b, at, alone, threshold, width)
                 rows += [i] * len(found)
                 out += found
-                place, gram = _open_grams(np.array([h["pos"] for h in hits]), np.array([h["other"] for h in hits]), a, first, b, at)
-                takes.append(np.full(len(place), i))
-                places.append(place)
-                grams.append(gram)
+                owners += [i] * len(hits)
+                around.append(_around(hits, a, first, b, at))
+                held += len(hits)
+                if held > 50_000:
+                    yield opened(batch, owners, around)
+                    owners, around, held = [], [], 0
+            if around:
+                yield opened(batch, owners, around)
             take = pa.array(rows, pa.int64())
             start, end, other, stop = (pa.array([x[k] for x in out], pa.int32()) for k in range(4))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc").take(take), start, end, batch.column("keep").take(take), other, stop, pa.nulls(len(out), pa.int64())], names
+                [batch.column("doc").take(take), start, end, batch.column("keep").take(take), other, stop, pa.nulls(len(out), pa.int64()), pa.nulls(len(out), longs)], names
             )
-            if takes and sum(map(len, takes)):
-                take, start = pa.array(np.concatenate(takes)), np.concatenate(places).astype(np.int32)
-                none = pa.nulls(len(take), pa.int32())
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("doc").take(take), pa.array(start), pa.array(start + np.int32(PASSAGE)),
-                        pa.nulls(len(take), batch.column("keep").type), none, none, pa.array(np.concatenate(grams)),
-                    ],
-                    names,
-                )
-
-    names = ["doc", "start", "end", "keep", "other", "stop", "gram"]
+
     grown = scratch.keep(pairs.mapInArrow(run, schema))
     scratch.drop(chains, found)
     return grown
@@ -381,14 +412,21 @@ def _grown(docs: DataFrame, chains: DataFrame, threshold: float, width: int, scr
 
 def _later(grown: DataFrame, scratch: Scratch) -> DataFrame:
     """(doc, start, end, keep, other, stop): runs of PASSAGE words whose first occurrence is not the first one of their blocks."""
-    grams = grown.where("gram IS NOT NULL").select("gram", "doc", "start", "end")
-    # Most of them occur once; a run's first occurrence keeps it.
+    opened = grown.where("grams IS NOT NULL")
+    # Most keys occur once; only the runs of the others are sought.
+    many = scratch.keep(opened.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
+    grams = scratch.keep(
+        opened.join(many, "key").select("doc", "start", F.posexplode("grams").alias("nth", "gram"))
+        .select("gram", "doc", (F.col("start") + F.col("nth")).alias("start"))
+    )
     shared = scratch.keep(
         grams.groupBy("gram").agg(F.min(F.struct("doc", "start")).alias("kept"), F.max(F.struct("doc", "start")).alias("last"))
         .where("kept < last").drop("last")
     )
+    # A run's first occurrence keeps it.
     return grams.join(shared, "gram").select(
-        "doc", "start", "end", F.col("kept.doc").alias("keep"), F.col("kept.start").alias("other"), (F.col("kept.start") + PASSAGE).alias("stop")
+        "doc", "start", (F.col("start") + PASSAGE).alias("end"), F.col("kept.doc").alias("keep"),
+        F.col("kept.start").alias("other"), (F.col("kept.start") + PASSAGE).alias("stop"),
     ).where((F.col("doc") > F.col("keep")) | (F.col("start") >= F.col("stop"))).distinct()
 
 
@@ -474,7 +512,7 @@ def repeated_passages(
     )
     grown = _grown(docs, chains, threshold, width, scratch)
     scratch.drop(often, blocks, shared)
-    grown = grown.where("gram IS NULL").drop("gram").unionByName(scratch.keep(_later(grown, scratch)))
+    grown = grown.where("grams IS NULL").drop("key", "grams").unionByName(scratch.keep(_later(grown, scratch)))
     spans = grown.select("doc", "start", "end", "keep", F.lit(True).alias("removed")).unionByName(
         grown.select(F.col("keep").alias("doc"), F.col("other").alias("start"), F.col("stop").alias("end"), "keep", F.lit(False).alias("removed")).distinct()
     )
