@@ -17,3 +17,8 @@ def test_rounded_as_sql(spark):
     rows = queries._rounded(frame).orderBy("k").collect()
     assert [repr(r["v"]) for r in rows] == [repr(v) for v in want]
     assert [repr(r["a"]) for r in rows] == [repr([v, None]) for v in want]
+
+
+def test_zeros_to_which_sql_adds_are_positive(spark):
+    got = queries._rounded(queries._positive_zeros(spark.createDataFrame([([-3e-7, -0.0, -1.5],)], "x array<double>"), "x")).first()["x"]
+    assert [repr(v) for v in got] == ["0.0", "0.0", "-1.5"]
