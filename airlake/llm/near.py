@@ -143,14 +143,17 @@ def near_classes(
        joins two components is not missed for its bucket's size.
     """
     order = F.shiftleft(F.least("mult", F.lit(1 << 30)), 32) + F.pmod(F.xxhash64("key"), F.lit(1 << 32))
-    rows = nodes.select("key", order.alias("ord"), F.explode("buckets").alias("bucket"))
+    rows = nodes.select("key", "mult", F.explode("buckets").alias("bucket"))
+    # Most buckets hold one node: counts, which need no sort, leave them out before hubs are sought.
     # Grouped tables are written before a join on their group: its partitions can then be split where one bucket is large.
-    heads = scratch.keep(
-        rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.max_by("key", "ord").alias("hub")).where("n > 1")
-    )
-    members = scratch.keep(rows.join(heads, "bucket").select("bucket", "key", "hub", "n"))
-    scratch.drop(heads)
+    often = scratch.keep(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    shared = scratch.keep(rows.join(often, "bucket"))
+    scratch.sweep()
+    heads = scratch.keep(shared.groupBy("bucket").agg(F.max_by("key", order).alias("hub")))
+    members = scratch.keep(shared.join(heads, "bucket").select("bucket", "key", "hub", "n"))
+    scratch.drop(often, shared, heads)
     content = scratch.keep(fetch(members.select("key").distinct()))
+    scratch.sweep()
     compared = scratch.keep(hub_similarities(members, content))
     links = compared.where(F.col("sim") >= threshold).select(F.col("hub").alias("a"), F.col("key").alias("b"))
     first = scratch.keep(connected_components(links, scratch))

@@ -7,6 +7,7 @@ from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -179,19 +180,23 @@ def _regions(docs: DataFrame, asked: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for row in range(batch.num_rows):
-                words = _words([batch.column("text")[row].as_py()])[0].astype(np.uint32)
-                spots = batch.column("wanted")[row].values
-                starts, ends, reaches = (spots.field(c).to_numpy() for c in ("start", "end", "reach"))
+            for part in slices(batch, 1_000_000):
+                words, texts_at, _ = _words(part.column("text").to_pylist())
+                words, wanted = words.astype(np.uint32), part.column("wanted")
+                owner = np.repeat(np.arange(part.num_rows), wanted.value_lengths().to_numpy())
+                spots = wanted.flatten()
+                starts, ends, reaches = (spots.field(c).to_numpy().astype(np.int64) for c in ("start", "end", "reach"))
+                low = texts_at[owner] + np.maximum(0, starts - reaches)
+                high = np.minimum(texts_at[owner] + ends + reaches, texts_at[owner + 1])
                 cells, size = [], 0
-                for k, (s, e, r) in enumerate(zip(starts.tolist(), ends.tolist(), reaches.tolist(), strict=True)):
-                    cells.append(words[max(0, s - r) : e + r].tobytes())
+                for k, (i, j) in enumerate(zip(low.tolist(), high.tolist(), strict=True)):
+                    cells.append(words[i:j].tobytes())
                     size += len(cells[-1])
                     if size > 4_000_000 or k + 1 == len(starts):
                         some = slice(k + 1 - len(cells), k + 1)
                         yield pa.RecordBatch.from_arrays(
                             [
-                                batch.column("doc").take(pa.array(np.full(len(cells), row))),
+                                part.column("doc").take(pa.array(owner[some])),
                                 *(pa.array(x[some].astype(np.int32)) for x in (starts, ends, reaches)), pa.array(cells, pa.binary()),
                             ],
                             ["doc", "start", "end", "reach", "words"],
@@ -229,11 +234,13 @@ def _flank(x: np.ndarray, y: np.ndarray, gap: int, width: int) -> list[tuple[int
     x and y are the hashes of runs of ``width`` words on that side of it, nearest first.
     """
     grams, others = x.tolist(), y.tolist()
-    if not grams or not others or set(others).isdisjoint(grams):
+    common = set(others).intersection(grams)
+    if not common:
         return []
     places: dict[int, list[int]] = {}
     for q, g in enumerate(others):
-        places.setdefault(g, []).append(q)
+        if g in common:
+            places.setdefault(g, []).append(q)
     out, i, j, same = [], 0, 0, 0
     while True:
         for p in range(i, min(i + gap + 1, len(grams))):
@@ -280,43 +287,87 @@ def _extend(texts: list[np.ndarray], grams: list[np.ndarray], i: int, j: int, si
     return i - p[0], end + q[0], j - p[1], stop + q[1]
 
 
-def _spans(hits: list[dict], a: np.ndarray, first: int, b: np.ndarray, other: int, alone: bool, threshold: float, width: int):
-    """(start, end, other start, other end) of spans that hold all equal runs of a chain of blocks; a begins at word ``first``, b at ``other``."""
-    runs: list[list[int]] = []
-    for pos, there in sorted((h["pos"], h["other"]) for h in hits):
-        if runs and pos - there == runs[-1][0] - runs[-1][2] and pos <= runs[-1][1]:
-            runs[-1][1] = pos + SIZE
-        else:
-            runs.append([pos, pos + SIZE, there])
-    grams = [_grams(a, width), _grams(b, width)]
+def _chains(hits: DataFrame) -> DataFrame:
+    """(doc, keep, hits array<struct<pos, other>>) of rows (doc, pos, keep, other): blocks that follow each other in both texts; a document's blocks bound a chain."""
+    kind = hits.schema["doc"].dataType.simpleString()
+
+    def turns(docs: pa.StructArray) -> np.ndarray:
+        columns = [docs.field(i) for i in range(docs.type.num_fields)]
+        return np.any([pc.not_equal(c[1:], c[:-1]).to_numpy(zero_copy_only=False) for c in columns], 0)
+
+    def run(batches):
+        parts: list[pa.RecordBatch] = []  # of the chain that the last batch leaves open
+        for batch in batches:
+            pair = pa.Table.from_batches([parts[-1].slice(parts[-1].num_rows - 1), batch] if parts else [batch]).combine_chunks().to_batches()[:1]
+            for both in pair:
+                pos, other = (both.column(c).to_numpy().astype(np.int64) for c in ("pos", "other"))
+                new = (np.diff(pos) > SIZE + GAP) | (np.abs(np.diff(pos - other)) > GAP) | turns(both.column("doc")) | turns(both.column("keep"))
+                cuts = np.flatnonzero(new) + (0 if parts else 1)
+                if len(cuts):
+                    yield of([*parts, batch.slice(0, cuts[-1])], [0, *(cuts + sum(p.num_rows for p in parts)).tolist()])
+                    parts = []
+                parts.append(batch.slice(cuts[-1] if len(cuts) else 0))
+        if parts:
+            yield of(parts, [0, sum(p.num_rows for p in parts)])
+
+    def of(parts: list[pa.RecordBatch], ends: list[int]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([rows.column("pos"), rows.column("other")], ["pos", "other"]))
+        first = pa.array(ends[:-1])
+        return pa.RecordBatch.from_arrays([rows.column("doc").take(first), rows.column("keep").take(first), lists], ["doc", "keep", "hits"])
+
+    return (
+        hits.select("doc", "keep", "pos", "other").repartition("doc", "keep").sortWithinPartitions("doc", "keep", "pos")
+        .mapInArrow(run, f"doc {kind}, keep {kind}, hits array<struct<pos:int,other:int>>")
+    )
+
+
+def _runs(row: np.ndarray, pos: np.ndarray, there: np.ndarray):
+    """(row, start, end, other start) of equal runs that blocks of one shift form where they meet, in every row the longest first."""
+    order = np.lexsort((there, pos, row))
+    row, pos, there = row[order], pos[order], there[order]
+    begin = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (np.diff(pos - there) != 0) | (np.diff(pos) > SIZE)])[: len(row)])
+    row, start, end, there = row[begin], pos[begin], pos[np.append(begin[1:], len(pos))[: len(begin)] - 1] + SIZE, there[begin]
+    order = np.lexsort((start - end, row))
+    return row[order], start[order], end[order], there[order]
+
+
+def _spans(
+    runs: list[tuple[int, int, int]], texts: list[np.ndarray], grams: list[np.ndarray], first: int, other: int, alone: bool, threshold: float, width: int
+):
+    """(start, end, other start, other end) of spans that hold all equal runs of a chain of blocks; the texts begin at words ``first`` and ``other``."""
     out: list[tuple[int, int, int, int]] = []
-    for start, end, there in sorted(runs, key=lambda r: r[0] - r[1]):
+    for start, end, there in runs:
         if any(s <= start and end <= e for s, e, _, _ in out):
             continue
         size = end - start
-        left, right, low, high = _extend([a, b], grams, start - first, there - other, size, start - there - size if alone else None, threshold, width)
+        left, right, low, high = _extend(texts, grams, start - first, there - other, size, start - there - size if alone else None, threshold, width)
         if alone:
             high = max(there + size - other, min(high, left + first - other))
         out.append((left + first, right + first, low + other, high + other))
     return [x for x in out if x[1] - x[0] >= PASSAGE]
 
 
-def _open_grams(pos: np.ndarray, other: np.ndarray, a: np.ndarray, first: int, b: np.ndarray, at: int):
-    """(place, hash) of the runs of PASSAGE words around blocks at ``pos`` that do not stand around the blocks at ``other``, too."""
-    side = PASSAGE - SIZE
-    along = np.arange(-side, PASSAGE)
-    here, there = (pos - first)[:, None] + along, (other - at)[:, None] + along
-    known = (here >= 0) & (here < len(a))
-    equal = known & (there >= 0) & (there < len(b))
-    equal[equal] = a[here[equal]] == b[there[equal]]
-    # Windows that lie in the text, less those of equal words.
-    views = [np.lib.stride_tricks.sliding_window_view(x, PASSAGE, axis=1).all(2) for x in (known, equal)]
-    row, shift = np.nonzero(views[0] & ~views[1])
-    place = np.unique(here[row, shift])
+def _open_grams(here: np.ndarray, there: np.ndarray, bounds: list[np.ndarray], a: np.ndarray, b: np.ndarray):
+    """(place, hash) of the runs of PASSAGE words around blocks at ``here`` in a that do not stand around the blocks at ``there`` in b, too.
+
+    ``bounds`` are the least place and the end of each block's text in a, then in b.
+    """
+    along = np.arange(PASSAGE - SIZE + PASSAGE) - (PASSAGE - SIZE)
+    places = [np.zeros(0, np.int64)]
+    for k in range(0, len(here), 20_000):
+        low, high, least, most = (x[k : k + 20_000, None] for x in bounds)
+        x, y = here[k : k + 20_000, None] + along, there[k : k + 20_000, None] + along
+        equal = (x >= low) & (x < high) & (y >= least) & (y < most) & (a.take(x, mode="clip") == b.take(y, mode="clip"))
+        count = np.cumsum(np.pad(equal, ((0, 0), (1, 0))), 1, dtype=np.int8)
+        # Windows that lie in the text, less those of equal words.
+        at = x[:, :CHOICE]
+        places.append(np.unique(at[(at >= low) & (at + PASSAGE <= high) & (count[:, PASSAGE:] - count[:, :CHOICE] < PASSAGE)]))
+    place = np.unique(np.concatenate(places))
     value = np.zeros(len(place), np.uint64)
     for k in range(PASSAGE if len(place) else 0):
         value = value * _GOLD + a[place + k].astype(np.uint64)
-    return place + first, S.mix(value).view(np.int64)
+    return place, S.mix(value).view(np.int64)
 
 
 def _grown(docs: DataFrame, chains: DataFrame, threshold: float, width: int, scratch: Scratch) -> DataFrame:
@@ -337,45 +388,62 @@ def _grown(docs: DataFrame, chains: DataFrame, threshold: float, width: int, scr
         chains.select(F.col("keep").alias("doc"), F.col("other").alias("start"), F.col("stop").alias("end"), "reach")
     )
     found = scratch.keep(_regions(docs, asked))
+    scratch.sweep()
     schema = f"doc {kind}, start int, end int, keep {kind}, other int, stop int, gram bigint"
     pairs = chains.join(found, ["doc", "start", "end", "reach"]).join(
         found.select(F.col("doc").alias("keep"), F.col("start").alias("other"), F.col("end").alias("stop"), "reach", F.col("words").alias("words_2")),
         ["keep", "other", "stop", "reach"],
     ).select("doc", "start", "keep", "other", "reach", "hits", (F.col("doc") == F.col("keep")).alias("alone"), "words", "words_2")
 
+    def words_of(cells: pa.Array):
+        """The words of all cells, and where each cell begins."""
+        size = pc.binary_length(cells).to_numpy().astype(np.int64) // 4
+        return np.frombuffer(b"".join(cells.to_pylist()), np.uint32), np.concatenate([[0], np.cumsum(size)])
+
     def run(batches):
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("start", "other", "reach", "hits", "alone")]
-            rows, out, takes, places, grams = [], [], [], [], []
-            for i, (start, other, reach, hits, alone) in enumerate(zip(*columns, strict=True)):
-                a, b = (np.frombuffer(batch.column(c)[i].as_py(), np.uint32) for c in ("words", "words_2"))
-                first, at = max(0, start - reach), max(0, other - reach)
-                found = _spans(hits, a, first, b, at, alone, threshold, width)
-                rows += [i] * len(found)
-                out += found
-                place, gram = _open_grams(np.array([h["pos"] for h in hits]), np.array([h["other"] for h in hits]), a, first, b, at)
-                takes.append(np.full(len(place), i))
-                places.append(place)
-                grams.append(gram)
-            take = pa.array(rows, pa.int64())
-            start, end, other, stop = (pa.array([x[k] for x in out], pa.int32()) for k in range(4))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc").take(take), start, end, batch.column("keep").take(take), other, stop, pa.nulls(len(out), pa.int64())], names
-            )
-            if takes and sum(map(len, takes)):
-                take, start = pa.array(np.concatenate(takes)), np.concatenate(places).astype(np.int32)
-                none = pa.nulls(len(take), pa.int32())
+            for part in slices(batch, column="words"):
+                start, other, reach = (part.column(c).to_numpy().astype(np.int64) for c in ("start", "other", "reach"))
+                first, at = np.maximum(0, start - reach), np.maximum(0, other - reach)
+                (a, a_at), (b, b_at) = words_of(part.column("words")), words_of(part.column("words_2"))
+                grams, hits = (_grams(a, width), _grams(b, width)), part.column("hits")
+                row, hits = np.repeat(np.arange(part.num_rows), hits.value_lengths().to_numpy()), hits.flatten()
+                pos, there = (hits.field(c).to_numpy().astype(np.int64) for c in ("pos", "other"))
+                owner, *runs = _runs(row, pos, there)
+                cuts, runs = np.searchsorted(owner, np.arange(part.num_rows + 1)).tolist(), list(zip(*(r.tolist() for r in runs), strict=True))
+                rows, out = [], []
+                for i, alone in enumerate(part.column("alone").to_pylist()):
+                    ends = [(x[i], x[i + 1]) for x in (a_at, b_at)]
+                    found = _spans(
+                        runs[cuts[i] : cuts[i + 1]], [x[e[0] : e[1]] for x, e in zip((a, b), ends, strict=True)],
+                        [g[e[0] : max(e[0], e[1] - width + 1)] for g, e in zip(grams, ends, strict=True)], int(first[i]), int(at[i]), alone, threshold, width,
+                    )
+                    rows += [i] * len(found)
+                    out += found
+                take = pa.array(rows, pa.int64())
+                spans = [pa.array([x[k] for x in out], pa.int32()) for k in range(4)]
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("doc").take(take), pa.array(start), pa.array(start + np.int32(PASSAGE)),
-                        pa.nulls(len(take), batch.column("keep").type), none, none, pa.array(np.concatenate(grams)),
-                    ],
-                    names,
+                    [part.column("doc").take(take), *spans[:2], part.column("keep").take(take), *spans[2:], pa.nulls(len(out), pa.int64())], names
                 )
+                bounds = [x[row + k] for x in (a_at, b_at) for k in (0, 1)]
+                place, gram = _open_grams(pos - first[row] + a_at[row], there - at[row] + b_at[row], bounds, a, b)
+                owner = np.searchsorted(a_at, place, "right") - 1
+                place = (place - a_at[owner] + first[owner]).astype(np.int32)
+                for k in range(0, len(place), 100_000):
+                    take, begin = pa.array(owner[k : k + 100_000]), place[k : k + 100_000]
+                    none = pa.nulls(len(begin), pa.int32())
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            part.column("doc").take(take), pa.array(begin), pa.array(begin + np.int32(PASSAGE)),
+                            pa.nulls(len(begin), part.column("keep").type), none, none, pa.array(gram[k : k + 100_000]),
+                        ],
+                        names,
+                    )
 
     names = ["doc", "start", "end", "keep", "other", "stop", "gram"]
     grown = scratch.keep(pairs.mapInArrow(run, schema))
     scratch.drop(chains, found)
+    scratch.sweep()
     return grown
 
 
@@ -427,6 +495,13 @@ def repeated_passages(
     docs = lean(docs).where("doc_id IS NOT NULL").select(F.struct("doc_id", F.xxhash64(text).alias("row_key")).alias("doc"), text.alias("text"))
     table = scratch.keep(sketches(docs, bands, min_words, width))
 
+    blocks = table.select("doc", F.explode("blocks").alias("b")).select("doc", "b.*")
+    # Most blocks occur once: counts, which need no sort, leave them out before the least occurrence is sought.
+    often = scratch.keep(blocks.groupBy("key", "check").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
+    blocks = scratch.keep(blocks.join(often, ["key", "check"]))
+    scratch.drop(often)
+    scratch.sweep()
+
     paragraphs = table.select("doc", F.explode("paragraphs").alias("p")).select("doc", "p.*")
     nodes = scratch.keep(
         paragraphs.groupBy("key").agg(
@@ -434,6 +509,9 @@ def repeated_passages(
             F.first("buckets").alias("buckets"), F.first("sig").alias("sig"),
         )
     )
+    paragraphs = scratch.keep(paragraphs.select("doc", "start", "words", "key"))
+    scratch.drop(table)
+    scratch.sweep()
 
     def fetch(keys: DataFrame) -> DataFrame:
         wanted = (
@@ -447,15 +525,13 @@ def repeated_passages(
     # Grouped tables are written before a join on their group: its partitions can then be split where one group is large.
     named = scratch.keep(member.groupBy("root").agg(F.min("rep").alias("best"), F.sum("mult").alias("size")).where("size > 1"))
     lookup = scratch.keep(member.join(named, "root").select("key", "best"))
-    lines = paragraphs.select("doc", "start", "words", "key").join(lookup, "key").select(
+    lines = scratch.keep(paragraphs.join(lookup, "key").select(
         "doc", "start", (F.col("start") + F.col("words")).alias("end"), F.lit("paragraph").alias("kind"), F.col("best.doc").alias("keep"),
         ((F.struct("doc", "start") != F.struct("best.doc", "best.start")) & (F.col("words") >= floor)).alias("removed"),
-    )
+    ))
+    scratch.drop(nodes, paragraphs, named, lookup)
+    scratch.sweep()
 
-    blocks = table.select("doc", F.explode("blocks").alias("b")).select("doc", "b.*")
-    # Most blocks occur once: counts, which need no sort, leave them out before the least occurrence is sought.
-    often = scratch.keep(blocks.groupBy("key", "check").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
-    blocks = scratch.keep(blocks.join(often, ["key", "check"]))
     shared = scratch.keep(
         blocks.groupBy("key", "check").agg(F.min(F.struct("doc", "pos")).alias("kept"), F.max(F.struct("doc", "pos")).alias("last"))
         .where("kept < last").drop("last")
@@ -464,16 +540,9 @@ def repeated_passages(
     hits = blocks.join(shared, ["key", "check"]).select("doc", "pos", F.col("kept.doc").alias("keep"), F.col("kept.pos").alias("other")).where(
         (F.col("doc") > F.col("keep")) | (F.col("pos") >= F.col("other") + SIZE)
     )
-    # Blocks that follow each other in both texts are a chain; a document's blocks bound it.
-    along = Window.partitionBy("doc", "keep").orderBy("pos")
-    shift = F.col("pos") - F.col("other")
-    apart = (F.col("pos") > F.lag("pos").over(along) + SIZE + GAP) | (F.abs(shift - F.lag(shift).over(along)) > GAP)
-    chains = (
-        hits.withColumn("new", F.coalesce(apart.cast("int"), F.lit(1))).withColumn("chain", F.sum("new").over(along))
-        .groupBy("doc", "keep", "chain").agg(F.collect_list(F.struct("pos", "other")).alias("hits"))
-    )
+    chains = _chains(hits)
     grown = _grown(docs, chains, threshold, width, scratch)
-    scratch.drop(often, blocks, shared)
+    scratch.drop(blocks, shared)
     grown = grown.where("gram IS NULL").drop("gram").unionByName(scratch.keep(_later(grown, scratch)))
     spans = grown.select("doc", "start", "end", "keep", F.lit(True).alias("removed")).unionByName(
         grown.select(F.col("keep").alias("doc"), F.col("other").alias("start"), F.col("stop").alias("end"), "keep", F.lit(False).alias("removed")).distinct()

@@ -669,6 +669,32 @@ def test_short_lines_near_copies_and_own_repeats(make_docs):
     assert cut[4] == (own + " qe " + prose(49, 30) + " qf qg").split()
 
 
+def test_tables_that_nothing_reads_are_gone(make_docs, monkeypatch):
+    """While chains are compared, the sketches of texts and the nodes of lines are deleted; hits that batches of a few rows deal out are the same chains."""
+    passage, line, kept, live = prose(61, 400), prose(62, 12), [], []
+    texts = [prose(63 + k, 40 + k) + " " + passage + " qa " + prose(73 + k, 30) + "\n" + line for k in range(4)]
+    keep, grown = Scratch.keep, substring_dedup._grown
+
+    def watched(docs, chains, threshold, width, scratch):
+        live.extend(t.columns for t in kept if t._scratch_path in scratch.paths)
+        return grown(docs, chains, threshold, width, scratch)
+
+    docs = make_docs(list(enumerate(texts)))
+    monkeypatch.setattr(Scratch, "keep", lambda self, df: kept.append(table := keep(self, df)) or table)
+    monkeypatch.setattr(substring_dedup, "_grown", watched)
+    conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(name)
+    conf.set(name, "7")
+    try:
+        spans = {(r["doc_id"], r["start_word"], r["end_word"], r["kind"], r["keep_id"], r["removed"]) for r in substring_dedup.repeated_passages(docs).collect()}
+    finally:
+        conf.set(name, before)
+    assert live and not any({"paragraphs", "blocks", "sig"} & set(columns) for columns in live)
+    # The passage grows over the 31 edited words to the equal line.
+    assert {x for x in spans if x[3] == "passage"} == {(k, 40 + k, 483 + k, "passage", 0, k > 0) for k in range(4)} | {(0, 40, 483, "passage", 0, False)}
+    assert {x for x in spans if x[3] == "paragraph" and x[2] - x[1] == 12} == {(k, 471 + k, 483 + k, "paragraph", 0, False) for k in range(4)}
+
+
 def test_words_have_the_places_of_the_cut():
     """Spans count the words of lowered bytes, cuts those of the text as it is: letters that grow or change by what stands beside them must not part them."""
     rng = random.Random(7)
