@@ -91,3 +91,17 @@ def test_the_grid_is_registered_at_full_size(spark, monkeypatch):
     (_, kinds, sizes, splits, seeds), options = seen[0]
     assert kinds == ["image", "spacetime", "fused"] and sizes == {"rf": 300, "gbt": 2000} and seeds == [0, 1, 2]
     assert splits == ["random", "spatial", "temporal"] and options.get("stale", 100) == 100
+
+
+def test_plans_do_not_multiply_from_split_to_split(spark, table, tmp_path, monkeypatch):
+    # With three seeds the plan of all splits read the table 27 times and more, and the driver held all of it.
+    wide, real, most = table.withColumnRenamed("a", "embedding").drop("b", "split").withColumn("region", F.lit("r")), models.staged, []
+
+    def counted(df, path):
+        most.append(df._jdf.queryExecution().optimizedPlan().collectLeaves().size())
+        return real(df, path)
+
+    monkeypatch.setattr(models, "staged", counted)
+    monkeypatch.setattr(models, "boost", lambda *a, **k: None)
+    models.run_grid(wide, KEYS, ["image"], {"gbt": 1}, ["random", "spatial"], [0, 1, 2], str(tmp_path), fit=lambda ready, run: ready.selectExpr(*KEYS, "pm25 AS y_true", "pm25 AS y_pred"))
+    assert max(most) <= 6
